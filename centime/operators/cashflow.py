@@ -7,8 +7,10 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Months that a partition of the calendar holds where a running window is cut into pieces.
-_SERIES = Window.orderBy("date")
+
+def _series():
+    """The daily series in order. It has one row a day however large the ledger, so one task holds it."""
+    return Window.orderBy("date")
 
 
 def cash_accounts(accounts: DataFrame, names: list[str]) -> DataFrame:
@@ -48,13 +50,13 @@ def daily_totals(account_days: DataFrame) -> DataFrame:
 
 def rolling(totals: DataFrame, windows: tuple[int, ...] = (7, 30, 90)) -> DataFrame:
     """Trailing means over rows, the change from the day before and its 30-row sum. The series has one row a day."""
-    out = totals.withColumns({f"ma_{n}": F.avg("total").over(_SERIES.rowsBetween(1 - n, 0)) for n in windows})
-    out = out.withColumn("change", F.col("total") - F.lag("total").over(_SERIES))
-    return out.withColumn("velocity_30", F.sum("change").over(_SERIES.rowsBetween(-29, 0)))
+    out = totals.withColumns({f"ma_{n}": F.avg("total").over(_series().rowsBetween(1 - n, 0)) for n in windows})
+    out = out.withColumn("change", F.col("total") - F.lag("total").over(_series()))
+    return out.withColumn("velocity_30", F.sum("change").over(_series().rowsBetween(-29, 0)))
 
 
 def monthly(totals: DataFrame) -> DataFrame:
-    change = totals.withColumn("change", F.col("total") - F.lag("total").over(_SERIES))
+    change = totals.withColumn("change", F.col("total") - F.lag("total").over(_series()))
     return change.groupBy(F.last_day("date").alias("month_end")).agg(
         F.avg("total").alias("mean"), F.min("total").alias("least"), F.max("total").alias("most"),
         F.max_by("total", "date").alias("end"), F.coalesce(F.sum("change"), F.lit(0)).alias("net_change"),
@@ -106,7 +108,7 @@ def _fraction(a: float, b: float, x: float) -> float:
 
 def statistics(totals: DataFrame) -> DataFrame:
     """Summary of the daily series in one row: extremes keep their first dates, deviations are sample ones."""
-    s = totals.withColumns({"change": F.col("total") - F.lag("total").over(_SERIES), "back": F.row_number().over(Window.orderBy(F.col("date").desc()))})
+    s = totals.withColumns({"change": F.col("total") - F.lag("total").over(_series()), "back": F.row_number().over(Window.orderBy(F.col("date").desc()))})
     mean, std = F.avg("total"), F.stddev_samp("total")
     return s.agg(
         F.max_by("total", "date").alias("last_total"), mean.alias("mean_total"), std.alias("std_total"),
