@@ -2,31 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint_dir, checkpointed
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "hashed_sample", "map_rows", "table"]
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a local one only where it is unset."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return named or sc.getCheckpointDir()
 
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files that every executor and the driver can read."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]], schema: str) -> DataFrame:

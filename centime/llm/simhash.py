@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import checkpointed, map_rows
-from .components import components
 
 SEED = 42
 #: Shingles that are hashed at once, which bounds the memory that a very long text takes.
