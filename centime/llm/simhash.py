@@ -145,11 +145,11 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
 def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, most: int = 32, pivots: int = 3) -> DataFrame:
     """(doc_id, group): near copies of long fingerprints, group being the least doc_id among those linked.
 
-    Distinct fingerprints that share a block are compared and linked within ``radius`` bits. In a bucket over ``most`` each
-    member is compared with a pivot first (the least by a hash that changes with the round); those within the radius are
-    linked to it and leave the bucket, the others go into the next round. What is left after ``pivots`` rounds is compared in
-    full. So thousands of near copies cost a row each instead of a pair each, and no member goes uncompared.
-    Null and empty texts form one group; null ids are left out.
+    Distinct fingerprints that share a block form a bucket and are linked within ``radius`` bits. Each member is compared with
+    its bucket's pivot first (the least by a hash). Members near the pivot are in one group with it whatever other links they
+    have, so only those that are not near it are compared with the rest of the bucket. In buckets over ``most`` these get
+    further pivots, up to ``pivots`` in all, and what is left is compared in full. So thousands of near copies cost a row each
+    instead of a pair each, and no member goes uncompared. Null and empty texts form one group; null ids are left out.
     """
     fps = checkpointed(wide_fingerprints(docs.where("doc_id is not null"), shingle))
     classes = checkpointed(fps.groupBy("blocks").agg(F.min("doc_id").alias("id")))
@@ -157,7 +157,6 @@ def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, mo
     rows = classes.select("id", F.posexplode("blocks").alias("t", "key"))
     sizes = checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
     held = checkpointed(rows.join(sizes, ["t", "key"]))
-    few, many = held.where(F.col("n") <= most).select("t", "key", "id"), held.where(F.col("n") > most).select("t", "key", "id")
     prints = classes.select("id", "blocks")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -166,19 +165,23 @@ def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, mo
         d = reduce(lambda p, q: p + q, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(n)])
         return pairs.join(x, "a").join(y, "b").withColumn("d", d).drop("x", "y")
 
-    links = []
+    links, unlinked, lone = [], held, None
     for k in range(pivots):
         order = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id"))
-        pivot = checkpointed(many.groupBy("t", "key").agg(F.min(order)["id"].alias("a")))
+        pivot = checkpointed(unlinked.groupBy("t", "key").agg(F.min(order)["id"].alias("a")))
         if pivot.isEmpty():
             break
-        near = checkpointed(verified(many.withColumnRenamed("id", "b").join(pivot, ["t", "key"]).where("a <> b")))
+        near = checkpointed(verified(unlinked.withColumnRenamed("id", "b").join(pivot, ["t", "key"]).where("a <> b")))
         links.append(near.where(F.col("d") <= radius).select("a", "b"))
-        many = near.where(F.col("d") > radius).select("t", "key", F.col("b").alias("id"))
-    rest = few.union(many)
-    pairs = rest.alias("p").join(rest.alias("q"), ["t", "key"]).where("p.id < q.id").select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    links.append(verified(pairs).where(F.col("d") <= radius).select("a", "b"))
-    roots = components(reduce(DataFrame.union, links))
+        far = near.where(F.col("d") > radius).select("t", "key", "n", F.col("b").alias("id"))
+        lone = far.where(F.col("n") <= most) if k == 0 else lone
+        unlinked = far.where(F.col("n") > most)
+    both = lambda p, q: p.join(q, ["t", "key"]).where("p.id <> q.id").select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b"))
+    if lone is not None:
+        rest = both(lone.alias("p"), held.alias("q")).union(both(unlinked.alias("p"), unlinked.alias("q"))).distinct()
+        links.append(verified(rest).where(F.col("d") <= radius).select("a", "b"))
+    pairs = reduce(DataFrame.union, links) if links else classes.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    roots = components(pairs)
     of = checkpointed(classes.join(roots, classes.id == roots.node, "left").select("blocks", F.coalesce("root", "id").alias("group")))
     return fps.join(of, "blocks").select("doc_id", "group")
 
