@@ -6,6 +6,7 @@ pointer jumping from the start of each file keeps those that can be reached: the
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -18,6 +19,8 @@ from .common import checkpoint_dir, checkpointed, map_rows
 
 #: Shorter payloads are never revisits; records a file holds, which bounds what one task reads at once.
 REVISIT_BYTES, RECORDS_PER_FILE = 100, 2000
+#: Repeated digests (about 80 bytes each) up to which their table is broadcast.
+BROADCAST_DIGESTS = 200_000
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = b"\r\n\r\n"
 
@@ -36,6 +39,8 @@ def records(pages: DataFrame) -> DataFrame:
     size = F.octet_length("payload")
     first = rows.where(size >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     repeated = checkpointed(first.where("n > 1").select("digest", "first"))
+    if repeated.count() <= BROADCAST_DIGESTS:  # else both sides are exchanged, and adaptive execution splits what is hot
+        repeated = F.broadcast(repeated)
     typed = rows.join(repeated, "digest", "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.lit(False)))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
@@ -57,8 +62,16 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write archives through Spark's text writer: the line separator is the pair of line ends that closes a record."""
-    records(pages).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file).text(folder)
+    """Write archives through Spark's text writer: the line separator is the pair of line ends that closes a record.
+
+    Each file is one gzip stream; offsets are those of the records in it.
+    """
+    records(pages).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
+
+
+def plain(data: bytes) -> bytes:
+    """An archive's bytes, whether they are compressed or not."""
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
 
 
 def candidates_of(data: bytes) -> Iterator[tuple]:
@@ -98,23 +111,22 @@ def scan(archives: DataFrame) -> DataFrame:
     """Candidates of each file of archives (path, content): file, at, next and the record's fields."""
     schema = "file string, found array<struct<at:long,next:long,record_type:string,page_id:long,payload_bytes:long,payload_digest:string,refers_to:long,url:string,digest_ok:boolean>>"
     names = ("at", "next", "record_type", "page_id", "payload_bytes", "payload_digest", "refers_to", "url", "digest_ok")
-    rows = map_rows(archives.select("path", "content"), lambda: lambda r: (r[0].decode(), [dict(zip(names, c)) for c in candidates_of(r[1])]), schema)
+    rows = map_rows(archives.select("path", "content"), lambda: lambda r: (r[0].decode(), [dict(zip(names, c)) for c in candidates_of(plain(r[1]))]), schema)
     return rows.select("file", F.inline("found"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
-    """(file, at) of the links (file, at, next) on the chain that starts at offset 0 of each file, by pointer jumping.
+    """(file, at) on the chain of links (file, at, next) from offset 0 of each file, by pointer jumping; its end may be among them.
 
-    Round k knows the first 2**k records of each chain and jumps of 2**k records, and doubles both.
+    Round k knows the first 2**k places of each chain and jumps of 2**k links, and doubles both.
     """
     jumps = checkpointed(links.select("file", "at", "next"))
-    seen = checkpointed(jumps.where("at = 0").select("file", "at"))
-    nodes = jumps.select("file", "at")
+    seen = jumps.where("at = 0").select("file", "at")
     while True:
-        new = checkpointed(seen.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at")).join(nodes, ["file", "at"], "left_semi"))
+        new = checkpointed(seen.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at")))
         if new.isEmpty():
             return seen
-        seen = checkpointed(seen.union(new))
+        seen = seen.union(new)
         onward = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
         jumps = checkpointed(jumps.join(onward, ["file", "next"]).select("file", "at", F.col("after").alias("next")))
 
