@@ -1,0 +1,243 @@
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+import tiktoken
+import xxhash
+
+from centime.llm import audio, bpe, decontaminate, language, linededup, quality, secret_scan, simhash, token_counts, warc
+from centime.llm.cuckoo import CuckooFilter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h int, key int"
+
+
+def table(spark, texts):
+    return spark.createDataFrame([(i, t, None, None, None, 1, 2) for i, t in enumerate(texts)], SCHEMA)
+
+
+def by_id(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+EDGE = [None, "", " ", "a", "a b", "a b c", "a b c", "x\n\ny\n", "Ünïcode Wörter!", "w " * 30000, "same line\nother", "same line\nmore"]
+
+
+def simhash_brute(text, size=3):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+
+
+def test_simhash_fingerprints_and_groups(spark):
+    got = by_id(simhash.near_groups(table(spark, EDGE)))
+    fps = [simhash_brute(t) for t in EDGE]
+    assert [got[i]["fp"] % (1 << 64) for i in range(len(EDGE))] == fps
+    parent = list(range(len(EDGE)))
+    for _ in EDGE:
+        for a in range(len(EDGE)):
+            for b in range(a):
+                if (fps[a] ^ fps[b]).bit_count() <= 2:
+                    parent[a] = parent[b] = min(parent[a], parent[b])
+    assert [got[i]["component_id"] for i in range(len(EDGE))] == parent
+    assert simhash.near_groups(table(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_close_pairs_find_all_components(spark, most):
+    rnd = random.Random(5)
+    base = [rnd.getrandbits(64) for _ in range(12)]
+    values = sorted({b ^ sum(1 << k for k in rnd.sample(range(64), rnd.randint(0, 3))) for b in base for _ in range(25)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    from centime.operators.graph import components
+
+    found = {r["node"] % (1 << 64): r["root"] for r in components(simhash.close_pairs(spark.createDataFrame([(v,) for v in signed], "fp long"), most=most)).collect()}
+    group = {v: v for v in values}
+
+    def top(v):
+        while group[v] != v:
+            v = group[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            if (a ^ b).bit_count() <= 2:
+                group[top(a)] = top(b)
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            same = top(a) == top(b)
+            assert same == (a in found and b in found and found[a] == found[b])
+
+
+def test_near_copies_go_and_others_stay(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(rnd.choices(words, k=300)) for _ in range(30)]
+    copies = []
+    for t in texts[:10]:
+        w = t.split()
+        w[rnd.randrange(300)] = "changed"
+        copies.append(" ".join(w))
+    docs = table(spark, texts + copies + texts[:3] + [None, ""])
+    kept = sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs).collect())
+    assert kept == [*range(30), 43] and simhash.keep_one_of_each(docs).columns == docs.columns
+
+
+def test_quality(spark):
+    rnd = random.Random(1)
+    good = [" ".join(rnd.choices("the of and water light house garden morning".split(), k=60)) for _ in range(80)]
+    bad = ["!! ".join(rnd.choices("BUY NOW FREE CLICK WIN".split(), k=60)) for _ in range(80)]
+    docs = table(spark, good + bad + [None, ""])
+    labels = spark.createDataFrame([(i, int(i < 80), 0) for i in range(160)], "doc_id long, quality int, toxic int")
+    got = by_id(quality.classify(docs, labels))
+    assert len(got) == 162 and all(0 <= r["score"] <= 1 for r in got.values())
+    assert sum(got[i]["predicted"] == int(i < 80) for i in range(160) if got[i]["held_out"]) == sum(got[i]["held_out"] for i in range(160))
+    assert by_id(quality.classify(docs, labels.limit(0)))[0]["score"] == 0.5
+
+
+def test_language(spark):
+    de, en = "der und die nicht ich auch eine werden", "the and of which have with from this"
+    rnd = random.Random(2)
+    rows = [(i, " ".join(rnd.choices((de if i % 2 else en).split(), k=40)), "de" if i % 2 else "en") for i in range(60)] + [(60, None, None), (61, "123 !!", None), (62, "", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(language.classify(docs))
+    assert all(got[i]["lang_pred"] == rows[i][2] for i in range(60)) and [got[i]["lang_pred"] for i in (60, 61, 62)] == ["und"] * 3
+    assert sorted(r["doc_id"] for r in language.keep_identified(docs).collect()) == list(range(60))
+    assert language.classify(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 936, 937, 938, 20000])
+def test_audio_round_trip_of_any_bytes(n):
+    payload = audio.padded(os.urandom(n))
+    s = audio.parse(audio.pack(payload))
+    assert audio.unpack(s) == payload and s.failed == s.skipped == 0 and s.table[0] == len(s.offsets)
+
+
+def test_audio_resynchronises_and_checks(spark):
+    media = audio.pack(audio.padded(b"\xff\xfb\x90\x00" * 3000))
+    start = media.index(b"\xff\xfa")
+    s = audio.parse(b"junk\xff\xe0" * 5 + media[start:] + b"TAG" + b"title".ljust(30, b"\0") + bytes(95))
+    assert (s.skipped, s.failed, s.tags["title"]) == (30, 0, "title") and len(s.offsets) == 13 and s.samples == 13 * 1152
+    broken = bytearray(media)
+    broken[start + 4] ^= 1
+    assert audio.parse(bytes(broken)).failed == 1
+    got = by_id(audio.inspect(audio.store_texts(table(spark, EDGE)), "doc_id", "n_bytes"))
+    assert [got[i]["payload_sha256"] for i in range(len(EDGE))] == [hashlib.sha256(audio.padded((t or "").encode())).hexdigest() for t in EDGE]
+
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall("".join(c.lower() if c.isascii() else c for c in text or ""))
+
+
+def test_decontamination(spark):
+    passage = " ".join(f"p{i}" for i in range(14))
+    items = [(1, passage), (2, "Two Words"), (3, None), (4, passage + " tail"), (5, "--"), (5, "two words")]
+    texts = [f"lead {passage.upper()} end", "has two, WORDS and two words", passage.replace("p7", "q7"), None, "", "clean text", "two", f"{passage} {passage}", "clean text"]
+    docs = table(spark, texts)
+    got = by_id(decontaminate.find_hits(docs, spark.createDataFrame(items, "item_id long, text string")))
+    for i, t in enumerate(texts):
+        w, hit, found = words(t), set(), set()
+        for item, text in items:
+            b = words(text)
+            n = min(10, len(b))
+            for k in range(len(b) - n + 1 if n else 0):
+                for j in range(len(w) - n + 1):
+                    if w[j : j + n] == b[k : k + n]:
+                        hit |= set(range(j, j + n))
+                        found.add(str(item))
+        assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) == (len(w), len(hit), sorted(found)), i
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.remove_documents(docs, bench).collect()) == [2, 3, 4, 5, 6, 8]
+    assert by_id(decontaminate.remove_spans(docs, bench))[1]["text"].split() == ["has", ",", "and"]
+    assert by_id(decontaminate.find_hits(docs, bench.limit(0)))[0]["n_hit"] == 0
+    assert decontaminate.find_hits(docs.limit(0), bench).count() == 0
+
+
+def test_warc_rejects_magic_in_payloads(spark):
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:999>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    long = "x" * 150
+    rows = [(i, f"http://a/{i}\r\nX: y", h) for i, h in enumerate([None, "", "short", "short", long, inner + "tail", long, inner * 3, "é" * 80, long])]
+    got = {r["page_id"]: r for r in warc.archive_and_read(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sorted(got) == list(range(10)) and all(r["digest_ok"] for r in got.values())
+    for i, _, h in rows:
+        data = (h or "").encode()
+        assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
+    assert {i: got[i]["refers_to"] for i in got if got[i]["record_type"] == "revisit"} == {6: 4, 9: 4}
+
+
+def test_bpe_pieces_and_round_trip(spark):
+    ranks = bpe.Ranks()
+    e = ranks.encoding()
+    text = "don't  stop  here \x1c x   \n\n  Ärger 123 '''s " * 400
+    assert bpe.encode(e, text, 50) == e.encode_ordinary(text) and "".join(bpe.pieces(text, 50)) == text
+    assert list(bpe.pieces("y" * 500, 50)) == ["y" * 500]
+    got = by_id(bpe.round_trip(table(spark, EDGE)))
+    other = by_id(bpe.decode_ids(bpe.encode_texts(table(spark, EDGE))))
+    for i, t in enumerate(EDGE):
+        ids = e.encode_ordinary(t or "")
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())
+        assert tuple(got[i])[1:] == want and (other[i]["n_tokens"], other[i]["ids_sha256"], other[i]["decoded_sha256"]) == want
+    assert isinstance(e, tiktoken.Encoding)
+
+
+def test_line_dedup_both_ways_and_reversible(spark):
+    texts = [f" Shared Line\t\nown {i}\n\nshared line" for i in range(4)] + ["own 0", None, "", "shared  line"]
+    docs, few = table(spark, texts), table(spark, texts[:1])
+    counts = linededup.reference_counts(docs)
+    for limit in (100, 0):
+        got = by_id(linededup.drop_lines(docs, linededup.FrequentLines(counts, 4, limit), "doc_id"))
+        assert [(got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept"]) for i in (0, 5, 7)] == [(4, 2, "own 0\n"), (1, 0, ""), (1, 0, "shared  line")]
+    back = {bytes(r["key"]): r["refs"] for r in linededup.updated_counts(linededup.updated_counts(counts, few), None, few).collect()}
+    assert back == {bytes(r["key"]): r["refs"] for r in counts.collect()}
+    assert all(linededup.updated_counts(counts, None, docs).isEmpty() for _ in range(1))
+    kept = by_id(linededup.without_frequent_lines(docs, 4))
+    assert (kept[0]["text"], kept[5]["text"], kept[6]["text"]) == ("own 0\n", None, "") and linededup.without_frequent_lines(docs, 4).columns == docs.columns
+
+
+def test_cuckoo_filters_follow_the_keys(spark):
+    keys = [hashlib.blake2b(str(i).encode(), digest_size=16).digest() for i in range(3000)]
+    made = CuckooFilter.load(CuckooFilter.of(keys[:2000]).dump())
+    assert all(k in made for k in keys[:2000]) and sum(k in made for k in keys[2000:]) < 10
+    assert made.remove(keys[0]) and all(k in made for k in keys[1:2000])
+    frame = lambda ks: spark.createDataFrame([(bytearray(k),) for k in ks], "key binary")
+    first = linededup.shard_filters(frame(keys[:50]), 3)
+    after = {r["shard"]: CuckooFilter.load(bytes(r["cells"])) for r in linededup.updated_filters(first, frame(keys[:50]), frame(keys[10:400]), 3).collect()}
+    assert all(k in after[int.from_bytes(k[10:14], "big") % 3] for k in keys[10:400])
+
+
+def test_secrets_base_and_linked(spark):
+    access, weak = "AKIA" + "A1B2" * 4, "aB3/" * 10
+    texts = [
+        f"id {access} key {weak} at https://api.example.com:8443/x", f"only {weak} and https://h.example.com", f"{access} " + "z " * 400 + weak, f"é𝄞 password=abcdefg TOKEN: 'x1' {access}",
+        None, "", "deadbeef" * 4 + " secret=token:abcdefgh", f"{access} https://h.example.com", f"{access} https://h.example.com api_key=abcdef1",
+    ]
+    got = by_id(secret_scan.report(table(spark, texts)))
+    a = re.compile(secret_scan.ASSIGN.removeprefix("(?i)"), re.I | re.A)
+    for i, t in enumerate(texts):
+        t = t or ""
+        spans = [(m.start(), 0, "assign", m.end()) for m in a.finditer(t) if len(m[2]) >= 6] + [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        base = ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest(), i
+    linked = {i: [x.split(":")[0] for x in r["spans"].split(",") if x.startswith("linked")] for i, r in got.items()}
+    assert linked == {**{i: [] for i in range(9)}, 0: ["linked_secret", "linked_endpoint"], 8: ["linked_endpoint"]}
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_add_up(spark, rule):
+    ranks = bpe.Ranks()
+    e = ranks.encoding()
+    for i, r in by_id(token_counts.count_sections(table(spark, EDGE), rule)).items():
+        text = EDGE[i] or ""
+        assert r["n_tokens"] == len(e.encode_ordinary(text)) == sum(r["section_tokens"]) and sum(r["section_chars"]) == len(text)
+
+
+def test_boundary_rules():
+    starts, ends, cuts = np.array([0, 3, 7]), np.array([3, 7, 8]), np.array([0, 4, 7])
+    assert [token_counts.allocate(starts, ends, cuts, r).tolist() for r in token_counts.RULES] == [[0, 0, 2], [0, 1, 2], [0, 1, 2]]

@@ -1,0 +1,25 @@
+import corpus_pipeline
+from centime.llm import bpe, decontaminate, language, linededup, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_keep_columns_and_act(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    columns = docs.columns
+    rejected = {r[0] for r in language.identify(docs, language.fit_not_held_out(docs)).where("rejected").select("doc_id").collect()}
+    one = corpus_pipeline.language_id(spark, docs, SF).cache()
+    assert {r[0] for r in one.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()} - rejected
+    two = corpus_pipeline.line_dedup(spark, one, SF).cache()
+    want = {r["doc_id"]: r["kept"] for r in linededup.dedup_lines(one).collect()}
+    assert {r["doc_id"]: r["text"] for r in two.collect()} == want
+    three = corpus_pipeline.near_dedup(spark, two, SF).cache()
+    groups = {r["doc_id"]: r["group"] for r in simhash.wide_groups(two).collect()}
+    assert {r[0] for r in three.select("doc_id").collect()} == {i for i, g in groups.items() if i == g}
+    four = corpus_pipeline.decontamination(spark, three, SF).cache()
+    bad = {r[0] for r in decontaminate.find_hits(three, bench).where("n_hit > 0").select("doc_id").collect()}
+    assert {r[0] for r in four.select("doc_id").collect()} == {r[0] for r in three.select("doc_id").collect()} - bad
+    assert one.columns == two.columns == three.columns == four.columns == columns
+    last = {tuple(r) for r in bpe.round_trip(four).collect()}
+    assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == last and last
