@@ -21,6 +21,8 @@ from .common import checkpoint_dir, checkpointed, map_rows
 REVISIT_BYTES, RECORDS_PER_FILE = 100, 2000
 #: Repeated digests (about 80 bytes each) up to which their table is broadcast.
 BROADCAST_DIGESTS = 200_000
+#: Links that one task of a pointer-jumping round takes.
+ROWS_PER_TASK = 200_000
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = b"\r\n\r\n"
 
@@ -120,15 +122,16 @@ def reachable(links: DataFrame) -> DataFrame:
 
     Round k knows the first 2**k places of each chain and jumps of 2**k links, and doubles both.
     """
-    jumps = checkpointed(links.select("file", "at", "next"))
+    parts = links.count() // ROWS_PER_TASK + 1  # the rows are small: a folder full of tiny files would cost more than they do
+    jumps = checkpointed(links.select("file", "at", "next").coalesce(parts))
     seen = jumps.where("at = 0").select("file", "at")
     while True:
-        new = checkpointed(seen.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at")))
+        new = checkpointed(seen.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at")).coalesce(parts))
         if new.isEmpty():
             return seen
-        seen = seen.union(new)
+        seen = seen.union(new).coalesce(parts)
         onward = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
-        jumps = checkpointed(jumps.join(onward, ["file", "next"]).select("file", "at", F.col("after").alias("next")))
+        jumps = checkpointed(jumps.join(onward, ["file", "next"]).select("file", "at", F.col("after").alias("next")).coalesce(parts))
 
 
 def read_archives(spark, folder: str) -> DataFrame:
