@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hashed_sample, map_rows
+from .common import checkpointed, crc_mod, hashed_sample, map_rows
 from .compression import Sizer, raw_dictionary, slice_of
 
 #: The bound on labelled rows of each class that a model is fitted on, and how they are used.
@@ -54,20 +54,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return w[0] / scale, w[1]
 
 
-def fit(labelled: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Fit on ``labelled`` (doc_id, text, quality 0 or 1), of which at most ``per_class`` rows a class reach the driver.
+def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[dict[int, int], dict[int, list[bytes]]]:
+    """How many labelled documents each class has, and the texts of at most ``per_class`` of them.
+
+    Ids are joined first and the sample is taken of them, so that only the texts of the bounded sample ever leave the scan.
+    Of an id's repeated rows the least text is taken.
+    """
+    known = labels.where("quality in (0, 1)").select("doc_id", "quality")
+    ids = checkpointed(docs.where("text is not null").select("doc_id").join(known, "doc_id").distinct())
+    totals = {r[0]: r[1] for r in ids.groupBy("quality").count().collect()}
+    sample = hashed_sample(ids, "doc_id", "quality", per_class)
+    picked = docs.sparkSession.createDataFrame([(r["doc_id"],) for rows in sample.values() for r in rows], docs.select("doc_id").schema).distinct()
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    text = {r["doc_id"]: r["text"].encode() for r in found.collect()}
+    return totals, {k: [text[r["doc_id"]] for r in rows] for k, rows in sample.items()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
+    """Fit on ``docs`` (doc_id, text) by ``labels`` (doc_id, quality 0 or 1); at most ``per_class`` texts a class reach the driver.
 
     Half of each sample makes the dictionaries, the other half the curve, weighted to the classes' true shares. With a class
-    missing, every score is the share of class 1 (0.5 without rows).
+    missing, every score is the share of class 1 (0.5 without rows). Null ids, texts and labels are left out.
     """
-    rows = labelled.where("quality in (0, 1) and text is not null").select("doc_id", "text", "quality")
-    totals = {r[0]: r[1] for r in rows.groupBy("quality").count().collect()}
-    sample = hashed_sample(rows, "doc_id", "quality", per_class)
+    totals, texts = _sample(docs, labels, per_class)
     n = sum(totals.values())
     if len(totals) < 2:
         p = min(max(totals.get(1, 0) / n, 0.001), 0.999) if n else 0.5
         return QualityModel(b"-", b"-", 0.0, math.log(p / (1 - p)))
-    texts = {k: [r["text"].encode() for r in v] for k, v in sample.items()}
     halves = {k: (v[::2], v[1::2] or v) for k, v in texts.items()}
     model = QualityModel(*(raw_dictionary([slice_of(t, SLICE_BYTES) for t in halves[k][0]], DICTIONARY_BYTES) or b"-" for k in (1, 0)))
     measure = model.measure()
@@ -100,5 +113,5 @@ def held_out(column):
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted): fitted on labelled rows that are not held out, applied to all rows."""
     known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")))
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    model = fit(docs, known)
     return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
