@@ -142,43 +142,40 @@ def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, blocks array<int>")
 
 
-def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, most: int = 32, pivots: int = 3) -> DataFrame:
+def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, pivots: int = 1) -> DataFrame:
     """(doc_id, group): near copies of long fingerprints, group being the least doc_id among those linked.
 
-    Distinct fingerprints that share a block are compared and linked within ``radius`` bits. In a bucket over ``most`` each
-    member is compared with a pivot first (the least by a hash that changes with the round); those within the radius are
-    linked to it and leave the bucket, the others go into the next round. What is left after ``pivots`` rounds is compared in
-    full. So thousands of near copies cost a row each instead of a pair each, and no member goes uncompared.
-    Null and empty texts form one group; null ids are left out.
+    Distinct fingerprints that share a block form a bucket. In each of ``pivots`` rounds one member of every bucket (the least
+    by a hash of member and bucket) is compared with the others, links within ``radius`` bits are made, the pivot leaves its
+    bucket, and buckets whose members are all in one group are done. What is left is compared in full, but for pairs that are
+    in one group already. So a group of thousands of near copies costs rows in proportion to its members, and every pair that
+    could still join two groups is compared. Null and empty texts form one group; null ids are left out.
     """
     fps = checkpointed(wide_fingerprints(docs.where("doc_id is not null"), shingle))
     classes = checkpointed(fps.groupBy("blocks").agg(F.min("doc_id").alias("id")))
-    n = LANES * 64 // BLOCK_BITS
-    rows = classes.select("id", F.posexplode("blocks").alias("t", "key"))
-    sizes = checkpointed(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
-    held = checkpointed(rows.join(sizes, ["t", "key"]))
-    few, many = held.where(F.col("n") <= most).select("t", "key", "id"), held.where(F.col("n") > most).select("t", "key", "id")
-    prints = classes.select("id", "blocks")
+    prints, n, bucket = classes.select("id", "blocks"), LANES * 64 // BLOCK_BITS, ["t", "key"]
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) with their distance d."""
+        """The pairs (a, b) within the radius."""
         x, y = prints.toDF("a", "x"), prints.toDF("b", "y")
         d = reduce(lambda p, q: p + q, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(n)])
-        return pairs.join(x, "a").join(y, "b").withColumn("d", d).drop("x", "y")
-
-    links = []
-    for k in range(pivots):
-        order = F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id"))
-        pivot = checkpointed(many.groupBy("t", "key").agg(F.min(order)["id"].alias("a")))
-        if pivot.isEmpty():
-            break
-        near = checkpointed(verified(many.withColumnRenamed("id", "b").join(pivot, ["t", "key"]).where("a <> b")))
-        links.append(near.where(F.col("d") <= radius).select("a", "b"))
-        many = near.where(F.col("d") > radius).select("t", "key", F.col("b").alias("id"))
-    rest = few.union(many)
-    pairs = rest.alias("p").join(rest.alias("q"), ["t", "key"]).where("p.id < q.id").select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
-    links.append(verified(pairs).where(F.col("d") <= radius).select("a", "b"))
-    roots = components(reduce(DataFrame.union, links))
+        return pairs.distinct().join(x, "a").join(y, "b").where(d <= radius).select("a", "b")
+
+    rows = classes.select("id", F.posexplode("blocks").alias("t", "key"))
+    shared = checkpointed(rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket))
+    rest = checkpointed(rows.join(shared, bucket).select(*bucket, "id", F.col("id").alias("group")))
+    links = prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    for _ in range(pivots):
+        least = F.min(F.struct(F.xxhash64("id", *bucket).alias("h"), "id", "group")).alias("p")
+        pivot = checkpointed(rest.groupBy(*bucket).agg(least).select(*bucket, F.col("p.id").alias("a"), F.col("p.group").alias("of")))
+        others = checkpointed(rest.join(pivot, bucket).where("id <> a"))
+        roots = components(links.union(verified(others.where("group <> of").select("a", F.col("id").alias("b")))))
+        links = roots.toDF("a", "b")
+        grouped = checkpointed(others.join(roots, others.id == roots.node, "left").select(*bucket, "id", F.coalesce("root", "id").alias("group")))
+        mixed = checkpointed(grouped.groupBy(*bucket).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select(*bucket))
+        rest = checkpointed(grouped.join(mixed, bucket))
+    last = rest.alias("p").join(rest.alias("q"), bucket).where("p.id < q.id and p.group <> q.group")
+    roots = components(links.union(verified(last.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))))
     of = checkpointed(classes.join(roots, classes.id == roots.node, "left").select("blocks", F.coalesce("root", "id").alias("group")))
     return fps.join(of, "blocks").select("doc_id", "group")
 
