@@ -46,6 +46,37 @@ def test_simhash_fingerprints_and_groups(spark):
     assert simhash.near_groups(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [0, 1, 2])
+def test_wide_groups_join_all_that_share_a_block_within_the_radius(spark, pivots):
+    rnd, texts = random.Random(8), []
+    for _ in range(4):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+        for _ in range(22):
+            words, edits = list(base), rnd.choice([0, 1, 2, 3, 5, 9])
+            for at in rnd.sample(range(150), edits):
+                words[at] = f"w{rnd.randrange(5000)}"
+            texts.append(" ".join(words))
+    texts += ["", None, "one", "one"]
+    bits = [simhash.signature((t or "").encode(), 5, simhash.LANES) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            apart = bits[a] != bits[b]
+            if apart.sum() <= simhash.WIDE_RADIUS and not apart.reshape(-1, simhash.BLOCK_BITS).any(axis=1).all():
+                x, y = sorted((top(a), top(b)))
+                parent[y] = x
+    got = by_id(simhash.wide_groups(table(spark, texts), pivots=pivots))
+    assert [got[i]["group"] for i in range(len(texts))] == [top(i) for i in range(len(texts))]
+    assert len({top(i) for i in range(len(texts))}) > 6
+    assert simhash.wide_groups(table(spark, []), pivots=pivots).count() == 0
+
+
 @pytest.mark.parametrize("most", [64, 3])
 def test_close_pairs_find_all_components(spark, most):
     rnd = random.Random(5)
