@@ -6,7 +6,7 @@ Two forms share the steps:
   ``radius + 3`` blocks; two fingerprints within the radius agree in at least 3 of them, so they share a key of 3 blocks
   (about 38 bits), which stays selective for billions of texts.
 * ``wide_groups``: long fingerprints for similarities of 0.8 and more, where 64 bits tell too little. They are split
-  into 24-bit blocks; pairs that share one are verified by the Hamming distance of the whole fingerprints.
+  into 24-bit blocks in two orders; pairs that share one are verified by the Hamming distance of the whole fingerprints.
 
 Both work on distinct fingerprints, one representative each, so copies never meet each other in pairs.
 """
@@ -126,58 +126,66 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: 24 lanes of 64 bits make 64 blocks of 24 bits. Texts whose five-word shingles have a similarity of 0.8
-#: differ in about 0.156 of the bits; pairs that differ in fewer than 64 bits always share a block.
-LANES, BLOCK_BITS, WIDE_RADIUS = 24, 24, 240
+#: Wide fingerprints: 24 lanes of 64 bits. Texts whose five-word shingles have a similarity of 0.8 differ in about 0.151 of the
+#: bits (232 of 1,536, give or take 14). Each of the two block orders (bits as they come, and every 64th) makes 64 blocks of 24.
+LANES, BLOCK_BITS, WIDE_RADIUS = 24, 24, 256
+#: Differing bits of lane 0 above which a pair is not looked up: at the radius about 10.7 are expected, 4.5 deviations fewer.
+SKETCH_RADIUS = 24
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, blocks): the wide fingerprint as an array of 24-bit numbers."""
+    """(doc_id, fp, keys): the wide fingerprint's lanes, and its blocks, each a number that holds its place and its bits."""
 
     def make():
         weights = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64)
-        return lambda r: (r[0], (signature(r[1], shingle, LANES).reshape(-1, BLOCK_BITS) @ weights).tolist())
+        place = np.arange(2 * LANES * 64 // BLOCK_BITS) << BLOCK_BITS
+
+        def row(r):
+            bits = signature(r[1], shingle, LANES)
+            blocks = np.concatenate([bits.reshape(-1, BLOCK_BITS), bits.reshape(BLOCK_BITS, -1).T])
+            return r[0], np.packbits(bits).view(">i8").tolist(), (blocks @ weights + place).tolist()
+
+        return row
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, blocks array<int>")
+    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, fp array<long>, keys array<long>")
 
 
-def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, pivots: int = 1) -> DataFrame:
+def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """(doc_id, group): near copies of long fingerprints, group being the least doc_id among those linked.
 
-    Distinct fingerprints that share a block form a bucket. In each of ``pivots`` rounds one member of every bucket (the least
-    by a hash of member and bucket) is compared with the others, links within ``radius`` bits are made, the pivot leaves its
-    bucket, and buckets whose members are all in one group are done. What is left is compared in full, but for pairs that are
-    in one group already. So a group of thousands of near copies costs rows in proportion to its members, and every pair that
-    could still join two groups is compared. Null and empty texts form one group; null ids are left out.
+    Distinct fingerprints that share a block form a bucket. First every member is compared with its bucket's pivot, the least
+    id, and what is within ``radius`` is linked; buckets whose members are all in one group then are done. The others are
+    compared in full, but for pairs that are in one group already. So a group of thousands of near copies costs rows in
+    proportion to its members, and every pair that could still join two groups is compared. Lane 0 travels with the keys and
+    drops unlike pairs inside the join, before whole fingerprints are fetched. Null and empty texts form one group; null ids
+    are left out.
     """
     fps = checkpointed(wide_fingerprints(docs.where("doc_id is not null"), shingle))
-    classes = checkpointed(fps.groupBy("blocks").agg(F.min("doc_id").alias("id")))
-    prints, n, bucket = classes.select("id", "blocks"), LANES * 64 // BLOCK_BITS, ["t", "key"]
+    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
+    prints = classes.select("id", "fp")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) within the radius."""
         x, y = prints.toDF("a", "x"), prints.toDF("b", "y")
-        d = reduce(lambda p, q: p + q, [F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(n)])
+        d = reduce(lambda p, q: p + q, [_distance(F.col("x")[i], F.col("y")[i]) for i in range(LANES)])
         return pairs.distinct().join(x, "a").join(y, "b").where(d <= radius).select("a", "b")
 
-    rows = classes.select("id", F.posexplode("blocks").alias("t", "key"))
-    shared = checkpointed(rows.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1").select(*bucket))
-    rest = checkpointed(rows.join(shared, bucket).select(*bucket, "id", F.col("id").alias("group")))
-    links = prints.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    for _ in range(pivots):
-        least = F.min(F.struct(F.xxhash64("id", *bucket).alias("h"), "id", "group")).alias("p")
-        pivot = checkpointed(rest.groupBy(*bucket).agg(least).select(*bucket, F.col("p.id").alias("a"), F.col("p.group").alias("of")))
-        others = checkpointed(rest.join(pivot, bucket).where("id <> a"))
-        roots = components(links.union(verified(others.where("group <> of").select("a", F.col("id").alias("b")))))
-        links = roots.toDF("a", "b")
-        grouped = checkpointed(others.join(roots, others.id == roots.node, "left").select(*bucket, "id", F.coalesce("root", "id").alias("group")))
-        mixed = checkpointed(grouped.groupBy(*bucket).agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select(*bucket))
-        rest = checkpointed(grouped.join(mixed, bucket))
-    last = rest.alias("p").join(rest.alias("q"), bucket).where("p.id < q.id and p.group <> q.group")
-    roots = components(links.union(verified(last.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))))
-    of = checkpointed(classes.join(roots, classes.id == roots.node, "left").select("blocks", F.coalesce("root", "id").alias("group")))
-    return fps.join(of, "blocks").select("doc_id", "group")
+    def alike(a: str, b: str) -> Column:
+        return _distance(F.col(a), F.col(b)) <= SKETCH_RADIUS
+
+    rows = classes.select(F.explode("keys").alias("key"), "id", F.col("fp")[0].alias("sketch"))
+    least = F.min(F.struct("id", "sketch")).alias("p")
+    pivots = checkpointed(rows.groupBy("key").agg(least, F.count("*").alias("n")).where("n > 1").select("key", F.col("p.id").alias("a"), F.col("p.sketch").alias("of")))
+    others = checkpointed(rows.join(pivots, "key").where("id <> a"))
+    links = components(verified(others.where(alike("sketch", "of")).select("a", F.col("id").alias("b"))))
+    grouped = checkpointed(others.join(links, others.id == links.node, "left").select("key", "id", "sketch", F.coalesce("root", "id").alias("group")))
+    mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
+    rest = checkpointed(grouped.join(checkpointed(mixed), "key"))
+    last = rest.alias("p").join(rest.alias("q"), "key").where((F.expr("p.id < q.id and p.group <> q.group")) & alike("p.sketch", "q.sketch"))
+    roots = components(links.toDF("a", "b").union(verified(last.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))))
+    of = checkpointed(classes.join(roots, classes.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("group")))
+    return fps.select("doc_id", "fp").join(of, "fp").select("doc_id", "group")
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
