@@ -158,7 +158,8 @@ def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) ->
     id, and what is within ``radius`` is linked; buckets whose members are all in one group then are done. The others are
     compared in full, but for pairs that are in one group already. So a group of thousands of near copies costs rows in
     proportion to its members, and every pair that could still join two groups is compared. Lane 0 travels with the keys and
-    drops unlike pairs inside the join, before whole fingerprints are fetched. Null and empty texts form one group; null ids
+    drops members unlike the pivot before whole fingerprints are fetched. Members of the buckets that are left take their
+    fingerprints along, so that the join compares them and emits links only. Null and empty texts form one group; null ids
     are left out.
     """
     fps = checkpointed(wide_fingerprints(docs.where("doc_id is not null"), shingle))
@@ -168,22 +169,21 @@ def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) ->
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) within the radius."""
         x, y = prints.toDF("a", "x"), prints.toDF("b", "y")
-        d = reduce(lambda p, q: p + q, [_distance(F.col("x")[i], F.col("y")[i]) for i in range(LANES)])
-        return pairs.distinct().join(x, "a").join(y, "b").where(d <= radius).select("a", "b")
+        return pairs.distinct().join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b")
 
-    def alike(a: str, b: str) -> Column:
-        return _distance(F.col(a), F.col(b)) <= SKETCH_RADIUS
+    def near(x: str, y: str) -> Column:
+        return reduce(lambda p, q: p + q, [_distance(F.col(x)[i], F.col(y)[i]) for i in range(LANES)]) <= radius
 
     rows = classes.select(F.explode("keys").alias("key"), "id", F.col("fp")[0].alias("sketch"))
     least = F.min(F.struct("id", "sketch")).alias("p")
     pivots = checkpointed(rows.groupBy("key").agg(least, F.count("*").alias("n")).where("n > 1").select("key", F.col("p.id").alias("a"), F.col("p.sketch").alias("of")))
     others = checkpointed(rows.join(pivots, "key").where("id <> a"))
-    links = components(verified(others.where(alike("sketch", "of")).select("a", F.col("id").alias("b"))))
-    grouped = checkpointed(others.join(links, others.id == links.node, "left").select("key", "id", "sketch", F.coalesce("root", "id").alias("group")))
+    links = components(verified(others.where(_distance(F.col("sketch"), F.col("of")) <= SKETCH_RADIUS).select("a", F.col("id").alias("b"))))
+    grouped = checkpointed(others.join(links, others.id == links.node, "left").select("key", "id", F.coalesce("root", "id").alias("group")))
     mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    rest = checkpointed(grouped.join(checkpointed(mixed), "key"))
-    last = rest.alias("p").join(rest.alias("q"), "key").where((F.expr("p.id < q.id and p.group <> q.group")) & alike("p.sketch", "q.sketch"))
-    roots = components(links.toDF("a", "b").union(verified(last.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")))))
+    rest = checkpointed(grouped.join(checkpointed(mixed), "key").join(prints, "id"))
+    last = rest.alias("p").join(rest.alias("q"), "key").where(F.expr("p.id < q.id and p.group <> q.group") & near("p.fp", "q.fp"))
+    roots = components(links.toDF("a", "b").union(last.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))))
     of = checkpointed(classes.join(roots, classes.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("group")))
     return fps.select("doc_id", "fp").join(of, "fp").select("doc_id", "group")
 
