@@ -188,7 +188,161 @@ def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) ->
     return fps.select("doc_id", "fp").join(of, "fp").select("doc_id", "group")
 
 
+#: Least Jaccard similarity of near copies' shingle sets, as a fraction of whole numbers, so that no comparison rounds.
+SIMILAR = (4, 5)
+#: Pivot rounds go on while more pairs than so many a row are left and a round settles a fifth of them, up to so many rounds.
+PAIRS_A_ROW, PIVOT_ROUNDS = 2, 8
+#: Prefix hashes of more rows than COMMON go to the end of the order, in so many rounds; the most frequent MOST_COMMON of a round.
+COMMON, COMMON_ROUNDS, MOST_COMMON = 16, 3, 100_000
+
+
+def shingle_set(text: bytes | None, size: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles in ascending order. No words: none."""
+    words = (text or b"").lower().split()
+    total = max(len(words) - size + 1, 1) if words else 0
+    parts = [np.unique(_shingle_hashes(words, size, start)) for start in range(0, total, CHUNK)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+
+def _row_digest(docs: DataFrame) -> Column:
+    return F.md5(F.to_json(F.struct(*docs.columns)))
+
+
+def _prefixes(docs: DataFrame, shingle: int, common: dict[int, int]) -> DataFrame:
+    """(row, doc_id, node, n, keys): a row's digest, its shingle set's digest and size, and the set's first hashes.
+
+    The order is that of the hashes, but ``common`` ones (with their counts) come last, the most frequent at the very end.
+
+    Two sets of a similarity of at least 0.8 share one of the first n - ceil(0.8 n) + 1 hashes of each, whatever the order
+    is, as long as it is one for all: those that are left out are fewer than what they must have in common.
+    """
+    num, den = SIMILAR
+    late = np.array(sorted(common), dtype=np.uint64)
+    counts = np.array([0, *[common[int(k)] for k in late]])
+
+    def make():
+        def row(r):
+            h = shingle_set(r[2], shingle)
+            if len(late):
+                at = np.searchsorted(late, h)
+                n = counts[np.where(late[np.minimum(at, len(late) - 1)] == h, at + 1, 0)]
+                ranked = h[np.argsort(n, kind="stable")] if n.any() else h
+            else:
+                ranked = h
+            keys = ranked[: len(h) - -(-num * len(h) // den) + 1].view(np.int64)
+            return r[0].decode(), r[1].decode() if isinstance(r[1], bytes) else r[1], xxhash.xxh128_hexdigest(h.tobytes()), len(h), keys.tolist()
+
+        return row
+
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return map_rows(docs.select(_row_digest(docs).alias("row"), "doc_id", "text"), make, f"row string, doc_id {kind}, node string, n int, keys array<long>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles): the whole shingle sets of the rows that ``wanted`` (row, node) names."""
+
+    def make():
+        return lambda r: (r[0].decode(), shingle_set(r[1], shingle).tobytes())
+
+    texts = docs.select(_row_digest(docs).alias("row"), "text").join(wanted, "row").select("node", "text")
+    return map_rows(texts, make, "node string, shingles binary").dropDuplicates(["node"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar."""
+    num, den = SIMILAR
+
+    def make():
+        def row(r):
+            x, y = np.frombuffer(r[2], dtype=np.uint64), np.frombuffer(r[3], dtype=np.uint64)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            return (r[0].decode(), r[1].decode()) if common * den >= num * (len(x) + len(y) - common) else None
+
+        return row
+
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return map_rows(met.select("a", "b", "x", "y"), make, "a string, b string")
+
+
+def _may_be_similar(p: str, q: str) -> Column:
+    """Whether sets whose first common hash is at places ``at`` can have enough in common; a later one may fail, the first can't."""
+    num, den = SIMILAR
+    most = F.expr(f"least({p}.n - {p}.at, {q}.n - {q}.at)")
+    return most * (num + den) >= num * F.expr(f"({p}.n + {q}.n)")
+
+
+def shingle_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(row, doc_id, group) of each row of ``docs``: groups of texts linked by a shingle similarity of 0.8 or more.
+
+    Rows are told apart by a digest of all columns. Equal shingle sets are one node. Nodes that share a hash of their
+    prefixes form a bucket; frequent hashes are moved out of the prefixes first, round by round. Every pair that could join two groups is compared on its whole sets, so that groups are
+    those of brute force, but for collisions of 64-bit hashes. Members of a bucket are compared with its pivot first; the
+    pivot then has met all and leaves, and so do buckets whose members are in one group. When few pairs are left, or
+    a round settles few, the others of like size are compared within the join. Texts without words form one group.
+    """
+    common: dict[int, int] = {}
+    for _ in range(COMMON_ROUNDS):
+        rows = checkpointed(_prefixes(docs, shingle, common))
+        found = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > COMMON).orderBy(F.desc("m"), "key").limit(MOST_COMMON).collect()
+        found = {r["key"] % (1 << 64): r["m"] for r in found}
+        if found.keys() <= common.keys():
+            break
+        common = common | found
+    else:
+        rows = checkpointed(_prefixes(docs, shingle, common))
+    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    spots = checkpointed(nodes.select("node", "row", "n", F.posexplode("keys").alias("at", "key")))
+    shared = checkpointed(spots.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    held = checkpointed(spots.join(shared, "key"))
+    sets = checkpointed(_sets(docs, held.select("row", "node").distinct(), shingle))
+    held, links = held.select("key", "node", "n", "at", F.col("node").alias("group")), None
+
+    before = 0
+    for left in range(PIVOT_ROUNDS, -1, -1):
+        open_, n_rows, n_pairs = _unsettled(held)
+        if n_pairs <= PAIRS_A_ROW * n_rows or before and n_pairs > 0.8 * before or not left:
+            break
+        before = n_pairs
+        pivots = checkpointed(open_.groupBy("key").agg(F.min(F.struct("node", "n", "at", "group")).alias("p")).select("key", "p.*"))
+        met = open_.alias("q").join(pivots.alias("p"), "key").where(F.expr("p.group <> q.group") & _may_be_similar("p", "q"))
+        held = open_.join(pivots.select("key", F.col("node").alias("done")), "key").where("node <> done").drop("done")
+        links, held = _linked(met, sets, links, held)
+    if n_pairs:
+        of = open_.withColumn("band", F.floor(F.log("n") / F.log(F.lit(SIMILAR[1] / SIMILAR[0]))))
+        near = of.withColumn("band", F.explode(F.expr("array(band - 2, band - 1, band, band + 1, band + 2)")))
+        met = of.alias("p").join(near.alias("q"), ["key", "band"]).where(F.expr("p.node < q.node and p.group <> q.group") & _may_be_similar("p", "q"))
+        links, _ = _linked(met, sets, links, None)
+    if links is None:
+        return rows.select("row", "doc_id", F.col("node").alias("group"))
+    return rows.join(links, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("group"))
+
+
+def _unsettled(held: DataFrame) -> tuple[DataFrame, int, int]:
+    """The rows of buckets whose members are in more than one group, their number, and how many pairs of members are of two groups."""
+    of = checkpointed(held.groupBy("key", "group").agg(F.count("*").alias("m")))
+    mixed = checkpointed(of.groupBy("key").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("pairs")).where("pairs > 0"))
+    total = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
+    return checkpointed(held.join(mixed.select("key"), "key")), total[0], total[1]
+
+
+def _linked(met: DataFrame, sets: DataFrame, links: DataFrame | None, held: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """The roots (node, root) with those of the similar pairs of ``met`` (p, q) added, and ``held`` with the groups after that."""
+    pairs = checkpointed(met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+    edges = _similar(pairs, sets)
+    roots = checkpointed(components(edges if links is None else edges.union(links.toDF("a", "b"))))
+    if held is None:
+        return roots, None
+    return roots, held.drop("group").join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("group"))
+
+
 def keep_one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one document (the least doc_id) of each group of near copies; all columns stay, null ids stay."""
-    dropped = wide_groups(docs, shingle).where("doc_id <> group").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row (that of the least doc_id; null ids come last) of each group of near copies; all columns stay."""
+    rows = checkpointed(shingle_groups(docs, shingle).groupBy("row", "doc_id", "group").agg(F.count("*").alias("n")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    kept = checkpointed(rows.groupBy("group").agg(first).select(F.col("first.row").alias("row")))
+    dropped = checkpointed(rows.join(kept, "row", "left_anti").select(F.col("row").alias("__row")))
+    again = checkpointed(rows.where("n > 1").join(kept, "row").select(F.col("row").alias("__row")))
+    left = docs.withColumn("__row", _row_digest(docs)).join(dropped, "__row", "left_anti")
+    if not again.isEmpty():
+        left = left.join(again, "__row", "left_anti").unionByName(left.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
+    return left.select(*docs.columns)

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 from centime.llm import bpe, decontaminate, language, linededup, simhash
 
@@ -23,3 +25,35 @@ def test_stages_keep_columns_and_act(spark):
     assert one.columns == two.columns == three.columns == four.columns == columns
     last = {tuple(r) for r in bpe.round_trip(four).collect()}
     assert {tuple(r) for r in corpus_pipeline.run(spark, SF).collect()} == last and last
+
+
+def grams(text):
+    w = (text or "").lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+
+def test_near_dedup_gives_the_groups_of_brute_force_on_shingles(spark, monkeypatch):
+    rnd, texts = random.Random(8), []
+    passage = " ".join(f"p{i}" for i in range(40))
+    for _ in range(4):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+        for _ in range(22):
+            words = list(base)
+            for at in rnd.sample(range(150), rnd.choice([0, 1, 2, 3, 4, 5, 9])):
+                words[at] = f"w{rnd.randrange(5000)}"
+            texts.append(" ".join(words))
+    texts += [f"a b c d e f g h i j {w}" for w in ("k", "l")]  # similarity 0.75 - not near copies
+    texts += [passage + " " + " ".join(f"v{rnd.randrange(5000)}" for _ in range(n)) for n in (3, 20, 25, 30, 60) for _ in range(6)]
+    texts += ["", None, "one", "one"]
+    sets, group = [grams(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most, rounds in ((16, 8), (2, 2), (1000, 0)):
+        monkeypatch.setattr(simhash, "COMMON", most)
+        monkeypatch.setattr(simhash, "PIVOT_ROUNDS", rounds)
+        kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+        assert kept == set(group)
