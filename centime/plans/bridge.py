@@ -35,11 +35,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two payments for each fifth order: the first item, then the first two together (which competes for the first)."""
-    it = order_items(spark, sf_dir).where("order_id % 5 = 0 and idx <= 2")
-    sums = it.groupBy("order_id").agg(F.max(F.when(F.col("idx") == 1, F.col("cents"))).alias("one"), F.sum("cents").alias("both"), F.min("ship_date").alias("first"))
-    pays = F.array(F.struct((F.col("order_id") * 10 + 1).alias("tx_id"), F.col("one").alias("c")), F.struct((F.col("order_id") * 10 + 2).alias("tx_id"), F.col("both").alias("c")))
-    return sums.select(F.col("order_id").alias("order_key"), F.date_add("first", 1).alias("date"), F.inline(pays).alias("tx_id", "c")).select("tx_id", F.col("tx_id").alias("seq"), "order_key", "date", (-F.col("c")).alias("cents"))
+    """Up to four payments for each order: its first item, its first two (which compete for the first), all from the third on, and a cent over all."""
+    cents = lambda when: F.sum(F.when(F.expr(when), F.col("cents")))
+    sums = order_items(spark, sf_dir).groupBy("order_id").agg(cents("idx = 1").alias("one"), cents("idx <= 2").alias("both"), cents("idx >= 3").alias("rest"), (F.sum("cents") + 1).alias("over"), F.min("ship_date").alias("first"))
+    pays = F.array(*[F.struct((F.col("order_id") * 10 + i).alias("tx_id"), F.col(c).alias("c")) for i, c in enumerate(("one", "both", "rest", "over"), 1)])
+    pay = sums.select(F.col("order_id").alias("order_key"), F.date_add("first", 1).alias("date"), F.inline(pays).alias("tx_id", "c")).where("c is not null")
+    return pay.select("tx_id", F.col("tx_id").alias("seq"), "order_key", "date", (-F.col("c")).alias("cents"))
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:

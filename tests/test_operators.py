@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from centime.operators import cashflow, order_matching, orders, receipt_html, receipt_matching, splits
 from centime.operators.graph import components
 from centime.operators.subset_sum import first_subset
+from centime.plans import queries
 
 DAY = dt.date(2024, 1, 10)
 ITEM = "account int, order_id string, idx int, cents long, order_date date, ship_date date"
@@ -100,3 +101,26 @@ def test_receipt_page(spark):
     assert (got["format_detected"], got["apple_id"], str(got["receipt_date"]), got["order_id"], got["document_number"]) == ("table", "someone@example.com", "2025-01-22", "MX1234567", "123456789012")
     assert (got["subtotal_cents"], got["tax_cents"], got["total_cents"]) == (100898, 150, 101048)
     assert [(i["title"], i["cents"], i["subscription"]) for i in got["items"]] == [("First App", 199, False), ("Paper Plus", 100699, True)]
+
+
+def test_split_consume_replays_the_payments_of_every_order(spark):
+    sf, orders_of, want = "/root/testdata/sf0.001", {}, {}
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
+    for r in sorted(rows, key=lambda r: (r["l_orderkey"], r["l_linenumber"], r["l_partkey"], r["l_suppkey"], r["l_extendedprice"], r["l_shipdate"])):
+        ship = r["l_shipdate"].date() if isinstance(r["l_shipdate"], dt.datetime) else r["l_shipdate"]
+        orders_of.setdefault(r["l_orderkey"], []).append((round(r["l_extendedprice"] * 100), ship))
+    for order, items in orders_of.items():
+        cents, ships, used = [c for c, _ in items], [s for _, s in items], set()
+        gap = min(abs((min(ships) + dt.timedelta(1) - s).days) for s in ships)
+        score = 95 if gap == 0 else 90
+        for seq, amount in enumerate((cents[0], sum(cents[:2]), sum(cents[2:]) if cents[2:] else None, sum(cents) + 1), 1):
+            left = sorted((i for i in range(len(cents)) if i not in used), key=lambda i: -cents[i])
+            assert len(left) <= 20
+            found = [c for k in range(1, len(left) + 1) for c in combinations(range(len(left)), k) if sum(cents[left[i]] for i in c) == amount]
+            if found:
+                taken = [left[i] for i in min(found, key=lambda c: (len(c) > 1, c))]
+                used |= set(taken)
+                want[order * 10 + seq] = (order, [i + 1 for i in taken], score)
+    got = {r["tx_id"]: (r["order_id"], r["items"], r["score"]) for r in queries.QUERIES["split_consume"](spark, sf).collect()}
+    assert got == want
+    assert {o for o, _, _ in got.values()} == set(orders_of) and max(len(i) for _, i, _ in got.values()) > 2
