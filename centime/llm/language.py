@@ -78,7 +78,8 @@ def classify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that language identification rejects; all columns stay.
 
-    Rejections are few, so they are what is joined back. Rows with a null id are judged as one: they go if any is rejected.
+    Rejections are few, so they are what is joined back, by a digest of the text: rows of one id but other texts stay.
     """
-    rejected = identify(docs, fit_not_held_out(docs)).where("rejected").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(rejected, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+    texts = docs.select(F.md5("text").alias("doc_id"), "text")
+    rejected = identify(texts, fit_not_held_out(docs)).where("rejected").select(F.col("doc_id").alias("__text")).distinct()
+    return docs.join(rejected, F.md5(docs.text).eqNullSafe(F.col("__text")), "left_anti")

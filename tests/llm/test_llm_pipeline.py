@@ -57,3 +57,18 @@ def test_near_dedup_gives_the_groups_of_brute_force_on_shingles(spark, monkeypat
         monkeypatch.setattr(simhash, "PIVOT_ROUNDS", rounds)
         kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
         assert kept == set(group)
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b + " end"), (7, a), (None, a), (9, "z"), (9, "z"), (None, "only"), (None, "only")], "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, SF).collect())
+    assert kept == sorted([("5", a), ("3", b + " end"), ("9", "z"), ("None", "only")])
+
+
+def test_language_id_drops_only_the_rejected_text_of_an_id(spark):
+    de, en = "der und die nicht ich auch eine werden", "the and of which have with from this"
+    rows = [(i, " ".join(random.Random(i).choices((de if i % 2 else en).split(), k=40)), "de" if i % 2 else "en") for i in range(60)]
+    docs = spark.createDataFrame([*rows, (5, "123 !!", None), (6, None, None)], "doc_id long, text string, lang string")
+    kept = sorted((r["doc_id"], r["text"]) for r in language.keep_identified(docs).collect())
+    assert kept == sorted(r[:2] for r in rows)
