@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint_dir, checkpointed
 
-__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "hashed_sample", "map_rows", "table"]
+__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name", "hashed_sample", "map_rows", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if its files make fewer partitions than there are: small tables come as one row group."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]], schema: str) -> DataFrame:
@@ -39,6 +45,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]],
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def as_bytes(column: pa.Array) -> pa.Array:
     if pa.types.is_string(column.type):
         return column.cast(pa.binary())

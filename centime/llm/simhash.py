@@ -5,10 +5,11 @@ Two forms share the steps:
 * ``near_groups``: 64-bit fingerprints, links at ``radius`` 2 or fewer differing bits, exact. The 64 bits are split into
   ``radius + 3`` blocks; two fingerprints within the radius agree in at least 3 of them, so they share a key of 3 blocks
   (about 38 bits), which stays selective for billions of texts.
-* ``wide_groups``: long fingerprints for similarities of 0.8 and more, where 64 bits tell too little. They are split
-  into 24-bit blocks in two orders; pairs that share one are verified by the Hamming distance of the whole fingerprints.
+* ``similar_groups``: long fingerprints for texts whose five-word shingles are similar by 0.8 or more, where 64 bits tell too
+  little. They are split into 24-bit blocks in three orders; pairs that share one are checked by the Hamming distance of the
+  whole fingerprints, and what passes by the similarity of the whole shingle sets, which alone decides.
 
-Both work on distinct fingerprints, one representative each, so copies never meet each other in pairs.
+Both work on distinct fingerprints or sets, one representative each, so copies never meet each other in pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import checkpointed, map_rows
+from .common import checkpointed, free_name, map_rows
 
 SEED = 42
 #: Shingles that are hashed at once, which bounds the memory that a very long text takes.
@@ -95,7 +96,7 @@ def close_pairs(fps: DataFrame, radius: int = 2, most: int = 64) -> DataFrame:
     one, so the components are exact and the rows stay proportional to the members.
     """
     if radius > 2:
-        raise ValueError("radius is at most 2; wide_groups serves larger distances")
+        raise ValueError("radius is at most 2; similar_groups serves larger distances")
     masks = _pigeonhole_masks(radius)
     keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
     rows = fps.select("fp", F.inline(keys).alias("t", "key"))
@@ -126,74 +127,24 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Wide fingerprints: 24 lanes of 64 bits. Texts whose five-word shingles have a similarity of 0.8 differ in about 0.151 of the
-#: bits (232 of 1,536, give or take 14). Each of the two block orders (bits as they come, and every 64th) makes 64 blocks of 24.
-LANES, BLOCK_BITS, WIDE_RADIUS = 24, 24, 256
-#: Differing bits of lane 0 above which a pair is not looked up: at the radius about 10.7 are expected, 4.5 deviations fewer.
-SKETCH_RADIUS = 24
-
-
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, fp, keys): the wide fingerprint's lanes, and its blocks, each a number that holds its place and its bits."""
-
-    def make():
-        weights = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64)
-        place = np.arange(2 * LANES * 64 // BLOCK_BITS) << BLOCK_BITS
-
-        def row(r):
-            bits = signature(r[1], shingle, LANES)
-            blocks = np.concatenate([bits.reshape(-1, BLOCK_BITS), bits.reshape(BLOCK_BITS, -1).T])
-            return r[0], np.packbits(bits).view(">i8").tolist(), (blocks @ weights + place).tolist()
-
-        return row
-
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return map_rows(docs.select("doc_id", "text"), make, f"doc_id {kind}, fp array<long>, keys array<long>")
-
-
-def wide_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, group): near copies of long fingerprints, group being the least doc_id among those linked.
-
-    Distinct fingerprints that share a block form a bucket. First every member is compared with its bucket's pivot, the least
-    id, and what is within ``radius`` is linked; buckets whose members are all in one group then are done. The others are
-    compared in full, but for pairs that are in one group already. So a group of thousands of near copies costs rows in
-    proportion to its members, and every pair that could still join two groups is compared. Lane 0 travels with the keys and
-    drops members unlike the pivot before whole fingerprints are fetched. Members of the buckets that are left take their
-    fingerprints along, so that the join compares them and emits links only. Null and empty texts form one group; null ids
-    are left out.
-    """
-    fps = checkpointed(wide_fingerprints(docs.where("doc_id is not null"), shingle))
-    classes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")))
-    prints = classes.select("id", "fp")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) within the radius."""
-        x, y = prints.toDF("a", "x"), prints.toDF("b", "y")
-        return pairs.distinct().join(x, "a").join(y, "b").where(near("x", "y")).select("a", "b")
-
-    def near(x: str, y: str) -> Column:
-        return reduce(lambda p, q: p + q, [_distance(F.col(x)[i], F.col(y)[i]) for i in range(LANES)]) <= radius
-
-    rows = classes.select(F.explode("keys").alias("key"), "id", F.col("fp")[0].alias("sketch"))
-    least = F.min(F.struct("id", "sketch")).alias("p")
-    pivots = checkpointed(rows.groupBy("key").agg(least, F.count("*").alias("n")).where("n > 1").select("key", F.col("p.id").alias("a"), F.col("p.sketch").alias("of")))
-    others = checkpointed(rows.join(pivots, "key").where("id <> a"))
-    links = components(verified(others.where(_distance(F.col("sketch"), F.col("of")) <= SKETCH_RADIUS).select("a", F.col("id").alias("b"))))
-    grouped = checkpointed(others.join(links, others.id == links.node, "left").select("key", "id", F.coalesce("root", "id").alias("group")))
-    mixed = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key")
-    rest = checkpointed(grouped.join(checkpointed(mixed), "key").join(prints, "id"))
-    last = rest.alias("p").join(rest.alias("q"), "key").where(F.expr("p.id < q.id and p.group <> q.group") & near("p.fp", "q.fp"))
-    roots = components(links.toDF("a", "b").union(last.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))))
-    of = checkpointed(classes.join(roots, classes.id == roots.node, "left").select("fp", F.coalesce("root", "id").alias("group")))
-    return fps.select("doc_id", "fp").join(of, "fp").select("doc_id", "group")
-
-
+#: Wide fingerprints: LANES of 64 bits. Texts whose shingle sets have a similarity of 0.8 differ in about 0.151 of the bits (232
+#: of 1,536, give or take 14; short texts in up to 0.19), so a block of 24 bits agrees with a chance of 0.019. Three orders of
+#: the bits (as they come, every 64th, every 599th) make 192 blocks, of which one agrees with a chance of 0.98, and more the more
+#: alike two texts are. Unlike texts share one with a chance of 0.00001; a corpus of 2**k times the rows keeps as few such pairs
+#: a text with k more bits a block, and its recall with 1.18 times the blocks a bit.
+LANES, BLOCK_BITS, WIDE_RADIUS = 24, 24, 330
+#: Sets of up to so many shingles are also found by what is left without any two or fewer of their shingles: two that have at
+#: most so many in all and a similarity of 0.8 differ in two at most.
+SMALL = 14
 #: Least Jaccard similarity of near copies' shingle sets, as a fraction of whole numbers, so that no comparison rounds.
 SIMILAR = (4, 5)
 #: Pivot rounds go on while more pairs than so many a row are left and a round settles a fifth of them, up to so many rounds.
 PAIRS_A_ROW, PIVOT_ROUNDS = 2, 8
-#: Prefix hashes of more rows than COMMON go to the end of the order, in so many rounds; the most frequent MOST_COMMON of a round.
-COMMON, COMMON_ROUNDS, MOST_COMMON = 16, 3, 100_000
+
+
+def _orders() -> np.ndarray:
+    bits = np.arange(LANES * 64)
+    return np.concatenate([o.reshape(-1, BLOCK_BITS) for o in (bits, bits.reshape(LANES, 64).T, bits * 599 % len(bits))])
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -204,145 +155,161 @@ def shingle_set(text: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def _row_digest(docs: DataFrame) -> Column:
-    return F.md5(F.to_json(F.struct(*docs.columns)))
+def set_signature(h: np.ndarray, lanes: int = LANES) -> np.ndarray:
+    """The fingerprint's bits of a shingle set, 64 a lane, each hash counted once."""
+    counts = np.zeros((lanes, 64), dtype=np.int64)
+    for start in range(0, len(h), CHUNK):
+        part = h[start : start + CHUNK]
+        for k in range(lanes):
+            counts[k] += _bit_counts(_mixed(part, k) if k else part)
+    return (counts * 2 > len(h)).ravel().astype(np.uint8)
 
 
-def _prefixes(docs: DataFrame, shingle: int, common: dict[int, int]) -> DataFrame:
-    """(row, doc_id, node, n, keys): a row's digest, its shingle set's digest and size, and the set's first hashes.
+def block_keys(bits: np.ndarray, orders: np.ndarray) -> np.ndarray:
+    """The fingerprint's blocks, each a number that holds its place and its bits."""
+    weights = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64)
+    return bits[orders] @ weights + (np.arange(len(orders)) << BLOCK_BITS)
 
-    The order is that of the hashes, but ``common`` ones (with their counts) come last, the most frequent at the very end.
 
-    Two sets of a similarity of at least 0.8 share one of the first n - ceil(0.8 n) + 1 hashes of each, whatever the order
-    is, as long as it is one for all: those that are left out are fewer than what they must have in common.
-    """
-    num, den = SIMILAR
-    late = np.array(sorted(common), dtype=np.uint64)
-    counts = np.array([0, *[common[int(k)] for k in late]])
+def small_keys(h: np.ndarray) -> list[int]:
+    """Digests of a small set without any two, any one and none of its hashes."""
+    kept = (np.delete(h, out) for k in range(min(3, len(h))) for out in combinations(range(len(h)), k))
+    return [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in kept]
+
+
+def _row_digest(docs: DataFrame) -> Column:
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+
+
+def _fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
+    """(row, doc_id, node, n, fp, small): a row's digest, the digest, size and wide fingerprint of its shingle set, small sets' keys."""
 
     def make():
         def row(r):
             h = shingle_set(r[2], shingle)
-            if len(late):
-                at = np.searchsorted(late, h)
-                n = counts[np.where(late[np.minimum(at, len(late) - 1)] == h, at + 1, 0)]
-                ranked = h[np.argsort(n, kind="stable")] if n.any() else h
-            else:
-                ranked = h
-            keys = ranked[: len(h) - -(-num * len(h) // den) + 1].view(np.int64)
-            return r[0].decode(), r[1].decode() if isinstance(r[1], bytes) else r[1], xxhash.xxh128_hexdigest(h.tobytes()), len(h), keys.tolist()
+            doc_id = r[1].decode() if isinstance(r[1], bytes) else r[1]
+            small = small_keys(h) if 0 < len(h) <= SMALL else []
+            return r[0].decode(), doc_id, xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63), len(h), np.packbits(set_signature(h)).view(">i8").tolist(), small
 
         return row
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return map_rows(docs.select(_row_digest(docs).alias("row"), "doc_id", "text"), make, f"row string, doc_id {kind}, node string, n int, keys array<long>")
+    return map_rows(docs.select(_row_digest(docs).alias("row"), "doc_id", "text"), make, f"row string, doc_id {kind}, node long, n int, fp array<long>, small array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): the whole shingle sets of the rows that ``wanted`` (row, node) names."""
+def _keys(nodes: DataFrame) -> DataFrame:
+    """(key, node): the blocks of each node's fingerprint and the keys of small sets. Sets of under 10 need only the latter."""
 
     def make():
-        return lambda r: (r[0].decode(), shingle_set(r[1], shingle).tobytes())
+        orders = _orders()
 
-    texts = docs.select(_row_digest(docs).alias("row"), "text").join(wanted, "row").select("node", "text")
-    return map_rows(texts, make, "node string, shingles binary").dropDuplicates(["node"])
+        def row(r):
+            if r[1] < 10:
+                return r[0], r[3]
+            bits = np.unpackbits(np.array(r[2], dtype=">i8").view(np.uint8))
+            return r[0], block_keys(bits, orders).tolist() + r[3]
+
+        return row
+
+    return map_rows(nodes.select("node", "n", "fp", "small"), make, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
+
+
+def _near(p: str, q: str) -> Column:
+    """Whether fingerprints are within the radius, or one is that of a small set, which tells too little."""
+    apart = reduce(lambda a, b: a + b, [_distance(F.col(f"{p}.fp")[i], F.col(f"{q}.fp")[i]) for i in range(LANES)])
+    return (F.least(F.col(f"{p}.n"), F.col(f"{q}.n")) <= SMALL) | (apart <= WIDE_RADIUS)
+
+
+def _like_size(p: str, q: str) -> Column:
+    num, den = SIMILAR
+    return (F.least(F.col(f"{p}.n"), F.col(f"{q}.n")) * den) >= (F.greatest(F.col(f"{p}.n"), F.col(f"{q}.n")) * num)
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar."""
+def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole shingle sets are similar. Only the texts of nodes in ``pairs`` are read again."""
     num, den = SIMILAR
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = nodes.select("node", "row").join(ends, "node")
+    texts = docs.select(_row_digest(docs).alias("row"), "text").join(wanted, "row").select("node", "text")
+    sets = map_rows(texts, lambda: lambda r: (r[0], shingle_set(r[1], shingle).tobytes()), "node long, shingles binary")
+    sets = checkpointed(sets.dropDuplicates(["node"]))
 
     def make():
         def row(r):
             x, y = np.frombuffer(r[2], dtype=np.uint64), np.frombuffer(r[3], dtype=np.uint64)
             common = len(np.intersect1d(x, y, assume_unique=True))
-            return (r[0].decode(), r[1].decode()) if common * den >= num * (len(x) + len(y) - common) else None
+            return (r[0], r[1]) if common * den >= num * (len(x) + len(y) - common) else None
 
         return row
 
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return map_rows(met.select("a", "b", "x", "y"), make, "a string, b string")
-
-
-def _may_be_similar(p: str, q: str) -> Column:
-    """Whether sets whose first common hash is at places ``at`` can have enough in common; a later one may fail, the first can't."""
-    num, den = SIMILAR
-    most = F.expr(f"least({p}.n - {p}.at, {q}.n - {q}.at)")
-    return most * (num + den) >= num * F.expr(f"({p}.n + {q}.n)")
+    return map_rows(met.select("a", "b", "x", "y"), make, "a long, b long")
 
 
-def shingle_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """(row, doc_id, group) of each row of ``docs``: groups of texts linked by a shingle similarity of 0.8 or more.
 
-    Rows are told apart by a digest of all columns. Equal shingle sets are one node. Nodes that share a hash of their
-    prefixes form a bucket; frequent hashes are moved out of the prefixes first, round by round. Every pair that could join two groups is compared on its whole sets, so that groups are
-    those of brute force, but for collisions of 64-bit hashes. Members of a bucket are compared with its pivot first; the
-    pivot then has met all and leaves, and so do buckets whose members are in one group. When few pairs are left, or
-    a round settles few, the others of like size are compared within the join. Texts without words form one group.
+    Rows are told apart by a digest of all columns, so repeated rows share one; ids may repeat or be null. Equal shingle sets
+    are one node (a 64-bit digest); null texts, empty ones and others without words are one too, and link to nothing else.
+
+    Nodes that share a block of their fingerprints form a bucket. Members are compared with the bucket's pivot first; the
+    pivot then has met all and leaves, and so do buckets whose members are in one group. So a large group of near copies
+    costs rows in proportion to its members. When few pairs are left, or a round settles few, members of a bucket that are in
+    different groups are compared within the join, on the fingerprints that they bring along: only what is near comes out.
+    Every link is verified on the whole shingle sets, so no two texts are linked that are not similar.
     """
-    common: dict[int, int] = {}
-    for _ in range(COMMON_ROUNDS):
-        rows = checkpointed(_prefixes(docs, shingle, common))
-        found = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > COMMON).orderBy(F.desc("m"), "key").limit(MOST_COMMON).collect()
-        found = {r["key"] % (1 << 64): r["m"] for r in found}
-        if found.keys() <= common.keys():
-            break
-        common = common | found
-    else:
-        rows = checkpointed(_prefixes(docs, shingle, common))
-    nodes = rows.groupBy("node").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    spots = checkpointed(nodes.select("node", "row", "n", F.posexplode("keys").alias("at", "key")))
-    shared = checkpointed(spots.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    held = checkpointed(spots.join(shared, "key"))
-    sets = checkpointed(_sets(docs, held.select("row", "node").distinct(), shingle))
-    held, links = held.select("key", "node", "n", "at", F.col("node").alias("group")), None
-
-    before = 0
+    rows = checkpointed(_fingerprinted(docs, shingle))
+    nodes = checkpointed(rows.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "small")]))
+    keys = _keys(nodes)
+    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
+    held, prints = checkpointed(keys.join(shared, "key").withColumn("group", F.col("node"))), nodes.select("node", "n", "fp")
+
+    def linked(near: DataFrame, links: DataFrame | None) -> DataFrame:
+        edges = _similar(docs, nodes, checkpointed(near), shingle)
+        return checkpointed(components(edges if links is None else edges.union(links.toDF("a", "b"))))
+
+    links, before = None, 0
     for left in range(PIVOT_ROUNDS, -1, -1):
         open_, n_rows, n_pairs = _unsettled(held)
-        if n_pairs <= PAIRS_A_ROW * n_rows or before and n_pairs > 0.8 * before or not left:
+        if n_pairs <= PAIRS_A_ROW * n_rows and before or before and n_pairs > 0.8 * before or not left or not n_pairs:
             break
         before = n_pairs
-        pivots = checkpointed(open_.groupBy("key").agg(F.min(F.struct("node", "n", "at", "group")).alias("p")).select("key", "p.*"))
-        met = open_.alias("q").join(pivots.alias("p"), "key").where(F.expr("p.group <> q.group") & _may_be_similar("p", "q"))
-        held = open_.join(pivots.select("key", F.col("node").alias("done")), "key").where("node <> done").drop("done")
-        links, held = _linked(met, sets, links, held)
+        pivots = checkpointed(open_.groupBy("key").agg(F.min(F.struct("node", "group")).alias("p")).select("key", "p.*"))
+        met = open_.alias("q").join(pivots.alias("p"), "key").where("p.group <> q.group")
+        pairs = checkpointed(met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+        p, q = prints.withColumnRenamed("node", "a").alias("p"), prints.withColumnRenamed("node", "b").alias("q")
+        links = linked(pairs.join(p, "a").join(q, "b").where(_like_size("p", "q") & _near("p", "q")).select("a", "b"), links)
+        stay = open_.join(pivots.select("key", F.col("node").alias("done")), "key").where("node <> done").select("key", "node")
+        held = stay.join(links, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))
     if n_pairs:
-        of = open_.withColumn("band", F.floor(F.log("n") / F.log(F.lit(SIMILAR[1] / SIMILAR[0]))))
-        near = of.withColumn("band", F.explode(F.expr("array(band - 2, band - 1, band, band + 1, band + 2)")))
-        met = of.alias("p").join(near.alias("q"), ["key", "band"]).where(F.expr("p.node < q.node and p.group <> q.group") & _may_be_similar("p", "q"))
-        links, _ = _linked(met, sets, links, None)
+        of = checkpointed(open_.join(prints, "node"))
+        met = of.alias("p").join(of.alias("q"), "key").where(F.expr("p.node < q.node and p.group <> q.group") & _like_size("p", "q") & _near("p", "q"))
+        links = linked(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), links)
     if links is None:
         return rows.select("row", "doc_id", F.col("node").alias("group"))
-    return rows.join(links, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("group"))
+    return rows.select("row", "doc_id", "node").join(links, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("group"))
 
 
 def _unsettled(held: DataFrame) -> tuple[DataFrame, int, int]:
     """The rows of buckets whose members are in more than one group, their number, and how many pairs of members are of two groups."""
-    of = checkpointed(held.groupBy("key", "group").agg(F.count("*").alias("m")))
-    mixed = checkpointed(of.groupBy("key").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).cast("long").alias("pairs")).where("pairs > 0"))
+    of = held.groupBy("key", "group").agg(F.count("*").cast("double").alias("m"))
+    mixed = checkpointed(of.groupBy("key").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("pairs > 0"))
     total = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
     return checkpointed(held.join(mixed.select("key"), "key")), total[0], total[1]
 
 
-def _linked(met: DataFrame, sets: DataFrame, links: DataFrame | None, held: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """The roots (node, root) with those of the similar pairs of ``met`` (p, q) added, and ``held`` with the groups after that."""
-    pairs = checkpointed(met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
-    edges = _similar(pairs, sets)
-    roots = checkpointed(components(edges if links is None else edges.union(links.toDF("a", "b"))))
-    if held is None:
-        return roots, None
-    return roots, held.drop("group").join(roots, "node", "left").select("key", "node", "n", "at", F.coalesce("root", "node").alias("group"))
-
-
 def keep_one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """``docs`` with one row (that of the least doc_id; null ids come last) of each group of near copies; all columns stay."""
-    rows = checkpointed(shingle_groups(docs, shingle).groupBy("row", "doc_id", "group").agg(F.count("*").alias("n")))
+    """``docs`` with one row (that of the least doc_id; null ids come last) of each group of near copies; all columns stay.
+
+    Of repeated rows one stays. Texts without words, null ones included, are one group. An empty table gives no rows.
+    """
+    rows = checkpointed(similar_groups(docs, shingle).groupBy("row", "doc_id", "group").agg(F.count("*").alias("n")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     kept = checkpointed(rows.groupBy("group").agg(first).select(F.col("first.row").alias("row")))
-    dropped = checkpointed(rows.join(kept, "row", "left_anti").select(F.col("row").alias("__row")))
-    again = checkpointed(rows.where("n > 1").join(kept, "row").select(F.col("row").alias("__row")))
-    left = docs.withColumn("__row", _row_digest(docs)).join(dropped, "__row", "left_anti")
+    mark = free_name(docs, "row_digest")
+    dropped = checkpointed(rows.join(kept, "row", "left_anti").select(F.col("row").alias(mark)))
+    again = checkpointed(rows.where("n > 1").join(kept, "row").select(F.col("row").alias(mark)))
+    left = docs.withColumn(mark, _row_digest(docs)).join(dropped, mark, "left_anti")
     if not again.isEmpty():
-        left = left.join(again, "__row", "left_anti").unionByName(left.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
-    return left.select(*docs.columns)
+        left = left.join(again, mark, "left_anti").unionByName(left.join(again, mark, "left_semi").dropDuplicates([mark]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
