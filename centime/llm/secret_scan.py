@@ -48,16 +48,16 @@ def _spans(matches: DataFrame) -> DataFrame:
 def _within(parts: DataFrame, others: DataFrame, scope: int, name: str) -> DataFrame:
     """``parts`` with a boolean: does one of ``others`` in the same document lie within ``scope`` code points?
 
-    Parts and others lie in the bins that their start and end fall in. All that overlaps a bin or comes within the scope of
-    it is in that bin or the next on either side, where only the least start and greatest end on each side matter.
+    Parts and others lie in the bins that their start and their exclusive end fall in and in those between. All that comes
+    within the scope of a part is in one of its bins or the next on either side, where only the least start and the greatest
+    end matter: what lies in a bin before the part's own starts before it, what lies in one after it ends after it.
     """
     bin_of = lambda c: F.floor(F.col(c) / F.lit(scope)).cast("int")
-    extent = others.select("doc_id", "h", "start", "end", F.explode(F.sequence(bin_of("start"), F.floor((F.col("end") - 1) / F.lit(scope)).cast("int"))).alias("bin"))
+    extent = others.select("doc_id", "h", "start", "end", F.explode(F.sequence(bin_of("start"), bin_of("end"))).alias("bin"))
     extent = extent.groupBy("doc_id", "h", "bin").agg(F.min("start").alias("first"), F.max("end").alias("last"))
     mine = parts.select("doc_id", "h", "kind", "start", "end", F.explode(F.sequence(bin_of("start") - 1, bin_of("end") + 1)).alias("bin"))
     x, y = mine.alias("x"), extent.alias("y")
     met = x.join(y, F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.bin") == F.col("y.bin")), "left")
-    # A bin before the part's own holds only what ends in it, so the last end is the nearest; after it, the first start is.
     near = (F.col("last") >= F.col("start") - scope) & (F.col("first") <= F.col("end") + scope)
     return met.groupBy(*(F.col(f"x.{c}").alias(c) for c in ("doc_id", "h", "kind", "start", "end"))).agg(F.coalesce(F.bool_or(near), F.lit(False)).alias(name))
 
