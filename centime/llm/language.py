@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import re
 
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hashed_sample, map_rows
+from .common import crc_mod, free_name, hashed_sample, map_rows
 from .compression import Sizer, raw_dictionary, slice_of
 
 #: The bound on rows of each language that the dictionaries are made of.
@@ -18,12 +18,12 @@ PARAMETERS = {"window_log": 17, "hash_log": 15, "chain_log": 16, "search_log": 3
 #: A text is rejected if the best size is not at least this share below the next best.
 MARGIN = 0.004
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> bytes:
-    """Lower-cased letters, each run of other characters made one space: what is compressed."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    """Lower-cased letters and their marks, each run of other characters made one space: what is compressed. No letter: empty."""
+    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace") if _LETTER.search(text) else b""
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, bytes]:
@@ -78,8 +78,10 @@ def classify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that language identification rejects; all columns stay.
 
-    Rejections are few, so they are what is joined back, by a digest of the text: rows of one id but other texts stay.
+    Rejections are few, so they are what is joined back, by a digest of the text: rows of one id but other texts stay, ids may
+    be null or repeat. Null texts and those without letters go. An empty table gives no rows; without a labelled row all go.
     """
+    mark = free_name(docs, "text_digest")
     texts = docs.select(F.md5("text").alias("doc_id"), "text")
-    rejected = identify(texts, fit_not_held_out(docs)).where("rejected").select(F.col("doc_id").alias("__text")).distinct()
-    return docs.join(rejected, F.md5(docs.text).eqNullSafe(F.col("__text")), "left_anti")
+    rejected = identify(texts, fit_not_held_out(docs)).where("rejected").select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(rejected, F.md5(docs.text).eqNullSafe(F.col(mark)), "left_anti")
