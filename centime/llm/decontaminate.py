@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_name
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same separators in a text whose case is kept.
@@ -140,22 +140,26 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without contaminated rows; all columns stay."""
-    bad = find_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash")), "left_anti")
+    """``docs`` without contaminated rows; all columns stay.
 
+    Rows are told apart by doc_id and a hash of the text: of repeated ids only the rows with a hit go, null ids included. Null
+    and empty texts stay. Empty tables take nothing away.
+    """
+    at, digest = free_name(docs, "hit_id"), free_name(docs, "hit_hash")
+    bad = find_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest)).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(F.col(at)) & (F.xxhash64(docs.text) == F.col(digest)), "left_anti")
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the hit words cut from ``text``; what separates words stays, and so do all columns."""
-    bad = find_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    joined = docs.join(bad.dropDuplicates(["__id", "__hash"]), docs.doc_id.eqNullSafe(F.col("__id")) & (F.xxhash64(docs.text) == F.col("__hash")), "left")
-    gaps = F.regexp_extract_all("text", F.lit(NOT_WORD_ANY_CASE), F.lit(0))
-    parts = joined.withColumns({"__words": F.array_remove(F.split("text", NOT_WORD_ANY_CASE), ""), "__gaps": gaps, "__lead": F.col("text").rlike("^" + NOT_WORD_ANY_CASE)})
-    hit = lambda i: F.exists("__spans", lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
-    word = lambda i: F.when(hit(i), F.lit("")).otherwise(F.element_at("__words", i))
-    gap = lambda i: F.coalesce(F.get("__gaps", i), F.lit(""))
-    lead = F.col("__lead").cast("int")
-    body = F.array_join(F.transform(F.sequence(F.lit(1), F.size("__words")), lambda i: F.concat(word(i), gap(i - 1 + lead))), "")
-    cut = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.concat(F.when(F.col("__lead"), gap(F.lit(0))).otherwise(F.lit("")), body))
-    return parts.withColumn("text", cut).select(*docs.columns)
 
+def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the hit words cut from ``text``; what separates words stays, and so do all columns and rows."""
+    at, digest, spans, words, gaps, lead = (free_name(docs, f"hit_{c}") for c in ("id", "hash", "spans", "words", "gaps", "lead"))
+    bad = find_hits(docs, benchmark, window).where("n_hit > 0").select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.col("spans").alias(spans))
+    joined = docs.join(bad.dropDuplicates([at, digest]), docs.doc_id.eqNullSafe(F.col(at)) & (F.xxhash64(docs.text) == F.col(digest)), "left")
+    between = F.regexp_extract_all("text", F.lit(NOT_WORD_ANY_CASE), F.lit(0))
+    parts = joined.withColumns({words: F.array_remove(F.split("text", NOT_WORD_ANY_CASE), ""), gaps: between, lead: F.col("text").rlike("^" + NOT_WORD_ANY_CASE)})
+    hit = lambda i: F.exists(spans, lambda s: (s["pos"] <= i) & (i < s["pos"] + s["len"]))
+    word = lambda i: F.when(hit(i), F.lit("")).otherwise(F.element_at(words, i))
+    gap = lambda i: F.coalesce(F.get(gaps, i), F.lit(""))
+    body = F.array_join(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.concat(word(i), gap(i - 1 + F.col(lead).cast("int")))), "")
+    cut = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.when(F.col(lead), gap(F.lit(0))).otherwise(F.lit("")), body))
+    return parts.withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns])
