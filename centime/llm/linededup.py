@@ -1,8 +1,10 @@
 """Line dedup over exact reference counts, with sharded cuckoo filters in front of them.
 
 A line's key is the line stripped of ``[\\x20\\x09-\\x0D]`` with A-Z lower-cased. The reference-count table holds how many
-documents have each key. Keys of enough documents are frequent; their lines are dropped everywhere. Documents can be added and
-taken away again, which changes counts by one each, and filters only by the keys that pass the threshold either way.
+documents have each key. Keys of enough documents are frequent; their lines are dropped everywhere. Tasks know frequent keys by
+the filters alone. A filter also passes about 1 in 8,000 of the other keys; the exact table tells which, and these exceptions
+go along. Documents can be added and taken away again, which changes counts by
+one each, and filters only by the keys that pass the threshold either way.
 """
 
 from __future__ import annotations
@@ -13,12 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, map_rows
+from .common import checkpointed, free_name, map_rows
 from .cuckoo import CuckooFilter, Full
 
 _BLANK = b" \t\n\x0b\x0c\r"
-#: Keys a filter shard holds on average, and keys up to which filters and keys are broadcast (26 bytes each).
-SHARD_KEYS, BROADCAST_KEYS = 100_000, 500_000
+#: Keys that a filter shard holds on average, and the bytes of filters and exceptions that tasks hold at once: with more shards
+#: the texts pass several times, against as many as fit each time.
+SHARD_KEYS, FILTER_BYTES, EXCEPTION_BYTES = 100_000, 128 << 20, 120
 
 
 def line_key(line: bytes) -> bytes | None:
@@ -86,68 +89,128 @@ def updated_filters(filters: DataFrame, before: DataFrame, after: DataFrame, sha
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(merge, "shard int, cells binary")
 
 
-class FrequentLines:
-    """The keys of at least ``threshold`` documents and, up to BROADCAST_KEYS of them, their filters for every task."""
+class LineIndex:
+    """The exact reference-count table and the filters of its keys of at least ``threshold`` documents, both as tables.
 
-    def __init__(self, counts: DataFrame, threshold: int = 10, broadcast_keys: int = BROADCAST_KEYS):
-        self.keys = checkpointed(counts.where(F.col("refs") >= threshold).select("key"))
-        self.n = self.keys.count()
-        self.shards = self.n // SHARD_KEYS + 1
-        self.small = self.n <= broadcast_keys
-        if self.small:
-            cells = {r["shard"]: bytes(r["cells"]) for r in shard_filters(self.keys, self.shards).collect()} if self.n else {}
-            exact = frozenset(bytes(r["key"]) for r in self.keys.collect())
-            self.shared = counts.sparkSession.sparkContext.broadcast((cells, exact))
+    counts (key, refs), filters (shard, cells). ``added`` and ``removed`` give the index after whole documents came or went:
+    adding and removing the same rows leads back to the same counts, and to filters that tell the same keys.
+    """
+
+    def __init__(self, counts: DataFrame, filters: DataFrame, threshold: int, shards: int):
+        self.counts, self.filters, self.threshold, self.shards = counts, filters, threshold, shards
+
+    @classmethod
+    def of(cls, docs: DataFrame, threshold: int = 10, shard_keys: int = SHARD_KEYS) -> LineIndex:
+        counts = checkpointed(reference_counts(docs))
+        frequent = counts.where(F.col("refs") >= threshold).select("key")
+        shards = frequent.count() // shard_keys + 1
+        return cls(counts, checkpointed(shard_filters(frequent, shards)), threshold, shards)
+
+    def _changed(self, counts: DataFrame) -> LineIndex:
+        now, frequent = checkpointed(counts), F.col("refs") >= self.threshold
+        filters = updated_filters(self.filters, self.counts.where(frequent), now.where(frequent), self.shards)
+        return LineIndex(now, checkpointed(filters), self.threshold, self.shards)
+
+    def added(self, docs: DataFrame) -> LineIndex:
+        return self._changed(updated_counts(self.counts, added=docs))
+
+    def removed(self, docs: DataFrame) -> LineIndex:
+        return self._changed(updated_counts(self.counts, removed=docs))
+
+    def exceptions(self, most_bytes: int = FILTER_BYTES) -> DataFrame:
+        """(shard, key): the keys of fewer documents that the filters pass, from the exact table's keys."""
+        shards, found = self.shards, None
+        rare = self.counts.where(F.col("refs") < self.threshold).select(_shard(shards).alias("shard"), "key")
+        for wave in _waves({r[0]: r[1] for r in self.filters.select("shard", F.octet_length("cells")).collect()}, most_bytes):
+            shared = self._broadcast(wave)
+
+            def make(shared=shared):
+                passes = _passing(shared.value, shards)
+                return lambda r: r if passes(r[1]) else None
+
+            here = map_rows(rare.where(F.col("shard").isin(wave)), make, "shard int, key binary")
+            found = here if found is None else found.unionByName(here)
+        return rare.limit(0) if found is None else found
+
+    def _broadcast(self, wave: list[int], *more):
+        cells = {r["shard"]: bytes(r["cells"]) for r in self.filters.where(F.col("shard").isin(wave)).collect()}
+        return self.counts.sparkSession.sparkContext.broadcast((cells, *more) if more else cells)
+
+    def screens(self, most_bytes: int = FILTER_BYTES) -> list:
+        """Broadcast filters and exceptions of some shards each, which take up to ``most_bytes`` (one shard at least)."""
+        exceptions = checkpointed(self.exceptions(most_bytes))
+        n = {r[0]: r[1] for r in exceptions.groupBy("shard").count().collect()}
+        sizes = {r[0]: r[1] + EXCEPTION_BYTES * n.get(r[0], 0) for r in self.filters.select("shard", F.octet_length("cells")).collect()}
+        keys = lambda wave: frozenset(bytes(r["key"]) for r in exceptions.where(F.col("shard").isin(wave)).collect())
+        return [self._broadcast(wave, keys(wave)) for wave in _waves(sizes, most_bytes) or [[]]]
+
+
+def _waves(sizes: dict[int, int], most: int) -> list[list[int]]:
+    """Shards in groups of up to ``most`` bytes, or of one."""
+    made: list[list[int]] = []
+    room = 0
+    for shard, size in sorted(sizes.items()):
+        if not made or size > room:
+            made.append([])
+            room = most
+        made[-1].append(shard)
+        room -= size
+    return made
+
+
+def _passing(cells: dict[int, bytes], shards: int):
+    filters = {k: CuckooFilter.load(v) for k, v in cells.items()}
 
+    def passes(key: bytes) -> bool:
+        shard = filters.get(int.from_bytes(key[10:14], "big") % shards)
+        return shard is not None and key in shard
 
-def _cut(text: bytes | None, frequent) -> tuple[int, int, bytes]:
-    lines = (text or b"").split(b"\n")
-    kept = [x for x in lines if not ((k := line_key(x)) and frequent(k))]
-    return len(lines), len(lines) - len(kept), b"\n".join(kept)
+    return passes
 
 
-def drop_lines(docs: DataFrame, frequent: FrequentLines, *keep: str) -> DataFrame:
+def drop_lines(docs: DataFrame, index: LineIndex, *keep: str, most_bytes: int = FILTER_BYTES) -> DataFrame:
     """``keep`` columns of ``docs`` with n_lines, n_dropped and kept (the other lines, joined): one row for each row.
 
-    Null and empty texts are one empty line. Few frequent keys: tasks test each line against the broadcast filters, and what
-    these find against the exact keys. Many: lines are joined with the exact table and dropped keys return to their documents.
+    Null and empty texts are one empty line; blank lines stay. Repeated rows stay. Very long texts are one row of a batch. A
+    line goes if its shard's filter passes its key and the key is no exception. Shards that don't fit at once take turns.
     """
-    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    schema = kinds + "n_lines long, n_dropped long, kept string"
-    if frequent.small:
-        shared, shards = frequent.shared, frequent.shards
+    shards, at = index.shards, [free_name(docs.select(*keep), c) for c in ("n_lines", "n_dropped", "kept")]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
+    schema = kinds + f"{at[0]} long, {at[1]} long, {at[2]} string"
+    zero = F.lit(0).cast("long")
+    out = docs.select(*keep, zero.alias(at[0]), zero.alias(at[1]), F.col("text").alias(at[2]))
+    for i, shared in enumerate(index.screens(most_bytes)):
 
-        def make():
-            cells, exact = shared.value
-            filters = {k: CuckooFilter.load(v) for k, v in cells.items()}
+        def make(shared=shared):
+            cells, exceptions = shared.value
+            passes = _passing(cells, shards)
 
-            def is_frequent(key: bytes) -> bool:
-                shard = filters.get(int.from_bytes(key[10:14], "big") % shards)
-                return shard is not None and key in shard and key in exact
+            def one(r):
+                *kept_columns, n_lines, n_dropped, text = r
+                lines = (text or b"").split(b"\n")
+                left = [x for x in lines if not ((k := line_key(x)) and passes(k) and k not in exceptions)]
+                return *kept_columns, n_lines or len(lines), n_dropped + len(lines) - len(left), b"\n".join(left)
 
-            return lambda r: (*r[:-1], *_cut(r[-1], is_frequent))
+            return one
 
-        return map_rows(docs.select(*keep, "text"), make, schema)
-    hashed = map_rows(docs.select("text"), lambda: lambda r: (r[0], list(distinct_keys(r[0]))), "text string, keys array<binary>")
-    hit = hashed.select(F.xxhash64("text").alias("h"), F.length("text").alias("n"), F.explode("keys").alias("key")).join(frequent.keys, "key", "left_semi")
-    per_text = hit.groupBy("h", "n").agg(F.collect_set("key").alias("drop"))
-    rows = docs.select(*keep, F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text").join(per_text, ["h", "n"], "left")
-    return map_rows(rows.select(*keep, "drop", "text"), lambda: lambda r: (*r[:-2], *_cut(r[-1], set(map(bytes, r[-2] or ())).__contains__)), schema)
+        out = map_rows(checkpointed(out) if i else out, make, schema)
+    return out
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) for every row, dropping lines whose key is in at least ``threshold`` rows."""
-    return drop_lines(docs, FrequentLines(reference_counts(docs), threshold), "doc_id")
+    return drop_lines(docs, LineIndex.of(docs, threshold), "doc_id")
 
 
 def without_frequent_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
-    """``docs`` with the frequent lines cut from ``text``; all columns stay, n_chars (if there) follows, null texts stay null."""
-    index = FrequentLines(reference_counts(docs), threshold)
+    """``docs`` with the frequent lines cut from ``text``; all columns and rows stay, n_chars (if there) follows, null texts stay null."""
+    index, row, empty = LineIndex.of(docs, threshold), "row", "text_is_null"
     others = [c for c in docs.columns if c != "text"]
-    row = F.struct(F.col("text").isNull().alias("__null"), *others).alias("__row")
-    out = drop_lines(docs.select(row, "text"), index, "__row")
-    columns = {c: F.col("__row")[c] for c in others} | {"text": F.when(~F.col("__row.__null"), F.col("kept"))}
+    packed = F.struct(F.col("text").isNull().alias(empty), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("of")).alias(row)
+    out = drop_lines(docs.select(packed, "text"), index, row)
+    full = ~F.col(row)[empty]
+    columns = {c: F.col(row)["of"][c] for c in others} | {"text": F.when(full, F.col("kept"))}
     if "n_chars" in others:
         length = F.length("kept").cast(docs.schema["n_chars"].dataType)
-        columns["n_chars"] = F.when((F.col("n_dropped") > 0) & ~F.col("__row.__null"), length).otherwise(columns["n_chars"])
+        columns["n_chars"] = F.when((F.col("n_dropped") > 0) & full, length).otherwise(columns["n_chars"])
     return out.select(*[columns[c].alias(c) for c in docs.columns])
