@@ -46,35 +46,47 @@ def test_simhash_fingerprints_and_groups(spark):
     assert simhash.near_groups(table(spark, [])).count() == 0
 
 
-def test_wide_groups_join_all_that_share_a_block_within_the_radius(spark):
+def top_of(links, n):
+    group = list(range(n))
+    for a, b in links:
+        x, y = sorted((group[a], group[b]))
+        group = [x if g == y else g for g in group]
+    return group
+
+
+def shingles(text, size=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))) if w else frozenset()
+
+
+def test_similar_groups_link_what_shares_a_block_and_is_similar_and_little_is_missed(spark):
     rnd, texts = random.Random(8), []
-    for _ in range(4):
-        base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
-        for _ in range(22):
-            words, edits = list(base), rnd.choice([0, 1, 2, 3, 5, 9])
-            for at in rnd.sample(range(150), edits):
-                words[at] = f"w{rnd.randrange(5000)}"
-            texts.append(" ".join(words))
-    texts += ["", None, "one", "one"]
-    bits = [simhash.signature((t or "").encode(), 5, simhash.LANES) for t in texts]
-    parent = list(range(len(texts)))
-
-    def top(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a in range(len(texts)):
-        for b in range(a):
-            apart = bits[a] != bits[b]
-            blocks = (apart.reshape(-1, simhash.BLOCK_BITS).any(axis=1), apart.reshape(simhash.BLOCK_BITS, -1).any(axis=0))
-            if apart.sum() <= simhash.WIDE_RADIUS and not (blocks[0].all() and blocks[1].all()):
-                x, y = sorted((top(a), top(b)))
-                parent[y] = x
-    got = by_id(simhash.wide_groups(table(spark, texts)))
-    assert [got[i]["group"] for i in range(len(texts))] == [top(i) for i in range(len(texts))]
-    assert len({top(i) for i in range(len(texts))}) > 6
-    assert simhash.wide_groups(table(spark, [])).count() == 0
+    for length in (6, 9, 13, 18, 60, 150, 400):
+        for _ in range(4):
+            base = [f"w{rnd.randrange(5000)}" for _ in range(length)]
+            for _ in range(8):
+                words = list(base)
+                for at in rnd.sample(range(length), min(length, rnd.choice([0, 1, 1, 2, 3, 5, 9]))):
+                    words[at] = f"w{rnd.randrange(5000)}"
+                texts.append(" ".join(words[rnd.randrange(2) : length - rnd.randrange(2)]))
+    texts += ["", None, "one", "one", " \t"]
+    sets = [shingles(t) for t in texts]
+    hashed = [simhash.shingle_set((t or "").encode(), 5) for t in texts]
+    orders = simhash._orders()
+    blocks = [set(simhash.block_keys(simhash.set_signature(h), orders).tolist()) if len(h) >= 10 else set() for h in hashed]
+    small = [set(simhash.small_keys(h)) if len(h) <= simhash.SMALL else set() for h in hashed]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    met = [(a, b) for a, b in alike if sets[a] == sets[b] or blocks[a] & blocks[b] or small[a] & small[b]]
+    assert len(met) > 0.97 * len(alike)
+    assert all(len(sets[a] | sets[b]) > simhash.SMALL for a, b in set(alike) - set(met))
+    got = {}
+    for r in simhash.similar_groups(table(spark, texts)).collect():
+        got.setdefault(r["group"], []).append(r["doc_id"])
+    want = {}
+    for i, g in enumerate(top_of(met, len(texts))):
+        want.setdefault(g, []).append(i)
+    assert sorted(map(sorted, got.values())) == sorted(want.values())
+    assert simhash.similar_groups(table(spark, [])).count() == 0
 
 
 @pytest.mark.parametrize("most", [64, 3])
@@ -137,6 +149,8 @@ def test_language(spark):
     got = by_id(language.classify(docs))
     assert all(got[i]["lang_pred"] == rows[i][2] for i in range(60)) and [got[i]["lang_pred"] for i in (60, 61, 62)] == ["und"] * 3
     assert sorted(r["doc_id"] for r in language.keep_identified(docs).collect()) == list(range(60))
+    odd = by_id(language.identify(table(spark, ["½ ² ½ ²", "Ⅷ ①", "\u0301", "_ 9", "der ² die und nicht", "der die " * 40_000, rows[1][1], rows[1][1]]), language.fit_not_held_out(docs)))
+    assert [odd[i]["lang_pred"] for i in range(8)] == ["und"] * 4 + ["de"] * 4 and odd[6][1:] == odd[7][1:]
     assert language.classify(docs.limit(0)).count() == 0
 
 
@@ -186,6 +200,14 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert sorted(r["doc_id"] for r in decontaminate.remove_documents(docs, bench).collect()) == [2, 3, 4, 5, 6, 8]
     assert by_id(decontaminate.remove_spans(docs, bench))[1]["text"].split() == ["has", ",", "and"]
+    clash = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5, 6) for i, t in enumerate(texts)], "doc_id long, text string, hit_id int, HIT_HASH int, hit_spans int, hit_words int, hit_gaps int, hit_lead int")
+    assert sorted(r["doc_id"] for r in decontaminate.remove_documents(clash, bench).collect()) == [2, 3, 4, 5, 6, 8]
+    cut = decontaminate.remove_spans(clash, bench)
+    assert cut.columns == clash.columns and by_id(cut)[1]["text"].split() == ["has", ",", "and"]
+    same = spark.createDataFrame([(None, passage), (None, "clean"), (1, passage), (1, "clean"), (1, passage)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), r["text"]) for r in decontaminate.remove_documents(same, bench).collect()) == [("1", "clean"), ("None", "clean")]
+    long = table(spark, ["w " * 30_000 + passage + " w" * 30_000])
+    assert decontaminate.find_hits(long, bench).first()["n_hit"] == 14
     assert by_id(decontaminate.find_hits(docs, bench.limit(0)))[0]["n_hit"] == 0
     assert decontaminate.find_hits(docs.limit(0), bench).count() == 0
 
@@ -217,18 +239,63 @@ def test_bpe_pieces_and_round_trip(spark):
     assert isinstance(e, tiktoken.Encoding)
 
 
-def test_line_dedup_both_ways_and_reversible(spark):
-    texts = [f" Shared Line\t\nown {i}\n\nshared line" for i in range(4)] + ["own 0", None, "", "shared  line"]
-    docs, few = table(spark, texts), table(spark, texts[:1])
-    counts = linededup.reference_counts(docs)
-    for limit in (100, 0):
-        got = by_id(linededup.drop_lines(docs, linededup.FrequentLines(counts, 4, limit), "doc_id"))
-        assert [(got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept"]) for i in (0, 5, 7)] == [(4, 2, "own 0\n"), (1, 0, ""), (1, 0, "shared  line")]
-    back = {bytes(r["key"]): r["refs"] for r in linededup.updated_counts(linededup.updated_counts(counts, few), None, few).collect()}
-    assert back == {bytes(r["key"]): r["refs"] for r in counts.collect()}
-    assert all(linededup.updated_counts(counts, None, docs).isEmpty() for _ in range(1))
-    kept = by_id(linededup.without_frequent_lines(docs, 4))
-    assert (kept[0]["text"], kept[5]["text"], kept[6]["text"]) == ("own 0\n", None, "") and linededup.without_frequent_lines(docs, 4).columns == docs.columns
+def frequent_lines_brute(texts, threshold):
+    key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
+    docs = [(t or "").split("\n") for t in texts]
+    seen = {}
+    for lines in docs:
+        for k in {key(x) for x in lines}:
+            seen[k] = seen.get(k, 0) + 1
+    left = [[x for x in lines if not key(x) or seen[key(x)] < threshold] for lines in docs]
+    return [(len(a), len(a) - len(b), "\n".join(b)) for a, b in zip(docs, left)]
+
+
+def test_line_dedup_agrees_with_brute_force_however_shards_take_turns(spark):
+    rnd = random.Random(4)
+    texts = [f" Shared Line\t\nown {i}\n\nshared line" for i in range(4)] + ["own 0", None, "", "shared  line", "shared line\n" * 5000, "x" * 300_000]
+    texts += ["\n".join(rnd.choice((f"Line {rnd.randrange(40)}", f"line {rnd.randrange(4000)} ", "Ünïcode", "")) for _ in range(30)) for _ in range(60)]
+    docs, want = table(spark, texts), frequent_lines_brute(texts, 4)
+    for shard_keys, most in ((100_000, 1 << 20), (16, 1)):
+        got = by_id(linededup.drop_lines(docs, linededup.LineIndex.of(docs, 4, shard_keys), "doc_id", most_bytes=most))
+        assert [(got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept"]) for i in range(len(texts))] == want
+    assert linededup.dedup_lines(docs.limit(0)).count() == linededup.without_frequent_lines(docs.limit(0)).count() == 0
+    again = linededup.drop_lines(docs.union(docs), linededup.LineIndex.of(docs.union(docs), 8), "doc_id")
+    assert sorted(r["kept"] for r in again.collect()) == sorted([w[2] for w in want] * 2)
+
+
+def test_line_dedup_keeps_clashing_columns_and_nulls(spark):
+    rows = [(i, "Twice\nown" if i < 4 else None, i, i, "k", i) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, row int, kept string, n_chars int")
+    got = linededup.without_frequent_lines(docs, 4)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(i, "" if i < 4 else None, i, i, "k", 0 if i < 4 else i) for i in range(5)]
+
+
+def test_line_dedup_is_reversible(spark):
+    base = [f"common\nrare {i}" for i in range(4)]
+    more = ["common\nnew line\nrare 0"] * 3 + ["new line"]
+    docs, extra = table(spark, base), table(spark, more)
+    before = linededup.LineIndex.of(docs, 4, 2)
+    grown = before.added(extra)
+    back = grown.removed(extra)
+    table_of = lambda x: {bytes(r["key"]): r["refs"] for r in x.counts.collect()}
+    cut = lambda x: [r["kept"] for r in linededup.drop_lines(docs, x, "doc_id").orderBy("doc_id").collect()]
+    assert table_of(back) == table_of(before) != table_of(grown)
+    assert cut(back) == cut(before) == [f"rare {i}" for i in range(4)] and cut(grown) == ["", "rare 1", "rare 2", "rare 3"]
+    assert table_of(before.removed(docs)) == {}
+    whole = linededup.LineIndex.of(table(spark, base + more), 4, 2)
+    assert table_of(grown) == table_of(whole) and cut(grown) == cut(whole)
+
+
+def test_filters_pass_more_than_they_hold_and_the_table_tells_what(spark):
+    texts = ["a\nb"] * 3 + [f"rare {i}\na" for i in range(200)]
+    docs = table(spark, texts)
+    index = linededup.LineIndex.of(docs, 3)
+    every = CuckooFilter.of(sorted({linededup.line_key(x.encode()) for t in texts for x in t.split("\n")}))
+    wide = linededup.LineIndex(index.counts, spark.createDataFrame([(0, bytearray(every.dump()))], "shard int, cells binary"), 3, 1)
+    assert wide.exceptions(1 << 20).count() == 200
+    got = [tuple(r)[1:] for r in linededup.drop_lines(docs, wide, "doc_id").orderBy("doc_id").collect()]
+    assert got == frequent_lines_brute(texts, 3)
 
 
 def test_cuckoo_filters_follow_the_keys(spark):
@@ -260,6 +327,34 @@ def test_secrets_base_and_linked(spark):
     assert linked == {**{i: [] for i in range(9)}, 0: ["linked_secret", "linked_endpoint"], 8: ["linked_endpoint"]}
 
 
+def linked_brute(text, scope):
+    found = lambda k: [m.span() for m in re.finditer({x[0]: x[1] for x in secret_scan.WEAK}[k], text)]
+    a = re.compile(secret_scan.ASSIGN.removeprefix("(?i)"), re.I | re.A)
+    access = [m.span() for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    near = lambda x, others: any(o[1] >= x[0] - scope and o[0] <= x[1] + scope for o in others)
+    secrets = [x for x in found("linked_secret") if near(x, access)]
+    known = secrets + [m.span() for m in a.finditer(text) if len(m[2]) >= 6]
+    ends = [x for x in found("linked_endpoint") if near(x, access) and near(x, known)]
+    return sorted([("linked_secret", *x) for x in secrets] + [("linked_endpoint", *x) for x in ends], key=lambda x: (x[1], x[0]))
+
+
+def test_linked_secrets_agree_with_brute_force_at_every_gap(spark):
+    access, weak, end = "AKIA" + "Q7" * 8, "aB3/" * 10, "https://h.example.com"
+    texts = [f"{' ' * lead}{x}{' ' * gap}{y}" for lead in (0, 3, 17, 399) for gap in (398, 399, 400, 401, 402) for x, y in ((access, weak), (weak, access))]
+    texts += [" " * lead + access + " " * gap + weak for lead in range(0, 420, 20) for gap in range(399, 402)]
+    rnd = random.Random(11)
+    for _ in range(150):
+        parts = [rnd.choice((access, weak, end, "password=abcdefg", "é𝄞", "word")) + " " * rnd.choice((1, 2, 60, 199, 380, 400)) for _ in range(rnd.randrange(2, 9))]
+        texts.append("".join(parts))
+    got = by_id(secret_scan.report(table(spark, texts + texts[:5])))
+    for i, t in enumerate(texts):
+        spans = [tuple(x.split(":")) for x in got[i]["spans"].split(",") if x.startswith("linked")]
+        assert sorted((k, int(a), int(b)) for k, a, b in spans) == sorted(linked_brute(t, 400)), i
+    assert secret_scan.report(table(spark, [])).count() == 0
+    long = secret_scan.report(table(spark, [" ".join([access, weak, end] * 3000)])).first()
+    assert (long["n_access"], long["n_linked"]) == (3000, 6000)
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_token_counts_add_up(spark, rule):
     ranks = bpe.Ranks()

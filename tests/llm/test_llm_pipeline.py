@@ -17,8 +17,8 @@ def test_stages_keep_columns_and_act(spark):
     want = {r["doc_id"]: r["kept"] for r in linededup.dedup_lines(one).collect()}
     assert {r["doc_id"]: r["text"] for r in two.collect()} == want
     three = corpus_pipeline.near_dedup(spark, two, SF).cache()
-    groups = {r["doc_id"]: r["group"] for r in simhash.wide_groups(two).collect()}
-    assert {r[0] for r in three.select("doc_id").collect()} == {i for i, g in groups.items() if i == g}
+    ids, texts = zip(*sorted((r["doc_id"], r["text"]) for r in two.collect()))
+    assert {r[0] for r in three.select("doc_id").collect()} == {ids[i] for i in set(brute_groups(texts))}
     four = corpus_pipeline.decontamination(spark, three, SF).cache()
     bad = {r[0] for r in decontaminate.find_hits(three, bench).where("n_hit > 0").select("doc_id").collect()}
     assert {r[0] for r in four.select("doc_id").collect()} == {r[0] for r in three.select("doc_id").collect()} - bad
@@ -32,6 +32,16 @@ def grams(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
 
 
+def brute_groups(texts):
+    sets, group = [grams(t) for t in texts], list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = [x if g == y else g for g in group]
+    return group
+
+
 def test_near_dedup_gives_the_groups_of_brute_force_on_shingles(spark, monkeypatch):
     rnd, texts = random.Random(8), []
     passage = " ".join(f"p{i}" for i in range(40))
@@ -45,15 +55,9 @@ def test_near_dedup_gives_the_groups_of_brute_force_on_shingles(spark, monkeypat
     texts += [f"a b c d e f g h i j {w}" for w in ("k", "l")]  # similarity 0.75 - not near copies
     texts += [passage + " " + " ".join(f"v{rnd.randrange(5000)}" for _ in range(n)) for n in (3, 20, 25, 30, 60) for _ in range(6)]
     texts += ["", None, "one", "one"]
-    sets, group = [grams(t) for t in texts], list(range(len(texts)))
-    for a in range(len(texts)):
-        for b in range(a):
-            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                x, y = sorted((group[a], group[b]))
-                group = [x if g == y else g for g in group]
+    group = brute_groups(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for most, rounds in ((16, 8), (2, 2), (1000, 0)):
-        monkeypatch.setattr(simhash, "COMMON", most)
+    for rounds in (8, 1, 0):
         monkeypatch.setattr(simhash, "PIVOT_ROUNDS", rounds)
         kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
         assert kept == set(group)
@@ -72,3 +76,22 @@ def test_language_id_drops_only_the_rejected_text_of_an_id(spark):
     docs = spark.createDataFrame([*rows, (5, "123 !!", None), (6, None, None)], "doc_id long, text string, lang string")
     kept = sorted((r["doc_id"], r["text"]) for r in language.keep_identified(docs).collect())
     assert kept == sorted(r[:2] for r in rows)
+
+
+EDGES = [None, "", " ", "word", "word", "Ünï " * 20_000, "der und die nicht", "½ ①", "a\nb\n" * 3000]
+
+
+def test_every_stage_takes_odd_rows_and_clashing_columns(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, kept string, n_lines int, hit_id int, text_digest string, row_digest string, node int"
+    rows = [(None if i == 3 else i % 7, t, None, None, None, 1, "k", 2, 3, "d", "r", 4) for i, t in enumerate(EDGES + EDGES)]
+    train = [(100 + i, f"{w} " * 30, lang, "s", 9, 1, "k", 2, 3, "d", "r", 4) for i in range(20) for lang, w in (("de", f"der und die nicht auch {i}"), ("en", f"the and of which with {i}"))]
+    for made in (rows + train, rows, []):
+        docs = spark.createDataFrame(made, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF).collect()
+            assert len(out) <= len(made), name
+            if name != "bpe_round_trip":
+                assert stage(spark, docs, SF).columns == docs.columns, name
+    docs = spark.createDataFrame(rows, schema)
+    kept = [r["text"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()]
+    assert len(kept) == 6 and {t for t in kept if t and t.strip()} == {t for t in EDGES if t and t.strip()}
