@@ -1,8 +1,13 @@
-"""Receipts read from HTML pages in two layouts: labelled tables, and the modern one of paragraphs with generated class names."""
+"""Receipts read from HTML pages: labelled tables with or without class names, and the modern layout with generated class names.
+
+A page is read as its pieces of text in order, each with the elements around it. Labels are told by their words, items by the
+element that holds a title, and every amount by what stands before it; no layout has a parser of its own.
+"""
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from datetime import datetime
 from html.parser import HTMLParser
 
@@ -17,36 +22,45 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 _MAIL, _MONEY = re.compile(r"[\w.+-]+@[\w-]+\.[\w.]+"), re.compile(r"[$£€¥]\s*(\d[\d,]*)(?:\.(\d{1,2}))?")
 #: Layouts of dates on receipts.
 _DATES = ("%b %d, %Y", "%B %d, %Y", "%Y-%m-%d")
+_DAY = re.compile(r"[A-Z][a-z]+ \d{1,2}, \d{4}|\d{4}-\d{2}-\d{2}")
+#: What ends the list of items, and the heading of the block whose last amount was charged.
+_SUMS, _PAYMENT = re.compile(r"(?i)(order )?(sub)?total\b|tax\b"), re.compile(r"(?i)billing and payment")
+
+
+@dataclass
+class _Leaf:
+    text: str
+    path: list[tuple[int, str, str]]  # (number, tag, classes) of the elements around it, the outermost first
 
+    def inside(self, tag: str) -> int:
+        """The number of the innermost element of that tag."""
+        return next((n for n, t, _ in reversed(self.path) if t == tag), -1)
 
-class _Blocks(HTMLParser):
-    """A page as a list of (tag, classes, text) for cells, paragraphs and table rows, in the order in which they close."""
+    def within(self, part: str) -> int | None:
+        """The number of the outermost element with a class that contains ``part``."""
+        return next((n for n, _, c in self.path if part in c), None)
 
+
+class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []
-        self.blocks: list[tuple[str, str, str]] = []
-        self.rows: list[tuple[str, list[tuple[str, str, str]]]] = []
+        self.open: list[tuple[int, str, str]] = []
+        self.leaves: list[_Leaf] = []
+        self.seen = 0
 
     def handle_starttag(self, tag, attrs):
         if tag not in _VOID:
-            self.open.append([tag, dict(attrs).get("class") or "", [], len(self.blocks)])
+            self.seen += 1
+            self.open.append((self.seen, tag, dict(attrs).get("class") or ""))
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] in ("script", "style"):
-            return
-        for x in self.open:
-            x[2].append(data)
+        text = " ".join(data.split())
+        if text and not any(tag in ("script", "style", "title") for _, tag, _ in self.open):
+            self.leaves.append(_Leaf(text, list(self.open)))
 
     def handle_endtag(self, tag):
-        while self.open and any(x[0] == tag for x in self.open):
-            name, classes, text, start = self.open.pop()
-            joined = " ".join("".join(text).split())
-            if name == "tr":
-                self.rows.append((f"{classes} {joined}", self.blocks[start:]))
-            elif name in ("td", "p", "span", "b", "a", "h1", "title"):
-                self.blocks.append((name, classes, joined))
-            if name == tag:
+        while any(t == tag for _, t, _ in self.open):
+            if self.open.pop()[1] == tag:
                 return
 
 
@@ -56,8 +70,8 @@ def cents(text: str) -> int | None:
 
 
 def day(text: str):
-    for form in _DATES:
-        for m in re.finditer(r"[A-Z][a-z]+ \d{1,2}, \d{4}|\d{4}-\d{2}-\d{2}", text):
+    for m in _DAY.finditer(text):
+        for form in _DATES:
             try:
                 return datetime.strptime(m[0], form).date()
             except ValueError:
@@ -66,42 +80,78 @@ def day(text: str):
 
 
 def _layout(html: str) -> str:
+    """The name of the layout; a page that does not look like a receipt is ``unknown``."""
     if re.search(r"class=[\"'][^\"']*custom-", html):
-        return "modern"
-    return "table" if re.search(r"aapl-|<table|Order ID", html, re.I) else "unknown"
+        return "modern_format"
+    return "table_format" if re.search(r"class=[\"'][^\"']*aapl-|<table|Order ID", html, re.I) else "unknown"
 
 
-def _labelled(texts: list[str], label: str, value: str) -> str | None:
-    """The value after a label, in the same text or in the next ones."""
-    for i, t in enumerate(texts):
-        if m := re.search(rf"(?<!\w){label}\b:?\s*(.*)", t, re.I):
-            for rest in (m[1], *texts[i + 1 : i + 3]):
+def _labelled(leaves: list[_Leaf], label: str, value: str) -> str | None:
+    """The value after a label, in the same piece of text or in one of the next two."""
+    for i, leaf in enumerate(leaves):
+        if m := re.match(rf"(?i)(?:{label})(?!\w)\.?\s*:?\s*(.*)", leaf.text):
+            for rest in (m[1], *(x.text for x in leaves[i + 1 : i + 3])):
                 if found := re.search(value, rest):
                     return found[0]
     return None
 
 
+def _titles(leaves: list[_Leaf]) -> list[int]:
+    """Where items begin: at an element of class title or name; else where a lockup's content begins; else rows of text and amount."""
+    by_class = [i for i, x in enumerate(leaves) if x.path and re.search(r"(^|[\s-])(title|item-name)(\s|$)", x.path[-1][2])]
+    if by_class:
+        return by_class
+    lockups = {x.within("lockup__content"): i for i, x in reversed(list(enumerate(leaves)))}
+    lockups.pop(None, None)
+    if lockups:
+        return sorted(lockups.values())
+    rows: dict[int, list[int]] = {}
+    for i, x in enumerate(leaves):
+        rows.setdefault(x.inside("tr"), []).append(i)
+    rows.pop(-1, None)
+    return sorted(r[0] for r in rows.values() if len(r) > 1 and not cents(leaves[r[0]].text) and not _SUMS.match(leaves[r[0]].text) and cents(leaves[r[-1]].text) is not None)
+
+
+def _items(leaves: list[_Leaf]) -> list[dict]:
+    """Each title with the first amount behind it; it renews if the words between say so."""
+    end = next((i for i, x in enumerate(leaves) if _PAYMENT.match(x.text) or _SUMS.match(x.text)), len(leaves))
+    starts = [i for i in _titles(leaves) if i < end]
+    items = []
+    for i, stop in zip(starts, [*starts[1:], end]):
+        between = leaves[i + 1 : stop]
+        price = next((cents(x.text) for x in between if cents(x.text) is not None), None)
+        if price is not None:
+            renews = any(re.search("[Rr]enews", x.text) for x in between)
+            items.append({"title": leaves[i].text, "cents": price, "quantity": 1, "subscription": renews})
+    return items
+
+
 def parse(base_name: str, html: str | None) -> dict:
-    """A receipt's fields; what a page does not say is null. ``total`` never takes the subtotal's line."""
+    """A receipt's fields; what a page does not say is null.
+
+    Pages that say everything twice, for desktop and for mobile, are read once. ``total`` is the amount behind a label of that
+    name, never the subtotal's; without the label it is the last amount under the heading of the payment.
+    """
     html = html or ""
-    page = _Blocks()
+    page = _Page()
     page.feed(html)
     page.close()
-    texts = [t for _, _, t in page.blocks if t and len(t) <= 200]
+    leaves = [x for x in page.leaves if len(x.text) <= 200]
+    wide = [x for x in leaves if x.within("aapl-mobile") is None]
+    if any(cents(x.text) is not None for x in wide):
+        leaves = wide
     amounts = {}
-    for name, label in (("subtotal_cents", "Subtotal"), ("tax_cents", "Tax"), ("total_cents", "(?<!sub)(?:Order )?Total")):
-        found = _labelled(texts, label, _MONEY.pattern)
+    for name, label in (("subtotal_cents", "Subtotal"), ("tax_cents", "Tax"), ("total_cents", "(?:Order )?Total")):
+        found = _labelled(leaves, label, _MONEY.pattern)
         amounts[name] = cents(found) if found else None
-    items = []
-    for text, cells in page.rows:
-        title = next((t for tag, c, t in cells if tag in ("span", "p", "td") and ("title" in c.split() or "subscription-lockup" in text) and t and not cents(t) and len(t) <= 200), None)
-        price = next((cents(t) for tag, c, t in reversed(cells) if cents(t) is not None and len(t) <= 80), None)
-        if title and price is not None and ("lockup" in text or any("price" in c for _, c, _ in cells)):
-            items.append({"title": title, "cents": price, "quantity": 1, "subscription": "Renews" in text or "subscription" in text.split(" ")[0]})
-    dates = [d for d in map(day, texts) if d]
+    if amounts["total_cents"] is None:
+        paid = next((i for i, x in enumerate(leaves) if _PAYMENT.match(x.text)), len(leaves))
+        charged = [cents(x.text) for before, x in zip(leaves[paid:], leaves[paid + 1 :]) if not _SUMS.match(before.text) and cents(x.text) is not None]
+        amounts["total_cents"] = charged[-1] if charged else None
+    dates = [d for d in (day(x.text) for x in leaves) if d]
     return {
-        "base_name": base_name, "format_detected": _layout(html), "apple_id": _labelled(texts, "Apple (?:ID|Account)", _MAIL.pattern), "receipt_date": dates[0] if dates else None,
-        "order_id": _labelled(texts, "Order ID", r"[A-Z0-9]{6,}"), "document_number": _labelled(texts, "Document(?: No\\.?)?", r"\d{6,}"), **amounts, "items": items,
+        "base_name": base_name, "format_detected": _layout(html), "apple_id": _labelled(leaves, "Apple ID|Apple Account|Email Address", _MAIL.pattern), "receipt_date": dates[0] if dates else None,
+        "order_id": _labelled(leaves, "Order ID", r"\b[A-Z0-9]{6,}\b"), "document_number": _labelled(leaves, r"Document(?: No)?", r"\b\d{6,}\b"), **amounts, "items": _items(leaves),
     }
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import from_double
+from ..functions.money import from_double, plain
 from ..operators.orders import group_orders
 
 
@@ -60,6 +60,41 @@ def event_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select((F.col("user_id") % 5).alias("account"), F.col("ts").cast("date").alias("date"), F.when(F.col("event_type").isin("purchase", "error"), -cents).otherwise(cents).alias("cents"))
 
 
+def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receipt page for each customer, in one of three layouts: one item or two, tax of 6 %, an item that renews in every fifth."""
+    c, key = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    first = F.abs(from_double(F.col("c_acctbal"))) + 1
+    second = F.when(key % 2 == 0, first % 997 + 5)
+    subtotal = first + F.coalesce(second, F.lit(0))
+    tax = F.floor(subtotal * 6 / 100).cast("long")
+    s, money = F.format_string, lambda x: F.concat(F.lit("$"), plain(x))
+    renews = F.when(key % 5 == 0, F.lit("<p class='note'>Renews May 1, 2030</p>")).otherwise(F.lit("<p class='note'>Once</p>"))
+    item = lambda shape, title, price: F.coalesce(s(shape, title, renews, money(price)), F.lit(""))
+    title = F.regexp_replace("c_name", "[<>&]", " ")
+
+    def page(head: str, row: str, tail: str) -> Column:
+        day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (key % 1500).cast("int")), "MMM d, yyyy")
+        rows = F.concat(item(row, title, first), F.when(second.isNotNull(), item(row, F.lit("Extra & more"), second)).otherwise(F.lit("")))
+        return F.concat(s(head, day, key), rows, s(tail, money(subtotal), money(tax), money(subtotal + tax)))
+
+    table_layout = page(
+        "<div class='aapl-desktop'><table><tr><td><span>APPLE ID</span>c@example.com</td></tr><tr><td>DATE %s</td></tr><tr><td>ORDER ID<br>ORD%08d</td></tr></table><table>",
+        "<tr><td class='item-cell'><span class='title'>%s</span><br>%s</td><td class='price-cell'><table><tr><td>%s</td></tr></table></td></tr>",
+        "</table><table><tr><td>Subtotal</td><td>%s</td></tr><tr><td>Tax</td><td>%s</td></tr><tr><td>TOTAL</td><td>%s</td></tr></table></div>",
+    )
+    modern = page(
+        "<h1 class='custom-h'>Receipt</h1><p class='custom-d'>%s</p><p class='custom-l'>Order ID:</p><p class='custom-v'>ORD%08d</p><p class='custom-l'>Apple Account:</p><p class='custom-v'>c@example.com</p><table>",
+        "<tr class='subscription-lockup'><td class='subscription-lockup__content'><p class='custom-a'>%s</p>%s</td><td><p class='custom-c'>%s</p></td></tr>",
+        "</table><p class='custom-q'>Billing and Payment</p><p>Subtotal</p><p>%s</p><p>Tax</p><p>%s</p><p>Card</p><p>%s</p>",
+    )
+    rows = page(
+        "<table><tr><th>Date</th><td>%s</td></tr><tr><th>Order ID</th><td>ORD%08d</td></tr><tr><th>Apple ID</th><td>c@example.com</td></tr></table><table>",
+        "<tr><td>%s</td><td>%s</td><td>%s</td></tr>",
+        "</table><table><tr><td>Subtotal</td><td>%s</td></tr><tr><td>Tax</td><td>%s</td></tr><tr><td>Order Total</td><td>%s</td></tr></table>",
+    )
+    return c.select(key.cast("string").alias("base_name"), F.when(key % 3 == 0, table_layout).when(key % 3 == 1, modern).otherwise(rows).alias("html"))
+
+
 def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select((F.col("o_custkey") % 5).alias("account"), F.col("o_orderdate").cast("date").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, from_double(F.col("o_totalprice"))).otherwise(-from_double(F.col("o_totalprice"))).alias("cents"))

@@ -407,34 +407,15 @@ def edits_union_all(spark, sf_dir):
     return a.unionByName(r)
 
 
-#: The pipeline's steps and what each needs: data, from which SQL derives levels.
-STEPS = {
-    "ledger_sync": (), "order_export": (), "mail_fetch": (), "order_unzip": ("order_export",), "receipt_parsing": ("mail_fetch",),
-    "order_matching": ("ledger_sync", "order_unzip"), "receipt_matching": ("ledger_sync", "receipt_parsing"), "split_generation": ("order_matching", "receipt_matching"),
-    "split_apply": ("split_generation",), "retirement_update": ("ledger_sync",), "cash_flow": ("ledger_sync",),
-}
-_EDGES = ", ".join(f"('{a}', '{b}')" for b, needs in STEPS.items() for a in needs)
-_NODES = ", ".join(f"('{n}')" for n in STEPS)
-_LEVELS = f"""WITH RECURSIVE nodes(n) AS (VALUES {_NODES}), edges(a, b) AS (VALUES {_EDGES}),
-walk(n, depth) AS (SELECT n, 0 FROM nodes WHERE n NOT IN (SELECT b FROM edges) UNION ALL SELECT b, depth + 1 FROM walk JOIN edges ON a = n)
-SELECT n AS node, max(depth) AS level FROM walk GROUP BY n"""
-_CLOSURE = f"""WITH RECURSIVE edges(a, b) AS (VALUES {_EDGES}), walk(n) AS (SELECT 'ledger_sync' UNION ALL SELECT b FROM walk JOIN edges ON a = n) SELECT DISTINCT n AS node FROM walk"""
-
-
-@query(_LEVELS)
-def dag_order(spark, sf_dir):
-    return spark.sql(_LEVELS)
-
-
-@query(_CLOSURE)
-def downstream_closure(spark, sf_dir):
-    return spark.sql(_CLOSURE)
-
-
-@query()
+@query(f"""WITH a AS (SELECT c_custkey AS k, replace(replace(replace(c_name, '<', ' '), '>', ' '), '&', ' ') AS name, abs({_cents('c_acctbal')}) + 1 AS first FROM customer),
+b AS (SELECT *, CASE WHEN k % 2 = 0 THEN first % 997 + 5 END AS second FROM a), c AS (SELECT *, first + coalesce(second, 0) AS subtotal FROM b), d AS (SELECT *, subtotal * 6 // 100 AS tax FROM c)
+SELECT CAST(k AS VARCHAR) AS base_name, CASE WHEN k % 3 = 1 THEN 'modern_format' ELSE 'table_format' END AS format_detected, 'c@example.com' AS apple_id, DATE '2020-01-01' + CAST(k % 1500 AS INTEGER) AS receipt_date,
+'ORD' || lpad(CAST(k AS VARCHAR), 8, '0') AS order_id, subtotal AS subtotal_cents, tax AS tax_cents, subtotal + tax AS total_cents,
+name || '|' || CAST(first AS VARCHAR) || '|' || CAST(k % 5 = 0 AS VARCHAR) || CASE WHEN second IS NULL THEN '' ELSE ';Extra & more|' || CAST(second AS VARCHAR) || '|' || CAST(k % 5 = 0 AS VARCHAR) END AS items FROM d""")
 def html_extract(spark, sf_dir):
-    pages = bridge.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("base_name"), "html")
-    return receipt_html.parse_pages(pages).select("base_name", "format_detected", "receipt_date", "total_cents", F.size("items").alias("n_items"))
+    r = receipt_html.parse_pages(bridge.receipt_pages(spark, sf_dir))
+    items = F.array_join(F.transform("items", lambda x: F.concat_ws("|", x["title"], x["cents"].cast("string"), x["subscription"].cast("string"))), ";")
+    return r.select("base_name", "format_detected", "apple_id", "receipt_date", "order_id", "subtotal_cents", "tax_cents", "total_cents", items.alias("items"))
 
 
 @query("SELECT CAST(ts AS DATE) AS date, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -98,7 +98,7 @@ def test_receipt_page(spark):
     r = receipt_html.parse_pages(spark.createDataFrame([("p", PAGE), ("e", None)], "base_name string, html string")).orderBy("base_name").collect()
     assert (r[0]["total_cents"], r[0]["items"], r[0]["format_detected"]) == (None, [], "unknown")
     got = r[1]
-    assert (got["format_detected"], got["apple_id"], str(got["receipt_date"]), got["order_id"], got["document_number"]) == ("table", "someone@example.com", "2025-01-22", "MX1234567", "123456789012")
+    assert (got["format_detected"], got["apple_id"], str(got["receipt_date"]), got["order_id"], got["document_number"]) == ("table_format", "someone@example.com", "2025-01-22", "MX1234567", "123456789012")
     assert (got["subtotal_cents"], got["tax_cents"], got["total_cents"]) == (100898, 150, 101048)
     assert [(i["title"], i["cents"], i["subscription"]) for i in got["items"]] == [("First App", 199, False), ("Paper Plus", 100699, True)]
 
