@@ -15,13 +15,16 @@ def valid_receipts(receipts: DataFrame) -> DataFrame:
 def match_receipts(transactions: DataFrame, receipts: DataFrame, window_days: int = 3) -> DataFrame:
     """One row for each transaction (tx_id, date, cents): the receipt of equal total nearest in date within the window.
 
-    The exact-date match is the case of gap 0, so one equality join with a band serves both. Ties go to the first
-    base_name. Gaps over 3 days (in a wider window) have confidence 0.
+    The exact-date match is the case of gap 0, so one equality join with a band serves both: on the amount and a bucket of
+    dates as wide as the window, in which a receipt lies with the buckets beside it, so that popular totals meet only what is
+    of about then. Ties go to the first base_name. Gaps over 3 days (in a wider window) have confidence 0.
     """
     t = transactions.select("tx_id", "date", F.abs("cents").alias("amount_cents"))
     r = valid_receipts(receipts).select("base_name", "receipt_date", F.col("total_cents").alias("amount_cents"))
-    gap = F.abs(F.datediff("date", "receipt_date"))
-    met = t.join(r, "amount_cents").where(gap <= window_days).select("tx_id", "base_name", gap.alias("gap"))
+    gap, width = F.abs(F.datediff("date", "receipt_date")), max(window_days, 1)
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / width)
+    around = F.explode(F.array(*[bucket("receipt_date") + n for n in (-1, 0, 1)])) if window_days else bucket("receipt_date")
+    met = t.withColumn("bucket", bucket("date")).join(r.withColumn("bucket", around), ["amount_cents", "bucket"]).where(gap <= window_days).select("tx_id", "base_name", gap.alias("gap"))
     first = met.groupBy("tx_id").agg(F.min(F.struct("gap", "base_name")).alias("m")).select("tx_id", "m.gap", "m.base_name")
     score = scoring.by_gap(F.col("gap"), scoring.RECEIPT, 0)
     return t.join(first, "tx_id", "left").select(
@@ -37,12 +40,25 @@ def match_receipts(transactions: DataFrame, receipts: DataFrame, window_days: in
 
 
 def near_misses(transactions: DataFrame, receipts: DataFrame, most: int = 5) -> DataFrame:
-    """For each transaction up to ``most`` receipts of the same day with other totals, the closest first (a top-k report)."""
+    """For each transaction up to ``most`` receipts of the same day with other totals, the closest first (a top-k report).
+
+    (tx_id, base_name, off, rank), ties by base_name. A day's distinct totals and amounts stand in one order; what is closest
+    to an amount is among as many totals on either side of it, so rows grow with the amounts, not with the pairs of a day.
+    """
     t = transactions.select("tx_id", "date", F.abs("cents").alias("amount_cents"))
     r = valid_receipts(receipts).select("base_name", F.col("receipt_date").alias("date"), "total_cents")
-    met = t.join(r, "date").where("total_cents <> amount_cents").withColumn("off", F.abs(F.col("total_cents") - F.col("amount_cents")))
-    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("tx_id").orderBy("off", "base_name")))
-    return ranked.where(F.col("rank") <= most)
+    first = r.withColumn("k", F.row_number().over(Window.partitionBy("date", "total_cents").orderBy("base_name"))).where(F.col("k") <= most)
+    totals = first.groupBy("date", F.col("total_cents").alias("at")).agg(F.collect_list("base_name").alias("names"))
+    amounts = t.select("date", F.col("amount_cents").alias("at"), F.lit(True).alias("asked")).distinct()
+    line = totals.unionByName(amounts, allowMissingColumns=True).groupBy("date", "at").agg(F.first("names", ignorenulls=True).alias("names"), F.first("asked", ignorenulls=True).alias("asked"))
+    upto = Window.partitionBy("date").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("place", F.count("names").over(upto))
+    spots = line.where("asked").select("date", "at", F.explode(F.sequence(F.col("place") - most, F.col("place") + most)).alias("place"))
+    beside = line.where("names is not null").select("date", "place", F.col("at").alias("total_cents"), "names")
+    met = spots.join(beside, ["date", "place"]).where("total_cents <> at").select("date", "at", F.abs(F.col("total_cents") - F.col("at")).alias("off"), F.explode("names").alias("base_name"))
+    closest = met.groupBy("date", "at").agg(F.slice(F.array_sort(F.collect_list(F.struct("off", "base_name"))), 1, most).alias("closest"))
+    found = t.join(closest.withColumnRenamed("at", "amount_cents"), ["date", "amount_cents"]).select("tx_id", F.posexplode("closest").alias("i", "m"))
+    return found.select("tx_id", "m.base_name", "m.off", (F.col("i") + 1).alias("rank"))
 
 
 def summary(results: DataFrame) -> DataFrame:

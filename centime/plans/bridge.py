@@ -35,12 +35,22 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to four payments for each order: its first item, its first two (which compete for the first), all from the third on, and a cent over all."""
+    """Up to four payments for each order: its first item, its first two (which compete for the first), all from the third on, and a cent over all.
+
+    None names its order.
+    """
     cents = lambda when: F.sum(F.when(F.expr(when), F.col("cents")))
     sums = order_items(spark, sf_dir).groupBy("order_id").agg(cents("idx = 1").alias("one"), cents("idx <= 2").alias("both"), cents("idx >= 3").alias("rest"), (F.sum("cents") + 1).alias("over"), F.min("ship_date").alias("first"))
     pays = F.array(*[F.struct((F.col("order_id") * 10 + i).alias("tx_id"), F.col(c).alias("c")) for i, c in enumerate(("one", "both", "rest", "over"), 1)])
-    pay = sums.select(F.col("order_id").alias("order_key"), F.date_add("first", 1).alias("date"), F.inline(pays).alias("tx_id", "c")).where("c is not null")
-    return pay.select("tx_id", F.col("tx_id").alias("seq"), "order_key", "date", (-F.col("c")).alias("cents"))
+    pay = sums.select(F.date_add("first", 1).alias("date"), F.inline(pays).alias("tx_id", "c")).where("c is not null")
+    return pay.select("tx_id", F.col("tx_id").alias("seq"), "date", (-F.col("c")).alias("cents"))
+
+
+def mixed_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split payments, before them a payment of each whole order, some of them weeks late; every seventh payee is none of an order."""
+    whole = transactions(spark, sf_dir).select((F.col("tx_id") * 10).alias("tx_id"), (F.col("tx_id") * 10).alias("seq"), F.date_add("date", F.when(F.col("tx_id") % 4 == 0, 30).otherwise(0)).alias("date"), "cents")
+    every = whole.unionByName(split_payments(spark, sf_dir))
+    return every.withColumn("payee", F.when(F.col("tx_id") % 7 == 0, "Corner Shop").when(F.col("tx_id") % 2 == 0, "AMZN Mktp").otherwise("Amazon.com"))
 
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:

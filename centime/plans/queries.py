@@ -44,7 +44,7 @@ MATCH = f"""{TX}, met AS (SELECT t.tx_id, o.account, o.order_id, CAST(min(abs(da
  ELSE CASE WHEN gap = 0 THEN 100 WHEN gap = 1 THEN 98 WHEN gap = 2 THEN 95 WHEN gap = 3 THEN 90 WHEN gap <= 5 THEN 85 ELSE 80 END END AS INTEGER) AS score, 'complete' AS method FROM met WHERE gap <= 7)"""
 BEST = f"""{MATCH}, best AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY tx_id ORDER BY score DESC, account, order_id) = 1),
  res AS (SELECT t.tx_id, abs(t.cents) AS amount_cents, b.order_id IS NOT NULL AS matched, b.account, b.order_id, b.method, b.score,
- CASE WHEN b.order_id IS NULL THEN abs(t.cents) ELSE 0 END AS unmatched_cents FROM tx t LEFT JOIN best b USING (tx_id))"""
+ CASE WHEN b.order_id IS NULL THEN abs(t.cents) ELSE 0 END AS unmatched_cents, CAST(NULL AS VARCHAR) AS message FROM tx t LEFT JOIN best b USING (tx_id))"""
 RECEIPTS = f"""r AS (SELECT o_orderkey AS base_name, CAST(o_orderdate AS DATE) AS receipt_date, {_cents("o_totalprice")} AS total_cents FROM orders),
  t AS (SELECT base_name AS tx_id, receipt_date + CAST(base_name % 5 AS INTEGER) AS date, -total_cents AS cents FROM r)"""
 CASCADE = f"""{RECEIPTS}, met AS (SELECT tx_id, base_name, CAST(abs(date_diff('day', receipt_date, date)) AS INTEGER) AS gap FROM t JOIN r ON total_cents = abs(cents)),
@@ -241,12 +241,34 @@ def near_misses(spark, sf_dir):
     return receipt_matching.near_misses(bridge.receipt_transactions(spark, sf_dir), bridge.receipts(spark, sf_dir)).select("tx_id", "base_name", "off", "rank")
 
 
-@query(f"""WITH {ITEMS}, p AS (SELECT order_id, first(cents) FILTER (WHERE idx = 1) AS one FROM items GROUP BY 1)
-SELECT order_id, min(idx) AS idx, min(cents) AS cents FROM items JOIN p USING (order_id) WHERE cents = one AND order_id % 5 = 0 GROUP BY 1""")
+#: Payments of SQL: what bridge.split_payments makes.
+PAYMENTS = f"""{ORDERS}, sums AS (SELECT order_id, sum(cents) FILTER (WHERE idx = 1) AS one, sum(cents) FILTER (WHERE idx <= 2) AS two, sum(cents) FILTER (WHERE idx >= 3) AS rest, sum(cents) + 1 AS over,
+ min(ship_date) + 1 AS date FROM items GROUP BY 1),
+ pay AS (SELECT order_id * 10 + i AS tx_id, date, CAST(c AS BIGINT) AS amount FROM (SELECT order_id, date, unnest([1, 2, 3, 4]) AS i, unnest([one, two, rest, over]) AS c FROM sums) WHERE c IS NOT NULL)"""
+_SPLIT_SCORE = """CAST(CASE WHEN gap = 0 THEN 95 WHEN gap <= 2 THEN 90 WHEN gap <= 5 THEN 81 ELSE 71 END AS INTEGER) AS score"""
+
+
+def _found_splits(spark, sf_dir):
+    return order_matching.find_splits(bridge.split_payments(spark, sf_dir), bridge.orders(spark, sf_dir))
+
+
+@query(f"""WITH {PAYMENTS}, hit AS (SELECT p.tx_id, i.account, i.order_id, min(i.idx) AS idx, any_value(p.date) AS date FROM pay p JOIN items i ON i.cents = p.amount GROUP BY ALL),
+gaps AS (SELECT h.*, (SELECT min(abs(date_diff('day', s.ship_date, h.date))) FROM items s WHERE s.order_id = h.order_id) AS gap FROM hit h)
+SELECT tx_id, account, order_id, CAST(idx AS INTEGER) AS item, {_SPLIT_SCORE} FROM gaps""")
 def split_single(spark, sf_dir):
-    it = bridge.order_items(spark, sf_dir).where("order_id % 5 = 0")
-    one = it.where("idx = 1").select("order_id", F.col("cents").alias("one"))
-    return it.join(one, "order_id").where("cents = one").groupBy("order_id").agg(F.min("idx").alias("idx"), F.min("cents").alias("cents"))
+    found = _found_splits(spark, sf_dir).where("size(items) = 1")
+    return found.select("tx_id", "account", "order_id", F.col("items")[0].alias("item"), "score")
+
+
+@query(f"""WITH RECURSIVE {PAYMENTS}, ranked AS (SELECT account, order_id, idx, cents, row_number() OVER (PARTITION BY order_id ORDER BY cents DESC, idx) AS k FROM items),
+sub AS (SELECT account, order_id, [k] AS ks, [idx] AS ids, cents AS total, k AS last FROM ranked
+ UNION ALL SELECT s.account, s.order_id, list_append(s.ks, r.k), list_append(s.ids, r.idx), s.total + r.cents, r.k FROM sub s JOIN ranked r ON r.order_id = s.order_id AND r.k > s.last),
+hit AS (SELECT p.tx_id, s.account, s.order_id, arg_min(s.ids, s.ks) AS ids, any_value(p.date) AS date FROM pay p JOIN sub s ON s.total = p.amount GROUP BY ALL HAVING min(len(s.ids)) > 1),
+gaps AS (SELECT h.*, (SELECT min(abs(date_diff('day', s.ship_date, h.date))) FROM items s WHERE s.order_id = h.order_id) AS gap FROM hit h)
+SELECT tx_id, account, order_id, array_to_string(ids, ',') AS items, {_SPLIT_SCORE} FROM gaps""")
+def split_subset(spark, sf_dir):
+    found = _found_splits(spark, sf_dir).where("size(items) > 1")
+    return found.select("tx_id", "account", "order_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"), "score")
 
 
 @query()
@@ -254,6 +276,13 @@ def split_consume(spark, sf_dir):
     return order_matching.match_splits(bridge.split_payments(spark, sf_dir), bridge.orders(spark, sf_dir))
 
 
+@query()
+def order_match_best(spark, sf_dir):
+    """Complete orders and splits together, in order of the payments, with the payee gate and its message."""
+    pay = bridge.mixed_payments(spark, sf_dir)
+    return order_matching.match_result(pay, order_matching.match_orders(pay, bridge.orders(spark, sf_dir)))
+
+
 # ---- splits
 
 

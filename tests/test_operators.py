@@ -1,12 +1,15 @@
 import datetime as dt
+import random
 from itertools import combinations
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from centime.operators import cashflow, order_matching, orders, receipt_html, receipt_matching, splits
 from centime.operators.graph import components
-from centime.operators.subset_sum import first_subset
+from centime.operators.subset_sum import can_reach, first_subset, subset_sums
 from centime.plans import queries
 
 DAY = dt.date(2024, 1, 10)
@@ -43,10 +46,36 @@ def test_complete_match_scores(spark):
 
 
 def test_split_payments_use_items_up(spark):
-    items = spark.createDataFrame([(0, "a", 1, 100, DAY, DAY), (0, "a", 2, 250, DAY, DAY), (0, "a", 3, 100, DAY, DAY)], ITEM)
-    pay = spark.createDataFrame([("p1", 1, "a", DAY, -100), ("p2", 2, "a", DAY, -350), ("p3", 3, "a", DAY, -100)], "tx_id string, seq int, order_key string, date date, cents long")
-    got = {r["tx_id"]: (r["items"], r["score"]) for r in order_matching.match_splits(pay, orders.group_orders(items)).collect()}
-    assert got == {"p1": ([1], 95), "p2": ([2, 3], 95)}
+    items = spark.createDataFrame([(0, "a", 1, 100, DAY, DAY), (0, "a", 2, 250, DAY, DAY), (0, "a", 3, 100, DAY, DAY), (1, "b", 1, 350, DAY, day(3)), (1, "c", 1, 70, DAY, None), (1, "c", 2, 9, DAY, None)], ITEM)
+    rows = [("p1", 1, 0, 100), ("p2", 2, 0, 350), ("p3", 3, 0, 100), ("p4", 4, 40, 350), ("p5", 5, 0, 450), ("p6", 6, 0, 79), ("p7", 7, 0, 70), ("p8", 8, 0, 70)]
+    pay = spark.createDataFrame([(t, s, day(d), -c) for t, s, d, c in rows], "tx_id string, seq int, date date, cents long")
+    got = {r["tx_id"]: (r["order_id"], r["method"], r["score"], r["items"]) for r in order_matching.match_orders(pay, orders.group_orders(items)).collect()}
+    # p2: b's whole (3 days) ties with a's rest (same day); the first account takes it. p4: only b's item is left, far away.
+    assert got == {
+        "p1": ("a", "split", 95, [1]), "p2": ("a", "split", 95, [2, 3]), "p4": ("b", "split", 71, [1]), "p5": ("a", "complete", 100, None),
+        "p6": ("c", "complete", 80, None), "p7": ("c", "split", 81, [1]),
+    }
+    gated = order_matching.match_result(pay.withColumn("payee", F.when(F.col("tx_id") == "p1", "Shop").otherwise("AMZN")), order_matching.match_orders(pay.where("tx_id <> 'p1'"), orders.group_orders(items)))
+    assert {r["tx_id"]: r["message"] for r in gated.collect()} == {f"p{i}": "not an order payee" if i == 1 else None for i in range(1, 9)}
+    assert order_matching.match_orders(pay.limit(0), orders.group_orders(items)).count() == order_matching.match_orders(pay, orders.group_orders(items.limit(0))).count() == 0
+
+
+def test_large_orders_split_too(spark):
+    cents = [1000 + 7 * i for i in range(24)]
+    items = spark.createDataFrame([(0, "big", i, c, DAY, DAY) for i, c in enumerate(cents)], ITEM)
+    rows = [("one", 1, cents[3]), ("none", 2, 999), ("rest", 3, sum(cents) - cents[3]), ("pair", 4, 2007)]
+    pay = spark.createDataFrame([(t, s, DAY, -c) for t, s, c in rows], "tx_id string, seq int, date date, cents long")
+    got = {r["tx_id"]: sorted(r["items"]) for r in order_matching.match_splits(pay, orders.group_orders(items)).collect()}
+    assert got == {"one": [3], "rest": [i for i in range(24) if i != 3]}
+
+
+def test_reachable_sums():
+    rnd = random.Random(1)
+    for _ in range(50):
+        cents = [rnd.randrange(1, 30) for _ in range(rnd.randrange(1, 8))]
+        sums = {sum(c) for k in range(1, len(cents) + 1) for c in combinations(cents, k)}
+        assert set(subset_sums(cents).tolist()) == sums and all(can_reach(cents, a) == (a in sums) for a in range(1, 200))
+    assert set(subset_sums([5, -2]).tolist()) == {5, -2, 3} and can_reach([5, -2], 77)
 
 
 def test_receipts(spark):
@@ -103,24 +132,77 @@ def test_receipt_page(spark):
     assert [(i["title"], i["cents"], i["subscription"]) for i in got["items"]] == [("First App", 199, False), ("Paper Plus", 100699, True)]
 
 
-def test_split_consume_replays_the_payments_of_every_order(spark):
-    sf, orders_of, want = "/root/testdata/sf0.001", {}, {}
+def replay(items_of, payments):
+    """One payment after the other against every order, as plain loops."""
+    used, want, sums = {}, {}, {}
+    for key, items in items_of.items():
+        reach = set()
+        for c, _ in items:
+            reach |= {x + c for x in reach} | {c}
+        for x in reach:
+            sums.setdefault(x, []).append(key)
+    for tx, when, amount in payments:
+        options = []
+        for account, order in sums.get(amount, ()):
+            items = items_of[account, order]
+            ships = {s for _, s in items}
+            gap = min(abs((when - s).days) for s in ships)
+            if sum(c for c, _ in items) == amount and gap <= 7:
+                steps = ((2, 100), (3, 95), (5, 89), (7, 84)) if len(ships) > 1 else ((0, 100), (1, 98), (2, 95), (3, 90), (5, 85), (7, 80))
+                score = next(s for g, s in steps if gap <= g)
+                options.append((-score - 10, account, 0, order, "complete", score, None))
+            left = sorted((i for i in range(len(items)) if i not in used.get(order, ())), key=lambda i: -items[i][0])
+            found = next(([i] for i in left if items[i][0] == amount), None) or first_of(left, [items[i][0] for i in left], amount)
+            if found:
+                score = 95 if gap == 0 else 90 if gap <= 2 else 81 if gap <= 5 else 71
+                options.append((-score - 5, account, 1, order, "split", score, found))
+        if options:
+            _, _, _, order, method, score, found = min(options, key=lambda o: o[:4])
+            want[tx] = (order, method, score, [i + 1 for i in found] if found else None)
+            used.setdefault(order, set()).update(found or ())
+    return want
+
+
+def first_of(left, cents, amount):
+    """The first subset, depth first, an item taken before it is left out."""
+    stack = [(0, 0, ())]
+    rest = [sum(cents[i:]) for i in range(len(cents) + 1)]
+    while stack:
+        at, total, taken = stack.pop()
+        if taken and total == amount:
+            return [left[i] for i in taken]
+        if at < len(cents) and total < amount <= total + rest[at]:
+            stack += [(at + 1, total, taken), (at + 1, total + cents[at], (*taken, at))]
+    return None
+
+
+def ledger_of(spark, sf):
+    items_of = {}
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
     for r in sorted(rows, key=lambda r: (r["l_orderkey"], r["l_linenumber"], r["l_partkey"], r["l_suppkey"], r["l_extendedprice"], r["l_shipdate"])):
-        ship = r["l_shipdate"].date() if isinstance(r["l_shipdate"], dt.datetime) else r["l_shipdate"]
-        orders_of.setdefault(r["l_orderkey"], []).append((round(r["l_extendedprice"] * 100), ship))
-    for order, items in orders_of.items():
-        cents, ships, used = [c for c, _ in items], [s for _, s in items], set()
-        gap = min(abs((min(ships) + dt.timedelta(1) - s).days) for s in ships)
-        score = 95 if gap == 0 else 90
+        items_of.setdefault((r["l_orderkey"] % 2, r["l_orderkey"]), []).append((round(r["l_extendedprice"] * 100), r["l_shipdate"].date()))
+    return items_of
+
+
+@pytest.mark.parametrize("name", ["split_consume", "order_match_best"])
+def test_order_matching_agrees_with_a_replay(spark, name):
+    sf = "/root/testdata/sf0.001"
+    items_of, pay = ledger_of(spark, sf), []
+    for (_, order), items in sorted(items_of.items(), key=lambda x: x[0][1]):
+        cents, first = [c for c, _ in items], min(s for _, s in items)
+        if name == "order_match_best":
+            pay.append((order * 10, first + dt.timedelta(order % 10 + (30 if order % 4 == 0 else 0)), sum(cents)))
         for seq, amount in enumerate((cents[0], sum(cents[:2]), sum(cents[2:]) if cents[2:] else None, sum(cents) + 1), 1):
-            left = sorted((i for i in range(len(cents)) if i not in used), key=lambda i: -cents[i])
-            assert len(left) <= 20
-            found = [c for k in range(1, len(left) + 1) for c in combinations(range(len(left)), k) if sum(cents[left[i]] for i in c) == amount]
-            if found:
-                taken = [left[i] for i in min(found, key=lambda c: (len(c) > 1, c))]
-                used |= set(taken)
-                want[order * 10 + seq] = (order, [i + 1 for i in taken], score)
-    got = {r["tx_id"]: (r["order_id"], r["items"], r["score"]) for r in queries.QUERIES["split_consume"](spark, sf).collect()}
-    assert got == want
-    assert {o for o, _, _ in got.values()} == set(orders_of) and max(len(i) for _, i, _ in got.values()) > 2
+            if amount is not None:
+                pay.append((order * 10 + seq, first + dt.timedelta(1), amount))
+    df = queries.QUERIES[name](spark, sf)
+    if name == "split_consume":
+        want = {t: (o, i, s) for t, (o, m, s, i) in replay(items_of, pay).items() if m == "split"}
+        assert {r["tx_id"]: (r["order_id"], r["items"], r["score"]) for r in df.collect()} == want
+        assert max(len(i) for _, i, _ in want.values()) > 2
+        return
+    want = replay(items_of, [p for p in pay if p[0] % 7])
+    rows = df.collect()
+    assert {r["tx_id"]: (r["order_id"], r["method"], r["score"]) for r in rows if r["matched"]} == {t: w[:3] for t, w in want.items()}
+    assert {r["tx_id"] for r in rows} == {p[0] for p in pay} and {m for _, m, _, _ in want.values()} == {"split", "complete"}
+    assert all((r["message"] is not None) == (r["tx_id"] % 7 == 0) for r in rows)
