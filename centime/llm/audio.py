@@ -30,6 +30,8 @@ _V2 = {
     3: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+# Fixed values of Layer II: bits of allocation of each subband, as (bits, subbands) runs, by the kind of table.
+_ALLOCATION = {"wide": ((4, 11), (3, 12), (2, 7)), "middle": ((4, 11), (3, 12), (2, 4)), "low": ((4, 2), (3, 6)), "low32": ((4, 2), (3, 10)), "lsf": ((4, 4), (3, 7), (2, 19))}
 
 RATE, SIDE, UNIT = 48000, 17, 64
 _HEAD = 4 + 2 + SIDE
@@ -67,6 +69,7 @@ class Header:
     mono: bool
     length: int
     samples: int
+    joint: int | None = None  # the mode extension of joint stereo
 
     @property
     def side(self) -> int:
@@ -81,7 +84,8 @@ def _decode_header(word: int) -> Header | None:
     kbps, hz, pad = (_V1 if version == 3 else _V2)[layer][bitrate - 1], _RATES[version][rate], word >> 9 & 1
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 3 else 1152
     length = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples // 8 * 1000 * kbps // hz + pad
-    return Header(version, layer, not word >> 16 & 1, kbps, hz, (word >> 6 & 3) == 3, length, samples)
+    mode = word >> 6 & 3
+    return Header(version, layer, not word >> 16 & 1, kbps, hz, mode == 3, length, samples, word >> 4 & 3 if mode == 1 else None)
 
 
 _KNOWN: dict[int, Header | None] = {}
@@ -99,11 +103,49 @@ def header(data: bytes, at: int) -> Header | None:
     return _KNOWN[word]
 
 
+def _checked_bits(data: bytes, at: int, h: Header) -> int | None:
+    """How many bits behind the checksum it covers: side information, or the allocation and, in Layer II, scale factor selection."""
+    channels = 1 if h.mono else 2
+    bound = 32 if h.joint is None else 4 * (h.joint + 1)
+    if h.layer == 3:
+        return 8 * h.side
+    if h.layer == 1:
+        return 4 * (32 if channels == 1 else bound + 32)
+    each = h.kbps // channels
+    kind = "lsf" if h.version != 3 else ("low32" if h.rate == 32000 else "low") if each <= 48 else "middle" if each <= 80 or h.rate == 48000 else "wide"
+    widths = [bits for bits, n in _ALLOCATION[kind] for _ in range(n)]
+    word, left = int.from_bytes(data[at + 6 : at + h.length], "big"), 8 * max(h.length - 6, 0)
+    used = selected = 0
+    for k, bits in enumerate(widths):
+        for _ in range(channels if k < bound else 1):
+            used += bits
+            if used > left:
+                return None
+            if word >> left - used & (1 << bits) - 1:
+                selected += 1 if k < bound else channels
+    return used + 2 * selected
+
+
+def crc16_bits(head: bytes, body: bytes, bits: int) -> int:
+    """The checksum of whole bytes and of the first ``bits`` of others."""
+    c = crc16(head + body[: bits // 8])
+    for k in range(7, 7 - bits % 8, -1):
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ (body[bits // 8] >> k & 1) else 0)) & 0xFFFF
+    return c
+
+
 def _checksum_ok(data: bytes, at: int, h: Header) -> bool | None:
-    """None where there is none, or it covers bits that need the layer I or II allocation tables."""
-    if not h.protected or h.layer != 3:
+    """None where there is none."""
+    if not h.protected:
         return None
-    return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) == int.from_bytes(data[at + 4 : at + 6], "big")
+    bits = _checked_bits(data, at, h)
+    if bits is None or at + 6 + -(-bits // 8) > len(data):
+        return False
+    if bits % 8 == 0:
+        found = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + bits // 8])
+    else:
+        found = crc16_bits(data[at + 2 : at + 4], data[at + 6 : at + 7 + bits // 8], bits)
+    return found == int.from_bytes(data[at + 4 : at + 6], "big")
 
 
 def _frame_head(index: int) -> bytes:
@@ -150,9 +192,27 @@ def pack(payload: bytes, tags: dict[str, str] | None = None) -> bytes:
     return tag + _HEADS[5] + xing + bytes(_ROOM[5] - len(xing)) + b"".join(parts)
 
 
+@dataclass
+class Table:
+    """What a variable-bitrate table says: counts (None: not said) and (frame, byte offset from the table's frame, slack) points."""
+
+    kind: str
+    at: int
+    frames: int | None = None
+    size: int | None = None
+    points: list[tuple[int, int, int]] = field(default_factory=list)
+
+    def agrees(self, offsets: list[int], end: int) -> bool:
+        """Are the counts those of the frames found, and do seek points lie where the frames do?"""
+        if self.frames not in (None, len(offsets)) or self.size not in (None, end - self.at):
+            return False
+        spots = [*(o - self.at for o in offsets), end - self.at]
+        return all(k < len(spots) and abs(spots[k] - x) <= slack for k, x, slack in self.points)
+
+
 @dataclass
 class Stream:
-    """What a stream holds. Offsets and samples leave out the frame that carries the Xing table."""
+    """What a stream holds. Offsets (of every frame) and samples leave out the frame that carries the table."""
 
     tags: dict[str, str] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
@@ -161,7 +221,8 @@ class Stream:
     skipped: int = 0
     checked: int = 0
     failed: int = 0
-    table: tuple[int, int, bytes] | None = None
+    table: Table | None = None
+    table_ok: bool = False
     ancillary: list[bytes] = field(default_factory=list)
 
 
@@ -169,12 +230,13 @@ def parse(data: bytes) -> Stream:
     """Parse any MPEG audio stream: ID3v2 in front, ID3v1 behind, frames found again after bytes that are none.
 
     A header counts if it chains to another one, to the tag behind or to the end, or if its checksum holds; a checksum that
-    fails is counted, and the frame kept if its header chains. Bytes passed over while searching are counted.
+    fails is counted, and the frame kept if its header chains. Bytes passed over while searching are counted. Streams of
+    free-format bitrates have no frames. An empty stream has nothing.
     """
-    s, at, end = Stream(), 0, len(data)
+    s, at, end, last = Stream(), 0, len(data), 0
     if data[:3] == b"ID3" and end >= 10:
-        size = sum((b & 0x7F) << k for b, k in zip(data[6:10], (21, 14, 7, 0)))
-        s.tags, at = _read_tag(data[10 : 10 + size], data[3]), 10 + size
+        size = _from_synchsafe(data[6:10])
+        s.tags, at = _read_tag(data[10 : 10 + size], data[3], data[5]), 10 + size + (10 if data[5] & 0x10 else 0)
     if end >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         s.tags.setdefault("title", data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1"))
@@ -186,7 +248,7 @@ def parse(data: bytes) -> Stream:
             chained = at + h.length == end or header(data, at + h.length) is not None
             if chained or ok:
                 body = at + 4 + 2 * h.protected + (h.side if h.layer == 3 else 0)
-                table = _xing(data, body) if first and h.layer == 3 else None
+                table = (_xing(data, at, body) or _vbri(data, at)) if first and h.layer == 3 else None
                 s.checked += ok is not None
                 s.failed += ok is False
                 if table:
@@ -198,40 +260,77 @@ def parse(data: bytes) -> Stream:
                     if h.layer == 3:
                         s.ancillary.append(data[body : at + h.length])
                 at, first = at + h.length, False
+                last = at
                 continue
         nxt = data.find(b"\xff", at + 1, end)
         nxt = end if nxt < 0 else nxt
         s.skipped, at = s.skipped + nxt - at, nxt
+    s.table_ok = s.table is not None and s.table.agrees(s.offsets, last)
     return s
 
 
-def _xing(data: bytes, at: int) -> tuple[int, int, bytes] | None:
-    if data[at : at + 4] not in (b"Xing", b"Info") or len(data) < at + 8:
+def _xing(data: bytes, at: int, body: int) -> Table | None:
+    if data[body : body + 4] not in (b"Xing", b"Info") or len(data) < body + 8:
         return None
-    flags, at, got = int.from_bytes(data[at + 4 : at + 8], "big"), at + 8, []
-    for bit in (1, 2):
-        got.append(int.from_bytes(data[at : at + 4], "big") if flags & bit else 0)
-        at += 4 if flags & bit else 0
-    return got[0], got[1], data[at : at + 100] if flags & 4 else b""
-
-
-def _read_tag(body: bytes, major: int) -> dict[str, str]:
-    tags, at = {}, 0
-    while at + 10 <= len(body) and body[at] != 0:
-        name, raw = body[at : at + 4].decode("latin-1"), body[at + 4 : at + 8]
-        size = sum((b & 0x7F) << k for b, k in zip(raw, (21, 14, 7, 0))) if major >= 4 else int.from_bytes(raw, "big")
-        text = body[at + 10 : at + 10 + size]
+    flags, spot, table = int.from_bytes(data[body + 4 : body + 8], "big"), body + 8, Table("xing", at)
+    if flags & 1:
+        table.frames, spot = int.from_bytes(data[spot : spot + 4], "big"), spot + 4
+    if flags & 2:
+        table.size, spot = int.from_bytes(data[spot : spot + 4], "big"), spot + 4
+    if flags & 4 and table.frames and table.size:
+        unit = table.size / 256
+        table.points = [(p * table.frames // 100, int(b * unit), int(unit) + 1) for p, b in enumerate(data[spot : spot + 100])]
+    return table
+
+
+def _vbri(data: bytes, at: int) -> Table | None:
+    """The other kind of table: 32 bytes behind the frame header, seek steps of some frames each."""
+    spot = at + 36
+    if data[spot : spot + 4] != b"VBRI" or len(data) < spot + 26:
+        return None
+    size, frames, n, scale, width, step = struct.unpack(">IIHHHH", data[spot + 10 : spot + 26])
+    table, upto = Table("vbri", at, frames, size), 0
+    if width in (1, 2, 3, 4) and step:
+        for k in range(n):
+            entry = data[spot + 26 + k * width : spot + 26 + (k + 1) * width]
+            upto += int.from_bytes(entry, "big") * scale
+            if (k + 1) * step <= frames:
+                table.points.append(((k + 1) * step, upto, (k + 1) * scale + 2880))
+    return table
+
+
+def _from_synchsafe(raw: bytes) -> int:
+    return sum((b & 0x7F) << k for b, k in zip(raw, (21, 14, 7, 0)))
+
+
+def _read_tag(body: bytes, major: int, flags: int) -> dict[str, str]:
+    """Text frames of an ID3v2 tag of version 2.2 to 2.4, unsynchronisation undone, an extended header passed over."""
+    tags, at, short = {}, 0, major <= 2
+    if flags & 0x80 and major < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and not short and len(body) >= 4:
+        at = _from_synchsafe(body[:4]) if major >= 4 else 4 + int.from_bytes(body[:4], "big")
+    id_, head = (3, 6) if short else (4, 10)
+    while at + head <= len(body) and body[at] != 0:
+        name, raw = body[at : at + id_].decode("latin-1"), body[at + id_ : at + 2 * id_]
+        size = _from_synchsafe(raw) if major >= 4 else int.from_bytes(raw, "big")
+        text, marks = body[at + head : at + head + size], 0 if major < 4 else body[at + 9]
+        if marks & 1:
+            text = text[4:]
+        if marks & 2 or flags & 0x80 and major >= 4:
+            text = text.replace(b"\xff\0", b"\xff")
         if name[0] == "T" and text:
             value = text[1:].decode({0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(text[0], "utf-8"), "replace")
             key, _, rest = value.partition("\0")
-            tags |= {key: rest.rstrip("\0")} if name == "TXXX" else {name: value.rstrip("\0")}
-        at += 10 + size
+            tags |= {key: rest.rstrip("\0")} if name in ("TXXX", "TXX") else {name: value.rstrip("\0")}
+        at += head + size
     return tags
 
 
 def unpack(stream: Stream) -> bytes:
-    """The payload of a stream that ``pack`` made."""
-    return b"".join(stream.ancillary)[: int(stream.tags.get("payload_bytes", 0))]
+    """The payload of a stream that ``pack`` made; empty for others, whose tags don't say how long it is."""
+    size = stream.tags.get("payload_bytes", "")
+    return b"".join(stream.ancillary)[: int(size)] if size.isascii() and size.isdigit() and len(size) < 19 else b""
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
@@ -245,14 +344,14 @@ STORED = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_byte
 
 
 def features(media: bytes) -> tuple:
-    """A stream's payload digests and features, in the order of STORED and FEATURES; seek offsets are each 16th frame's."""
+    """A stream's payload digests and features, in the order of STORED and FEATURES; seek offsets are those of all frames."""
     s = parse(media)
-    payload, table = unpack(s), s.table or (0, 0, b"")
+    payload = unpack(s)
     duration = s.samples * 1_000_000 // s.rate if s.rate else 0
-    ok = s.table is not None and table[0] == len(s.offsets)
+    said = (s.table.frames or 0, s.table.size or 0) if s.table else (0, 0)
     return (
-        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(),
-        len(s.offsets), s.samples, s.rate, duration, s.skipped, s.checked, s.failed, table[0], table[1], ok, s.offsets[::16],
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(),
+        len(s.offsets), s.samples, s.rate, duration, s.skipped, s.checked, s.failed, *said, s.table_ok, s.offsets,
     )
 
 

@@ -158,7 +158,7 @@ def test_language(spark):
 def test_audio_round_trip_of_any_bytes(n):
     payload = audio.padded(os.urandom(n))
     s = audio.parse(audio.pack(payload))
-    assert audio.unpack(s) == payload and s.failed == s.skipped == 0 and s.table[0] == len(s.offsets)
+    assert audio.unpack(s) == payload and s.failed == s.skipped == 0 and s.table.frames == len(s.offsets) and s.table_ok
 
 
 def test_audio_resynchronises_and_checks(spark):
@@ -173,6 +173,87 @@ def test_audio_resynchronises_and_checks(spark):
     assert [got[i]["payload_sha256"] for i in range(len(EDGE))] == [hashlib.sha256(audio.padded((t or "").encode())).hexdigest() for t in EDGE]
 
 
+def frames_walked(media):
+    """Offsets of the frames of a clean stream from its tag on, lengths from the header's fields alone; CRCs bit by bit."""
+    size = 0
+    for b in media[6:10]:
+        size = size << 7 | b
+    at, found = 10 + size, []
+    while at < len(media):
+        word = int.from_bytes(media[at : at + 4], "big")
+        assert word >> 16 == 0xFFFA and word >> 10 & 3 == 1
+        kbps = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)[word >> 12 & 15]
+        c = 0xFFFF
+        for byte in media[at + 2 : at + 4] + media[at + 6 : at + 23]:
+            for k in range(7, -1, -1):
+                c = (c << 1 ^ (0x8005 if (c >> 15) ^ (byte >> k & 1) else 0)) & 0xFFFF
+        assert c == int.from_bytes(media[at + 4 : at + 6], "big")
+        found.append(at)
+        at += 144 * kbps * 1000 // 48000
+    return found
+
+
+def test_audio_features_agree_with_a_walk(spark):
+    texts = [*EDGE, "a" * 64, "b" * 65, "x" * 50_000, None]
+    got = by_id(audio.inspect(audio.store_texts(table(spark, texts)), "doc_id", "n_bytes"))
+    for i, t in enumerate(texts):
+        payload = audio.padded((t or "").encode())
+        offsets = frames_walked(audio.pack(payload))[1:]
+        r = got[i]
+        assert (r["seek_offsets"], r["n_frames"], r["samples"], r["sample_rate"]) == (offsets, len(offsets), 1152 * len(offsets), 48000)
+        assert (r["duration_us"], r["crc_checked"], r["crc_failed"], r["table_ok"]) == (24_000 * len(offsets), len(offsets) + 1, 0, True)
+    assert audio.inspect(audio.store_texts(table(spark, []))).count() == 0
+    odd = spark.createDataFrame([(0, None), (1, bytearray(b"\xff" * 4000)), (2, bytearray(audio.pack(b"x" * 64, {"payload_bytes": "abc"})))], "n_frames int, media binary")
+    assert [r["payload_bytes"] for r in audio.inspect(odd.withColumnRenamed("n_frames", "id"), "id").orderBy("id").collect()] == [0, 0, 0]
+
+
+def frame(version_layer, bitrate, body=b"", rate=0, mode=0xC0):
+    """A frame of protected audio with a right checksum over what its layer asks for."""
+    head = bytes((0xFF, version_layer, bitrate << 4 | rate << 2, mode))
+    h = audio.header(head, 0)
+    data = bytearray(head + b"\0\0" + body + bytes(h.length - 6 - len(body)))
+    bits = audio._checked_bits(bytes(data), 0, h)
+    data[4:6] = audio.crc16_bits(bytes(data[2:4]), bytes(data[6:]), bits).to_bytes(2, "big")
+    return bytes(data)
+
+
+def test_audio_of_other_layers_tables_and_tags():
+    for kind, bodies in ((0xFE, (b"", b"\x12\x34" * 8)), (0xFC, (b"", b"\x77" * 20)), (0xF4, (b"\x55" * 20,))):  # Layer I, II, II at low rates
+        for mode in (0xC0, 0x00, 0x50):
+            frames = b"".join(frame(kind, 8, b, mode=mode) for b in bodies * 3)
+            s = audio.parse(frames)
+            assert (len(s.offsets), s.checked, s.failed) == (3 * len(bodies), 3 * len(bodies), 0), (kind, mode)
+            broken = bytearray(frames)
+            broken[7] ^= 0x40
+            assert audio.parse(bytes(broken)).failed == 1
+    n, length = 40, len(frame(0xFA, 9, rate=1))
+    plain = frame(0xFA, 9, rate=1)
+    for entries, right in (([length * 10] * 4, True), ([length * 10, length * 30, length, length], False)):
+        entries[0] += length
+        vbri = b"VBRI" + bytes(6) + (length * (n + 1)).to_bytes(4, "big") + n.to_bytes(4, "big") + b"\0\4\0\1\0\2\0\x0a" + b"".join(e.to_bytes(2, "big") for e in entries)
+        lead = bytearray(plain)
+        lead[36 : 36 + len(vbri)] = vbri
+        s = audio.parse(bytes(lead) + plain * n)
+        assert (s.table.kind, s.table.frames, len(s.offsets), s.table_ok) == ("vbri", n, n, right)
+    media = audio.pack(b"z" * 5000)
+    start = media.index(b"\xff\xfa")
+    xing = media.index(b"Xing")
+    for at in (xing + 11, xing + 15, xing + 16 + 50):
+        wrong = bytearray(media)
+        wrong[at] ^= 0x80
+        assert audio.parse(media).table_ok and not audio.parse(bytes(wrong)).table_ok
+    text = lambda name, value, marks=b"\0\0", more=b"": name + len(more + value).to_bytes(4, "big") + marks + more + value
+    tag = lambda major, flags, body: b"ID3" + bytes((major, 0, flags)) + audio._synchsafe(len(body)) + body
+    for made in (
+        tag(3, 0x40, b"\0\0\0\6" + bytes(6) + text(b"TIT2", b"\0name")),
+        tag(3, 0x80, text(b"TIT2", b"\0name") + text(b"TXXX", b"\0k\0" + b"v").replace(b"\xff", b"\xff\0")),
+        tag(4, 0x50, b"\0\0\0\6\1\0" + text(b"TIT2", b"\0name", b"\0\1", b"\0\0\0\5")) + b"3DI" + bytes(7),
+        tag(2, 0, b"TIT\0\0\5\0name"),
+    ):
+        s = audio.parse(made + media[start:])
+        assert "name" in s.tags.values() and s.skipped == 0 and len(s.offsets) == 6, made[:12]
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
