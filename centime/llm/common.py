@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..checkpoints import checkpoint_dir, checkpointed
+from ..checkpoints import checkpoint_dir, checkpointed, remove_folder
 
-__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name", "hashed_sample", "map_rows", "table"]
+__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name", "hashed_sample", "map_rows", "remove_folder", "spread", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

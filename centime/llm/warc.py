@@ -11,14 +11,16 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote_plus
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_dir, checkpointed, map_rows
+from .common import checkpoint_dir, checkpointed, map_rows, remove_folder
 
-#: Shorter payloads are never revisits; records a file holds, which bounds what one task reads at once.
-REVISIT_BYTES, RECORDS_PER_FILE = 100, 2000
+#: Shorter payloads are never revisits; the most records and bytes of payloads that a file holds, which bounds what one task
+#: reads at once. A payload of over BYTES_PER_FILE has a file of its own.
+REVISIT_BYTES, RECORDS_PER_FILE, BYTES_PER_FILE = 100, 2000, 64 << 20
 #: Repeated digests (about 80 bytes each) up to which their table is broadcast.
 BROADCAST_DIGESTS = 200_000
 #: Links that one task of a pointer-jumping round takes.
@@ -32,7 +34,7 @@ def _line(name: str, value: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(value): a WARC record, without the blank lines behind it, for each row of pages (page_id, url, html).
+    """(value, size): a WARC record, without the blank lines behind it, for each row of pages (page_id, url, html), and its payload's bytes.
 
     Of equal payloads of at least REVISIT_BYTES, rows with the least page_id are responses, others revisits that name it.
     """
@@ -44,7 +46,7 @@ def records(pages: DataFrame) -> DataFrame:
     if repeated.count() <= BROADCAST_DIGESTS:  # else both sides are exchanged, and adaptive execution splits what is hot
         repeated = F.broadcast(repeated)
     typed = rows.join(repeated, "digest", "left").withColumn("revisit", F.coalesce(F.col("page_id") != F.col("first"), F.lit(False)))
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.url_encode(F.col(c).cast("string")), F.lit("")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
     body = F.concat(http, F.when(F.col("revisit"), F.lit("")).otherwise(F.col("payload")))
     full = typed.withColumn("body", body)
@@ -60,15 +62,24 @@ def records(pages: DataFrame) -> DataFrame:
         _line("Content-Length", F.octet_length("body").cast("string")),
         F.lit("\r\n"),
     )
-    return full.select(F.concat(head, F.col("body")).alias("value"))
+    return full.select(F.concat(head, F.col("body")).alias("value"), size.alias("size"))
 
 
-def write_archives(pages: DataFrame, folder: str, records_per_file: int = RECORDS_PER_FILE) -> None:
+def write_archives(pages: DataFrame, folder: str, bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Write archives through Spark's text writer: the line separator is the pair of line ends that closes a record.
 
-    Each file is one gzip stream; offsets are those of the records in it.
+    Each file is one gzip stream; offsets are those of the records in it. Payloads whose size is of one power of two go
+    together, as many to a file as its bytes allow, so that no file holds more than ``bytes_per_file`` or one record.
     """
-    records(pages).write.option("lineSep", _END.decode()).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(folder)
+    rows = records(pages)
+    even = bytes_per_file // RECORDS_PER_FILE
+    most = pages.agg(F.coalesce(F.max(F.octet_length("html")), F.lit(0))).first()[0]
+    low, high, part = -1, even, 0
+    while low < most or not part:
+        of = rows.where((F.col("size") > low) & (F.col("size") <= high)) if most > even else rows
+        n = max(1, min(RECORDS_PER_FILE, bytes_per_file // max(high, 1)))
+        of.select("value").write.option("lineSep", _END.decode()).option("maxRecordsPerFile", n).option("compression", "gzip").text(f"{folder}/part={part}")
+        low, high, part = high, high * 2, part + 1
 
 
 def plain(data: bytes) -> bytes:
@@ -104,17 +115,21 @@ def candidates_of(data: bytes) -> Iterator[tuple]:
         yield m.start(), stop + 4, kind, _page(head.get(b"warc-record-id")), size, digest, _page(head.get(b"warc-refers-to")), head.get(b"warc-target-uri", b"").decode("utf-8", "replace"), digest == said
 
 
-def _page(name: bytes | None) -> int | None:
-    m = re.fullmatch(rb"<urn:page:(-?\d+)>", name or b"")
-    return int(m[1]) if m else None
+def _page(name: bytes | None) -> str | None:
+    m = re.fullmatch(rb"<urn:page:(.+)>", name or b"")
+    return unquote_plus(m[1].decode("latin-1")) if m else None
 
 
 def scan(archives: DataFrame) -> DataFrame:
-    """Candidates of each file of archives (path, content): file, at, next and the record's fields."""
-    schema = "file string, found array<struct<at:long,next:long,record_type:string,page_id:long,payload_bytes:long,payload_digest:string,refers_to:long,url:string,digest_ok:boolean>>"
+    """Candidates of each file of archives (path, content): file, size (of its plain bytes), at, next and the record's fields."""
+    schema = "file string, size long, found array<struct<at:long,next:long,record_type:string,page_id:string,payload_bytes:long,payload_digest:string,refers_to:string,url:string,digest_ok:boolean>>"
     names = ("at", "next", "record_type", "page_id", "payload_bytes", "payload_digest", "refers_to", "url", "digest_ok")
-    rows = map_rows(archives.select("path", "content"), lambda: lambda r: (r[0].decode(), [dict(zip(names, c)) for c in candidates_of(plain(r[1]))]), schema)
-    return rows.select("file", F.inline("found"))
+
+    def one(r):
+        data = plain(r[1])
+        return r[0].decode(), len(data), [dict(zip(names, c)) for c in candidates_of(data)]
+
+    return map_rows(archives.select("path", "content"), lambda: one, schema).select("file", "size", F.inline_outer("found"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -135,18 +150,32 @@ def reachable(links: DataFrame) -> DataFrame:
 
 
 def read_archives(spark, folder: str) -> DataFrame:
-    """The true records of all archives in a folder: file, at, next, record_type, page_id, payload_bytes, payload_digest, ..."""
-    found = checkpointed(scan(spark.read.format("binaryFile").load(folder)))
-    return found.join(reachable(found), ["file", "at"], "left_semi")
+    """The true records of all archives in a folder: file, size, at, next, record_type, page_id, payload_bytes, payload_digest, ..."""
+    found = checkpointed(scan(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)))
+    return found.join(reachable(found.where("at is not null")), ["file", "at"], "left_semi")
+
+
+def broken_chains(archives: DataFrame) -> DataFrame:
+    """(file, size, stops): the files of archives (path, content) whose chain of records does not reach the end, and where it stops.
+
+    What lies behind a damaged record can't be told from payload, so it is reported, not guessed. Empty files are whole.
+    """
+    found = checkpointed(scan(archives))
+    reached = found.where("at is not null").join(reachable(found.where("at is not null")), ["file", "at"], "left_semi")
+    ends = reached.groupBy("file").agg(F.max("next").alias("stops"))
+    files = found.groupBy("file").agg(F.first("size").alias("size")).join(ends, "file", "left").withColumn("stops", F.coalesce("stops", F.lit(0)))
+    return files.where("stops < size")
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
-    """Write all pages into archives in a new folder beside the checkpoints, and read them back.
+    """Write all pages into archives in a new folder beside the checkpoints, read them back, and take the folder away.
 
     A null html is an empty payload. Repeated rows give a record each; those with the least page_id are all responses. A null
-    page_id is a response without an id. No pages give no records.
+    page_id is a response without an id. page_id and refers_to have the type that they have in ``pages``. No pages give no records.
     """
-    spark = pages.sparkSession
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     folder = f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(pages, folder)
-    return read_archives(spark, folder)
+    read = checkpointed(read_archives(spark, folder))
+    remove_folder(spark, folder)
+    return read.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})

@@ -305,6 +305,33 @@ def test_warc_rejects_magic_in_payloads(spark):
     assert {i: got[i]["refers_to"] for i in got if got[i]["record_type"] == "revisit"} == {6: 4, 9: 4}
 
 
+def test_warc_files_are_bounded_and_ids_may_be_words(spark, tmp_path):
+    rnd = random.Random(2)
+    html = [None, "", "ß" * 70] + ["".join(rnd.choices("abcdef <>", k=n)) for n in (99, 100, 5_000, 40_000, 200_000, 200_000) for _ in range(3)]
+    rows = [(f"p {i:03}/ü", f"http://x/{i}", h) for i, h in enumerate(html + html[2:5])] + [(None, None, "no id"), ("p 000/ü", "u", "x" * 100), ("p 000/ü", "u", "x" * 100)]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    folder = str(tmp_path / "warc")
+    warc.write_archives(pages, folder, 100_000)
+    files = [r for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content").collect()]
+    sizes = [len(warc.plain(bytes(r["content"]))) for r in files]
+    assert max(sizes) < 202_000 and len(sizes) > 9
+    got = sorted((str(r["page_id"]), r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, folder).collect())
+    first = {}
+    for i, _, h in sorted(rows, key=lambda r: str(r[0])):
+        first.setdefault(h, i)
+    seen = [(i, (h or "").encode(), first[h]) for i, _, h in rows]
+    want = [(str(i), hashlib.sha256(h).hexdigest(), "revisit" if len(h) >= 100 and i != f else "response", f if len(h) >= 100 and i != f else None) for i, h, f in seen]
+    assert got == sorted(want, key=lambda w: (w[0], w[1], w[2], str(w[3])))
+    assert warc.archive_and_read(pages.limit(0)).count() == 0
+
+
+def test_warc_tells_where_a_damaged_chain_stops(spark):
+    record = lambda i: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: 8\r\n\r\n\r\n\r\nabcd\r\n\r\n".encode()
+    whole, cut = b"".join(map(record, range(4))), record(0) + record(1)[:-5] + record(2)
+    files = spark.createDataFrame([("a", bytearray(whole)), ("b", bytearray(cut)), ("c", bytearray()), ("d", bytearray(b"junk"))], "path string, content binary")
+    assert sorted((r["file"], r["stops"]) for r in warc.broken_chains(files).collect()) == [("b", len(record(0))), ("d", 0)]
+
+
 def test_bpe_pieces_and_round_trip(spark):
     ranks = bpe.Ranks()
     e = ranks.encoding()
