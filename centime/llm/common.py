@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint_dir, checkpointed, remove_folder
 
-__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name", "hashed_sample", "map_rows", "remove_folder", "spread", "table"]
+__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name", "hashed_sample", "map_rows", "remove_folder", "spread", "table", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,18 +62,26 @@ def as_bytes(column: pa.Array) -> pa.Array:
 
 
 def hashed_sample(df: DataFrame, key: str, by: str, per_class: int) -> dict:
-    """A bounded sample to fit a model on: at most ``per_class`` rows of each value of ``by``.
+    """A bounded sample to fit a model on: the keys of at most ``per_class`` rows of each value of ``by``, repeated keys once.
 
-    Rows are taken by the order of a hash of ``key``, which does not depend on partitions. Class sizes are counted first, so
-    that only about twice the rows asked for leave the scan. ``by`` must have few values (classes of a classifier).
+    Keys are taken by the order of a hash, which does not depend on partitions. Class sizes are counted first, so that only
+    about twice the keys asked for leave the scan, and no other column does. ``by`` must have few values (classes of a classifier).
     """
-    counts = {r[0]: r[1] for r in df.where(F.col(by).isNotNull()).groupBy(by).count().collect()}
+    df = df.select(key, by).where(F.col(by).isNotNull() & F.col(key).isNotNull()).distinct()
+    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
     spot = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30))
     share = F.coalesce(*[F.when(F.col(by) == F.lit(k), F.lit(int(min(1.0, 2 * per_class / n + 20 / n) * (1 << 30)))) for k, n in counts.items()]) if counts else F.lit(0)
     found: dict = {k: [] for k in counts}
     for r in df.withColumn("spot", spot).where(F.col("spot") < share).collect():
         found[r[by]].append(r)
-    return {k: sorted(v, key=lambda r: (r["spot"], str(r[key])))[:per_class] for k, v in sorted(found.items())}
+    return {k: [r[key] for r in sorted(v, key=lambda r: (r["spot"], str(r[key])))[:per_class]] for k, v in sorted(found.items())}
+
+
+def texts_of(docs: DataFrame, keys: list) -> DataFrame:
+    """(doc_id, text) of a bounded list of ids, which is broadcast; of an id's repeated rows the least text."""
+    picked = docs.sparkSession.createDataFrame([(k,) for k in keys], docs.select("doc_id").schema).distinct()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def crc_mod(column, n: int):

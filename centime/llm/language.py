@@ -27,12 +27,21 @@ def letters(text: str) -> bytes:
 
 
 def fit(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, bytes]:
-    """A dictionary for each language of ``labelled`` (doc_id, text, lang). At most ``per_language`` rows each are read."""
+    """A dictionary for each language of ``labelled`` (doc_id, text, lang), of at most ``per_language`` documents each.
+
+    What reaches the driver is a slice of SLICE_BYTES of each. Of repeated ids the least text is taken; equal slices count once.
+    """
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    made = {}
-    for lang, sample in hashed_sample(rows, "doc_id", "lang", per_language).items():
-        texts = dict.fromkeys(letters(r["text"]) for r in sample)
-        made[lang] = raw_dictionary([slice_of(t, SLICE_BYTES) for t in texts if t], DICTIONARY_BYTES)
+    sample = hashed_sample(rows, "doc_id", "lang", per_language)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def cut(r):
+        return r[0].decode() if isinstance(r[0], bytes) else r[0], r[1].decode(), slice_of(letters(r[2].decode("utf-8", "replace")), SLICE_BYTES)
+
+    keys = rows.sparkSession.createDataFrame([(i, k) for k, ids in sample.items() for i in ids], rows.select("doc_id", "lang").schema)
+    found = rows.join(F.broadcast(keys), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    slices = {(r[0], r[1]): bytes(r[2]) for r in map_rows(found, lambda: cut, f"doc_id {kind}, lang string, slice binary").collect()}
+    made = {lang: raw_dictionary([s for s in dict.fromkeys(slices[i, lang] for i in ids) if s], DICTIONARY_BYTES) for lang, ids in sample.items()}
     return {k: v for k, v in made.items() if v}
 
 

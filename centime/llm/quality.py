@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc_mod, hashed_sample, map_rows
+from .common import checkpointed, crc_mod, hashed_sample, map_rows, texts_of
 from .compression import Sizer, raw_dictionary, slice_of
 
 #: The bound on labelled rows of each class that a model is fitted on, and how they are used.
@@ -54,42 +54,39 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return w[0] / scale, w[1]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[dict[int, int], dict[int, list[bytes]]]:
-    """How many labelled documents each class has, and the texts of at most ``per_class`` of them.
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
+    """Fit on ``docs`` (doc_id, text) by ``labels`` (doc_id, quality 0 or 1): at most ``per_class`` documents a class.
 
-    Ids are joined first and the sample is taken of them, so that only the texts of the bounded sample ever leave the scan.
-    Of an id's repeated rows the least text is taken.
+    Every second one makes the dictionaries, the others the curve, weighted to the classes' true shares. What reaches the driver
+    is a slice of SLICE_BYTES of each of the former, of which a dictionary takes the first that fit into DICTIONARY_BYTES (about
+    218), and a number for each of the latter, measured in tasks on whole texts. With a class missing, every score is the share
+    of class 1 (0.5 without rows). Null ids, texts and labels are left out; of an id's repeated rows the least text is taken.
     """
     known = labels.where("quality in (0, 1)").select("doc_id", "quality")
     ids = checkpointed(docs.where("text is not null").select("doc_id").join(known, "doc_id").distinct())
     totals = {r[0]: r[1] for r in ids.groupBy("quality").count().collect()}
-    sample = hashed_sample(ids, "doc_id", "quality", per_class)
-    picked = docs.sparkSession.createDataFrame([(r["doc_id"],) for rows in sample.values() for r in rows], docs.select("doc_id").schema).distinct()
-    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    text = {r["doc_id"]: r["text"].encode() for r in found.collect()}
-    return totals, {k: [text[r["doc_id"]] for r in rows] for k, rows in sample.items()}
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> QualityModel:
-    """Fit on ``docs`` (doc_id, text) by ``labels`` (doc_id, quality 0 or 1); at most ``per_class`` texts a class reach the driver.
-
-    Half of each sample makes the dictionaries, the other half the curve, weighted to the classes' true shares. With a class
-    missing, every score is the share of class 1 (0.5 without rows). Null ids, texts and labels are left out.
-    """
-    totals, texts = _sample(docs, labels, per_class)
     n = sum(totals.values())
     if len(totals) < 2:
         p = min(max(totals.get(1, 0) / n, 0.001), 0.999) if n else 0.5
         return QualityModel(b"-", b"-", 0.0, math.log(p / (1 - p)))
-    halves = {k: (v[::2], v[1::2] or v) for k, v in texts.items()}
-    model = QualityModel(*(raw_dictionary([slice_of(t, SLICE_BYTES) for t in halves[k][0]], DICTIONARY_BYTES) or b"-" for k in (1, 0)))
-    measure = model.measure()
-    x = {k: [measure(t) for t in v[1]] for k, v in halves.items()}
+    halves = {k: (v[::2], v[1::2] or v) for k, v in hashed_sample(ids, "doc_id", "quality", per_class).items()}
+    texts = checkpointed(texts_of(docs, [i for pair in halves.values() for half in pair for i in half]))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    wanted = texts.where(F.col("doc_id").isin(*(i for pair in halves.values() for i in pair[0])))
+    slices = {r[0]: bytes(r[1]) for r in map_rows(wanted, lambda: lambda r: (_plain(r[0]), slice_of(r[1], SLICE_BYTES)), f"doc_id {kind}, slice binary").collect()}
+    model = QualityModel(*(raw_dictionary([slices[i] for i in halves[k][0]], DICTIONARY_BYTES) or b"-" for k in (1, 0)))
+    others = texts.where(F.col("doc_id").isin(*(i for pair in halves.values() for i in pair[1])))
+    measures = {r[0]: r[1] for r in score(others, model).select("doc_id", "size_difference").collect()}
+    x = {k: [measures[i] for i in pair[1]] for k, pair in halves.items()}
     weight = np.concatenate([np.full(len(x[k]), totals[k] / n * (len(x[0]) + len(x[1])) / max(len(x[k]), 1)) for k in (0, 1)])
     model.slope, model.intercept = _logistic(np.array(x[0] + x[1]), np.repeat([0.0, 1.0], [len(x[0]), len(x[1])]), weight)
     return model
 
 
+def _plain(key):
+    return key.decode() if isinstance(key, bytes) else key
+
+
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """(doc_id, score, size_difference) for every row, from its whole text alone. Null counts as empty; repeated rows stay."""
 

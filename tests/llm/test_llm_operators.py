@@ -1,12 +1,16 @@
 import hashlib
+import math
 import os
 import random
 import re
+import unicodedata
+import zlib
 
 import numpy as np
 import pytest
 import tiktoken
 import xxhash
+import zstandard
 
 from centime.llm import audio, bpe, decontaminate, language, linededup, quality, secret_scan, simhash, token_counts, warc
 from centime.llm.cuckoo import CuckooFilter
@@ -141,6 +145,60 @@ def test_quality(spark):
     assert by_id(quality.classify(docs, labels.limit(0)))[0]["score"] == 0.5
 
 
+def plain_size(dictionary, data, chunk, **how):
+    """Compressed size by a compressor that loads the dictionary anew for each chunk."""
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    c = zstandard.ZstdCompressor(dict_data=d, **how)
+    return sum(len(c.compress(data[i : i + chunk])) for i in range(0, len(data), chunk))
+
+
+def test_quality_scores_agree_with_a_plain_loop(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "long text here " * 30_000), (-4, "same"), (-4, "same")], "doc_id long, text string")
+    every = docs.select("doc_id", "text").union(extra)
+    train = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    model = quality.fit(every, spark.createDataFrame(list(train.items()), "doc_id long, quality int"))
+    got = quality.classify(every, labels).collect()
+    texts = every.collect()
+    assert len(got) == len(texts)
+    want = {}
+    for r in texts:
+        data = (r["text"] or "").encode()
+        g, b = (plain_size(d, data, quality.CHUNK, level=quality.LEVEL) for d in (model.good, model.bad))
+        want[r["doc_id"]] = 1 / (1 + math.exp(-max(-50, min(50, model.slope * (b - g) / max(b, g, 1) + model.intercept))))
+    for r in got:
+        assert abs(r["score"] - want[r["doc_id"]]) < 1e-9 and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    assert quality.classify(every.limit(0), labels).count() == 0
+
+
+def test_quality_tells_held_out_labels(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    held = [(r["score"], r["predicted"], marks[r["doc_id"]]) for r in quality.classify(docs, labels).collect() if r["held_out"] and marks.get(r["doc_id"]) is not None]
+    pairs = [(a > b) + (a == b) / 2 for a, _, q in held for b, _, r in held if q > r]
+    assert sum(pairs) / len(pairs) > 0.95 and sum(p == q for _, p, q in held) > 0.9 * len(held)
+
+
+def test_language_agrees_with_a_plain_loop(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    made = language.fit_not_held_out(docs)
+    p = zstandard.ZstdCompressionParameters(write_content_size=0, write_checksum=0, write_dict_id=0, **language.PARAMETERS)
+    got, right, held = by_id(language.classify(docs)), 0, 0
+    for r in docs.collect():
+        data = " ".join(x for x in "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in (r["text"] or "").lower()).split(" ") if x).encode()
+        mine = got[r["doc_id"]]
+        if not any(unicodedata.category(c)[0] == "L" for c in r["text"] or ""):
+            assert (mine["lang_pred"], mine["score"], mine["rejected"]) == ("und", 0.0, True)
+            continue
+        sizes = sorted((plain_size(d, data, language.CHUNK, compression_params=p), k) for k, d in made.items())
+        gap = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert (mine["lang_pred"], mine["rejected"]) == (sizes[0][1], gap < language.MARGIN) and abs(mine["margin"] - gap) < 1e-12
+        if mine["held_out"] and r["lang"] is not None:
+            held, right = held + 1, right + (mine["lang_pred"] == r["lang"])
+    assert right >= 0.9 * held > 0
+
+
 def test_language(spark):
     de, en = "der und die nicht ich auch eine werden", "the and of which have with from this"
     rnd = random.Random(2)
@@ -472,6 +530,30 @@ def test_token_counts_add_up(spark, rule):
         assert r["n_tokens"] == len(e.encode_ordinary(text)) == sum(r["section_tokens"]) and sum(r["section_chars"]) == len(text)
 
 
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_section_tokens_agree_with_brute_force(spark, rule):
+    e = bpe.Ranks().encoding()
+    rnd = random.Random(6)
+    texts = [*EDGE, "\n\n\n", "a\n", "\na", "word\n" * 3000] + ["".join(rnd.choice(("ab ", "\n", "\n\n", "é", "𝄞x", "  ", "123", "\n \n")) for _ in range(40)) for _ in range(30)]
+    got = by_id(token_counts.count_sections(table(spark, texts), rule))
+    for i, t in enumerate(texts):
+        data, lines, owner = (t or "").encode(), [], []
+        for line in re.findall(r"[^\n]*\n+|[^\n]+", t or ""):
+            owner += [len(lines)] * len(line.encode())
+            lines.append(len(line))
+        tokens, at, crossing = [0] * len(lines), 0, 0
+        for token in e.encode_ordinary(t or ""):
+            n = len(e.decode_single_token_bytes(token))
+            mine = owner[at : at + n]
+            best = {"first": mine[0], "last": mine[-1], "most": max(sorted(set(mine)), key=mine.count)}[rule]
+            tokens[best] += 1
+            crossing += mine[0] != mine[-1]
+            at += n
+        assert at == len(data)
+        assert (got[i]["section_chars"], got[i]["section_tokens"], got[i]["n_crossing"]) == (lines, tokens, crossing), i
+    assert token_counts.count_sections(table(spark, []), rule).count() == 0
+
+
 def test_boundary_rules():
     starts, ends, cuts = np.array([0, 3, 7]), np.array([3, 7, 8]), np.array([0, 4, 7])
     assert [token_counts.allocate(starts, ends, cuts, r).tolist() for r in token_counts.RULES] == [[0, 0, 2], [0, 1, 2], [0, 1, 2]]
