@@ -132,14 +132,15 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 #: the bits (as they come, every 64th, every 599th) make 192 blocks, of which one agrees with a chance of 0.98, and more the more
 #: alike two texts are. Unlike texts share one with a chance of 0.00001; a corpus of 2**k times the rows keeps as few such pairs
 #: a text with k more bits a block, and its recall with 1.18 times the blocks a bit.
-LANES, BLOCK_BITS, WIDE_RADIUS = 24, 24, 330
+LANES, BLOCK_BITS = 24, 24
+#: Differing bits up to which a pair's sets are looked up, three deviations over what a similarity of 0.8 gives; more for texts of
+#: under SHORT shingles. Pairs within FIRST_RADIUS (most of those similar by 0.81) are linked first.
+WIDE_RADIUS, SHORT_RADIUS, SHORT, FIRST_RADIUS = 274, 310, 64, 225
 #: Sets of up to so many shingles are also found by what is left without any two or fewer of their shingles: two that have at
 #: most so many in all and a similarity of 0.8 differ in two at most.
 SMALL = 14
 #: Least Jaccard similarity of near copies' shingle sets, as a fraction of whole numbers, so that no comparison rounds.
 SIMILAR = (4, 5)
-#: Pivot rounds go on while more pairs than so many a row are left and a round settles a fifth of them, up to so many rounds.
-PAIRS_A_ROW, PIVOT_ROUNDS = 2, 8
 
 
 def _orders() -> np.ndarray:
@@ -214,10 +215,14 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return map_rows(nodes.select("node", "n", "fp", "small"), make, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
 
 
-def _near(p: str, q: str) -> Column:
+def _bits_apart(p: str, q: str) -> Column:
+    return reduce(lambda a, b: a + b, [_distance(F.col(f"{p}.fp")[i], F.col(f"{q}.fp")[i]) for i in range(LANES)])
+
+
+def _near(p: str, q: str, most: int = SHORT_RADIUS) -> Column:
     """Whether fingerprints are within the radius, or one is that of a small set, which tells too little."""
-    apart = reduce(lambda a, b: a + b, [_distance(F.col(f"{p}.fp")[i], F.col(f"{q}.fp")[i]) for i in range(LANES)])
-    return (F.least(F.col(f"{p}.n"), F.col(f"{q}.n")) <= SMALL) | (apart <= WIDE_RADIUS)
+    n = F.least(F.col(f"{p}.n"), F.col(f"{q}.n"))
+    return (n <= SMALL) | (_bits_apart(p, q) <= F.least(F.lit(most), F.when(n < SHORT, SHORT_RADIUS).otherwise(WIDE_RADIUS)))
 
 
 def _like_size(p: str, q: str) -> Column:
@@ -252,50 +257,64 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Rows are told apart by a digest of all columns, so repeated rows share one; ids may repeat or be null. Equal shingle sets
     are one node (a 64-bit digest); null texts, empty ones and others without words are one too, and link to nothing else.
 
-    Nodes that share a block of their fingerprints form a bucket. Members are compared with the bucket's pivot first; the
-    pivot then has met all and leaves, and so do buckets whose members are in one group. So a large group of near copies
-    costs rows in proportion to its members. When few pairs are left, or a round settles few, members of a bucket that are in
-    different groups are compared within the join, on the fingerprints that they bring along: only what is near comes out.
-    Every link is verified on the whole shingle sets, so no two texts are linked that are not similar.
+    Nodes that share a block of their fingerprints form a bucket, whose least member is its pivot. First every node is compared
+    with the pivot that it shares most blocks with, which joins most of a large group with a row for each member; buckets whose
+    members are then in one group are done. In the others, those outside a bucket's largest group are compared with all members
+    of other groups, within the join and on the fingerprints that they bring along: only what is near comes out. Every link is
+    verified on the whole shingle sets, so no two texts are linked that are not similar: first the nearest pair of each two
+    groups, then what is still between two groups. As most groups grow together by their nearest pairs, a pass with a small
+    radius goes before that of the full one, which then finds few members in different groups.
     """
     rows = checkpointed(_fingerprinted(docs, shingle))
     nodes = checkpointed(rows.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "small")]))
     keys = _keys(nodes)
-    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    held, prints = checkpointed(keys.join(shared, "key").withColumn("group", F.col("node"))), nodes.select("node", "n", "fp")
+    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1").select("key", "pivot"))
+    members, prints = checkpointed(keys.join(shared, "key")), nodes.select("node", "n", "fp")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        p, q = prints.withColumnRenamed("node", "a").alias("p"), prints.withColumnRenamed("node", "b").alias("q")
+        return pairs.join(p, "a").join(q, "b").where(_like_size("p", "q") & _near("p", "q"))
 
-    def linked(near: DataFrame, links: DataFrame | None) -> DataFrame:
-        edges = _similar(docs, nodes, checkpointed(near), shingle)
+    def linked(pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+        pairs = checkpointed(pairs.select("a", "b"))
+        if pairs.isEmpty():
+            return docs.sparkSession.createDataFrame([], "node long, root long") if links is None else links
+        edges = _similar(docs, nodes, pairs, shingle)
         return checkpointed(components(edges if links is None else edges.union(links.toDF("a", "b"))))
 
-    links, before = None, 0
-    for left in range(PIVOT_ROUNDS, -1, -1):
-        open_, n_rows, n_pairs = _unsettled(held)
-        if n_pairs <= PAIRS_A_ROW * n_rows and before or before and n_pairs > 0.8 * before or not left or not n_pairs:
-            break
-        before = n_pairs
-        pivots = checkpointed(open_.groupBy("key").agg(F.min(F.struct("node", "group")).alias("p")).select("key", "p.*"))
-        met = open_.alias("q").join(pivots.alias("p"), "key").where("p.group <> q.group")
-        pairs = checkpointed(met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
-        p, q = prints.withColumnRenamed("node", "a").alias("p"), prints.withColumnRenamed("node", "b").alias("q")
-        links = linked(pairs.join(p, "a").join(q, "b").where(_like_size("p", "q") & _near("p", "q")).select("a", "b"), links)
-        stay = open_.join(pivots.select("key", F.col("node").alias("done")), "key").where("node <> done").select("key", "node")
-        held = stay.join(links, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))
-    if n_pairs:
-        of = checkpointed(open_.join(prints, "node"))
-        met = of.alias("p").join(of.alias("q"), "key").where(F.expr("p.node < q.node and p.group <> q.group") & _like_size("p", "q") & _near("p", "q"))
-        links = linked(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct(), links)
-    if links is None:
-        return rows.select("row", "doc_id", F.col("node").alias("group"))
+    def between_groups(links: DataFrame, radius: int) -> DataFrame:
+        of = _unsettled(members.select("key", "node").join(links, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group")))
+        of = checkpointed(of.join(prints, "node"))
+        apart = F.expr("p.group <> q.group and (not q.minor or p.node < q.node)") & _like_size("p", "q") & _near("p", "q", radius)
+        ends = (F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), F.least("p.group", "q.group").alias("x"), F.greatest("p.group", "q.group").alias("y"))
+        met = of.where("minor").alias("p").join(of.alias("q"), "key").where(apart).select(*ends, _bits_apart("p", "q").alias("bits"))
+        return checkpointed(met.distinct())
+
+    def nearest(open_: DataFrame) -> DataFrame:
+        return open_.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.*")
+
+    links = linked(near(_most_shared(members.where("node <> pivot"))))
+    links = linked(nearest(between_groups(links, FIRST_RADIUS)), links)
+    open_ = between_groups(links, SHORT_RADIUS)
+    if not open_.isEmpty():
+        links = linked(nearest(open_), links)
+        of_a, of_b = links.toDF("a", "ga"), links.toDF("b", "gb")
+        still = open_.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left").where("coalesce(ga, a) <> coalesce(gb, b)")
+        links = linked(still, links)
     return rows.select("row", "doc_id", "node").join(links, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("group"))
 
 
-def _unsettled(held: DataFrame) -> tuple[DataFrame, int, int]:
-    """The rows of buckets whose members are in more than one group, their number, and how many pairs of members are of two groups."""
-    of = held.groupBy("key", "group").agg(F.count("*").cast("double").alias("m"))
-    mixed = checkpointed(of.groupBy("key").agg(F.sum("m").alias("m"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("pairs")).where("pairs > 0"))
-    total = mixed.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum("pairs"), F.lit(0))).first()
-    return checkpointed(held.join(mixed.select("key"), "key")), total[0], total[1]
+def _most_shared(met: DataFrame) -> DataFrame:
+    """(a, b): for each node b of met (node, pivot) the pivot that it meets most often."""
+    times = met.groupBy("node", "pivot").agg(F.count("*").alias("m"))
+    return times.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("m", "pivot")).alias("a"))
+
+
+def _unsettled(held: DataFrame) -> DataFrame:
+    """The rows (key, node, group, minor) of buckets whose members are in several groups; those of the largest group are not minor."""
+    sizes = held.groupBy("key", "group").agg(F.count("*").alias("m")).groupBy("key")
+    mixed = sizes.agg(F.max_by("group", F.struct("m", "group")).alias("major"), F.count("*").alias("groups")).where("groups > 1")
+    return held.join(mixed.select("key", "major"), "key").select("key", "node", "group", (F.col("group") != F.col("major")).alias("minor"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
