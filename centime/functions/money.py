@@ -9,8 +9,9 @@ ZERO_WORDS = ("", "0", "nan", "none", "free")
 
 
 def floor_div(n: Column, d: int) -> Column:
-    """Division of longs that rounds down for either sign."""
-    return ((n - F.pmod(n, F.lit(d))) / F.lit(d)).cast("long") if d != 10 else F.floor(n.cast("decimal(20,0)") / 10).cast("long")
+    """Division of longs by a positive number that rounds down for either sign, exact for all of them."""
+    cut = F.call_function("div", n, F.lit(d))
+    return F.when(n % d < 0, cut - 1).otherwise(cut)
 
 
 def milliunits_to_cents(mu: Column) -> Column:
@@ -31,6 +32,10 @@ def dollars_to_cents(dollars: Column) -> Column:
     return F.expr("bigint(0)") + (dollars * 100 + F.lit(0.5)).cast("long")
 
 
+def dollars_to_milliunits(dollars: Column) -> Column:
+    return dollars_to_cents(dollars) * 10
+
+
 def truncated_cents(dollars: Column) -> Column:
     """A float times 100, cut off toward zero."""
     return (dollars * 100).cast("long")
@@ -70,7 +75,7 @@ def symbol_cents(text: Column, thousands: bool = True) -> Column:
 def plain(cents: Column) -> Column:
     """``-1,234.05``"""
     a = F.abs(cents)
-    whole = F.regexp_replace(F.floor(a / 100).cast("long").cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
+    whole = F.regexp_replace(floor_div(a, 100).cast("string"), r"(?<=\d)(?=(\d{3})+$)", ",")
     return F.concat(F.when(cents < 0, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."), F.lpad((a % 100).cast("string"), 2, "0"))
 
 
@@ -84,6 +89,16 @@ def signed_symbol(cents: Column) -> Column:
     return F.concat(F.when(cents < 0, F.lit("-")).otherwise(F.lit("")), F.lit("$"), plain(F.abs(cents)))
 
 
+def milliunits_text(mu: Column) -> Column:
+    """``-$45.99`` of milliunits."""
+    return signed_symbol(milliunits_to_cents(mu))
+
+
+def with_context(mu: Column, context: Column) -> Column:
+    """``$45.99 (context)`` of milliunits; without a context the amount alone."""
+    return F.concat(milliunits_text(mu), F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(" ("), context, F.lit(")"))).otherwise(F.lit("")))
+
+
 def proportional(n: Column, d: Column, total: Column) -> Column:
     """floor(n * total / d); 0 if d is 0."""
     return F.when(d == 0, F.lit(0)).otherwise(F.floor((n * total).cast("decimal(38,0)") / F.nullif(d, F.lit(0)).cast("decimal(20,0)"))).cast("long")

@@ -34,8 +34,19 @@ def account_type(name: Column) -> Column:
 
 
 def retirement_accounts(accounts: DataFrame) -> DataFrame:
+    """Open tracked accounts of other assets with provider and type, in order of name."""
     kept = accounts.where("type = 'otherAsset' and not on_budget and not closed")
-    return kept.withColumns({"provider": provider(F.col("name")), "account_type": account_type(F.col("name"))})
+    return kept.withColumns({"provider": provider(F.col("name")), "account_type": account_type(F.col("name"))}).orderBy("name")
+
+
+def retirement_totals(accounts: DataFrame) -> DataFrame:
+    """One row: how many retirement accounts there are and the sum of their balances in milliunits."""
+    return accounts.agg(F.count("*").alias("accounts"), F.coalesce(F.sum("balance"), F.lit(0)).alias("balance"))
+
+
+def folders(mail: DataFrame) -> DataFrame:
+    """Folders of mail (folder) with their counts, the fullest first."""
+    return mail.groupBy("folder").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder")
 
 
 def categories(groups: DataFrame) -> DataFrame:

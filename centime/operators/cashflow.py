@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import floor_div
+
 
 def _series():
     """The daily series in order. It has one row a day however large the ledger, so one task holds it."""
@@ -120,6 +122,43 @@ def statistics(totals: DataFrame) -> DataFrame:
     )
 
 
+def health(totals: DataFrame) -> DataFrame:
+    """What the monthly figures add to ``statistics``: shares of all days, the mean monthly change and spread of extremes."""
+    day = totals.withColumn("change", F.col("total") - F.lag("total").over(_series())).agg(
+        (F.count_if(F.col("change") > 0) / F.count("*") * 100).alias("up_pct"), (F.count_if(F.col("change") < 0) / F.count("*") * 100).alias("down_pct")
+    )
+    month = monthly(totals).agg(F.avg("net_change").alias("mean_monthly_net"), (F.avg("most") - F.avg("least")).alias("mean_monthly_range"))
+    return day.join(month)
+
+
+def trend_line(totals: DataFrame) -> DataFrame:
+    """(date, total, fitted): the least-squares line beside the series; fewer than two days give 0. The trend is one row."""
+    fit = trend(totals).select("slope", "intercept", F.lit(1).alias("k"))
+    x = F.datediff("date", F.min("date").over(Window.partitionBy()))
+    return totals.select("date", "total", x.alias("x"), F.lit(1).alias("k")).join(F.broadcast(fit), "k").select("date", "total", (F.col("slope") * F.col("x") + F.col("intercept")).alias("fitted"))
+
+
+def with_p_value(trend_row: DataFrame) -> DataFrame:
+    """The two-sided p of the trend's correlation beside its one row."""
+
+    def add(batches):
+        for b in batches:
+            yield b.assign(p=[p_value(r, int(n)) for r, n in zip(b["r"], b["n"])])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in trend_row.schema)
+    return trend_row.mapInPandas(add, f"{kinds}, p double")
+
+
+def configured(transactions: DataFrame, accounts: DataFrame, names: list[str], start: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of ``account_balances`` for the open accounts of those names and their live transactions since a day.
+
+    accounts: name, closed, balance_mu; transactions: account, date, cents, deleted. Accounts off budget count too.
+    """
+    mine = cash_accounts(accounts, names)
+    balances = mine.select(F.col("name").alias("account"), floor_div(F.col("balance_mu"), 10).alias("cents"))
+    return cash_transactions(transactions, mine, start).select("account", "date", "cents"), balances
+
+
 def composition(account_days: DataFrame) -> DataFrame:
     """Mean balance of each account and its sign group; zero counts as positive."""
     mean = F.avg("balance")

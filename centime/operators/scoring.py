@@ -28,5 +28,16 @@ def complete(gap: Column, n_dates: Column) -> Column:
     return F.when(n_dates > 1, by_gap(gap, COMPLETE_MORE_DATES)).otherwise(by_gap(gap, COMPLETE_ONE_DATE))
 
 
+#: The least confidence, in hundredths, of a match of each method; others need OTHER_MIN.
+METHOD_MIN, OTHER_MIN = {"complete": 75, "split": 65}, 60
+
+
+def meets_threshold(score: Column, method: Column) -> Column:
+    least = F.lit(OTHER_MIN)
+    for name, most in METHOD_MIN.items():
+        least = F.when(method == name, F.lit(most)).otherwise(least)
+    return F.coalesce(score >= least, F.lit(False))
+
+
 def level(confidence: Column) -> Column:
     return F.when(confidence >= 0.9, "high").when(confidence >= 0.75, "medium").when(confidence >= 0.5, "low").otherwise("none")

@@ -105,6 +105,43 @@ def receipt_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(key.cast("string").alias("base_name"), F.when(key % 3 == 0, table_layout).when(key % 3 == 1, modern).otherwise(rows).alias("html"))
 
 
+def priced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items of each order with what was paid for it; every fifth order was charged a cent more than its items."""
+    it = order_items(spark, sf_dir)
+    totals = it.groupBy("order_id").agg((F.sum("cents") * -10).alias("paid"))
+    return it.join(totals, "order_id").withColumn("tx_mu", F.col("paid") - F.when(F.col("order_id") % 5 == 0, 10).otherwise(0)).drop("paid").withColumnRenamed("order_id", "tx_id")
+
+
+def item_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receipt for each order (base_name, subtotal_cents, tax_cents, total_cents, items) with 7 % tax; those of every 13th order are missing."""
+    it = order_items(spark, sf_dir).where("order_id % 13 <> 0")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("name").alias("title"), "cents"))), lambda x: F.struct(x["title"].alias("title"), x["cents"].alias("cents")))
+    r = it.groupBy(F.col("order_id").alias("base_name")).agg(F.sum("cents").alias("subtotal_cents"), items.alias("items"))
+    return r.withColumn("tax_cents", F.expr("subtotal_cents * 7 div 100")).withColumn("total_cents", F.col("subtotal_cents") + F.col("tax_cents"))
+
+
+def receipt_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A receipt match for each order: every 11th of two receipts, every 9th none, every 8th a cent off what the receipt says."""
+    key = F.col("order_id")
+    s = order_items(spark, sf_dir).groupBy("order_id").agg(F.sum("cents").alias("s"))
+    paid = F.expr("s + s * 7 div 100") + F.when(key % 8 == 0, 1).otherwise(0)
+    ids = F.when(key % 11 == 0, F.array(key, key + 1)).otherwise(F.array(key))
+    return s.select(key.alias("transaction_id"), (paid * -10).alias("transaction_mu"), (key % 9 != 0).alias("matched"), ids.alias("receipt_ids"))
+
+
+def ledger_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accounts of nations: every third is closed, every other is off budget; balances in milliunits."""
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey").cast("long")
+    return n.select(F.col("n_name").alias("name"), (k % 3 == 0).alias("closed"), (k % 2 == 0).alias("on_budget"), (k * 1_000_003 - 5_000_001).alias("balance_mu"))
+
+
+def ledger_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of each nation's customers; every tenth is deleted."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    met = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return met.select(F.col("n_name").alias("account"), F.col("o_orderdate").cast("date").alias("date"), (-from_double(F.col("o_totalprice"))).alias("cents"), (F.col("o_orderkey") % 10 == 0).alias("deleted"))
+
+
 def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select((F.col("o_custkey") % 5).alias("account"), F.col("o_orderdate").cast("date").alias("date"), F.when(F.col("o_orderkey") % 2 == 0, from_double(F.col("o_totalprice"))).otherwise(-from_double(F.col("o_totalprice"))).alias("cents"))

@@ -60,8 +60,7 @@ EVENT_TX = f"tx AS (SELECT user_id % 5 AS account, CAST(ts AS DATE) AS date, CAS
 ORDER_TX = f"tx AS (SELECT o_custkey % 5 AS account, CAST(o_orderdate AS DATE) AS date, CASE WHEN o_orderkey % 2 = 0 THEN {_cents('o_totalprice')} ELSE -{_cents('o_totalprice')} END AS cents FROM orders)"
 
 
-def _daily(tx: str) -> str:
-    return f"""{tx}, {BAL}, net AS (SELECT account, date, sum(cents) AS net FROM tx GROUP BY ALL), grid AS (SELECT account, now, date FROM bal, (SELECT DISTINCT date FROM tx)),
+_BALANCES = """net AS (SELECT account, date, sum(cents) AS net FROM tx GROUP BY ALL), grid AS (SELECT account, now, date FROM bal, (SELECT DISTINCT date FROM tx)),
  opened AS (SELECT account, date, now - sum(coalesce(net, 0)) OVER (PARTITION BY account ORDER BY date DESC) AS balance FROM grid LEFT JOIN net USING (account, date)),
  days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM tx),
  acc AS (SELECT b.account, d.date, CAST(last_value(o.balance IGNORE NULLS) OVER (PARTITION BY b.account ORDER BY d.date) AS BIGINT) AS balance
@@ -69,6 +68,10 @@ def _daily(tx: str) -> str:
  total AS (SELECT date, CAST(sum(balance) AS BIGINT) AS total FROM acc GROUP BY 1)"""
 
 
+def _daily(tx: str) -> str:
+    return f"{tx}, {BAL}, {_BALANCES}"
+
+
 def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = cashflow.account_balances(bridge.order_ledger(spark, sf_dir), bridge.balances(spark, sf_dir))
     return cashflow.daily_totals(days)
@@ -90,11 +93,15 @@ def money_format(spark, sf_dir):
     return bridge.table(spark, sf_dir, "customer").select("c_custkey", money.plain(v).alias("plain"), money.with_symbol(v).alias("with_symbol"), money.signed_symbol(v).alias("signed_symbol"))
 
 
-@query(f"""SELECT c_custkey, {_cents('c_acctbal')} AS lenient, {_cents('c_acctbal')} AS strict, CAST(0 AS BIGINT) AS bad, false AS bad_valid FROM customer""")
+@query(f"""WITH c AS (SELECT c_custkey AS k, {_cents('c_acctbal')} AS v FROM customer), t AS (SELECT k, v, CASE WHEN v < 0 THEN '-' ELSE '' END || CAST(abs(v) // 100 AS VARCHAR) || '.' || lpad(CAST(abs(v) % 100 AS VARCHAR), 2, '0') AS x FROM c)
+SELECT k AS c_custkey, CASE k % 6 WHEN 0 THEN '$' || x WHEN 1 THEN 'x' || x WHEN 2 THEN x || '9' WHEN 3 THEN '' WHEN 4 THEN 'FREE' ELSE ' ' || x || ' ' END AS text,
+CASE WHEN k % 6 IN (0, 2, 5) THEN v ELSE 0 END AS lenient, CASE WHEN k % 6 IN (0, 2, 5) THEN v WHEN k % 6 = 3 THEN 0 END AS strict, k % 6 IN (0, 2, 5) AS valid FROM t""")
 def money_parse(spark, sf_dir):
-    text = money.plain(money.from_double(F.col("c_acctbal")))
-    bad = F.concat(F.lit("x"), text)
-    return bridge.table(spark, sf_dir, "customer").select("c_custkey", money.lenient_cents(text).alias("lenient"), money.strict_cents(text).alias("strict"), money.lenient_cents(bad).alias("bad"), money.is_valid_currency(bad).alias("bad_valid"))
+    v, k = money.from_double(F.col("c_acctbal")), F.col("c_custkey") % 6
+    x = F.regexp_replace(money.plain(v), ",", "")
+    text = F.when(k == 0, F.concat(F.lit("$"), x)).when(k == 1, F.concat(F.lit("x"), x)).when(k == 2, F.concat(x, F.lit("9"))).when(k == 3, "").when(k == 4, "FREE").otherwise(F.concat(F.lit(" "), x, F.lit(" ")))
+    t = bridge.table(spark, sf_dir, "customer").select("c_custkey", text.alias("text"))
+    return t.select("c_custkey", "text", money.lenient_cents(F.col("text")).alias("lenient"), money.strict_cents(F.col("text")).alias("strict"), money.is_valid_currency(F.col("text")).alias("valid"))
 
 
 @query(f"SELECT c_custkey, CAST(floor(({_cents('c_acctbal')} * 10 - 5) / 10.0) AS BIGINT) AS cents FROM customer")
@@ -119,10 +126,10 @@ def active_accounts_semi(spark, sf_dir):
     return bridge.table(spark, sf_dir, "orders").join(active, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT c_custkey AS base_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey AS base_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def unprocessed_anti(spark, sf_dir):
     pages = bridge.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("base_name"))
-    return accounts.unprocessed(pages, bridge.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("base_name")))
+    return accounts.unprocessed(pages, bridge.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("base_name")))
 
 
 _NAME = "CASE s_suppkey % 6 WHEN 0 THEN 'Ann''s Vault: 401k plan' WHEN 1 THEN 'Vault: 403b' WHEN 2 THEN 'Vault: Roth IRA' WHEN 3 THEN 'Bo''s Bank: IRA' WHEN 4 THEN 'TSP fund' ELSE 'Broker: index' END"
@@ -144,9 +151,10 @@ def category_explode(spark, sf_dir):
     return accounts.categories(joined).select("group_id", F.col("cid").alias("id"), "full_name")
 
 
-@query("SELECT event_type AS status, count(*) AS n, count(json_extract_string(props, '$.k')) AS with_k FROM events GROUP BY 1")
+@query("SELECT event_type AS status, count(*) AS n, count(DISTINCT json_extract_string(props, '$.k')) AS kinds, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(json_extract_string(props, '$.none')) AS none FROM events GROUP BY 1")
 def json_extract(spark, sf_dir):
-    return bridge.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count(F.get_json_object("props", "$.k")).alias("with_k"))
+    e = bridge.table(spark, sf_dir, "events").select("event_type", F.from_json("props", "struct<k:bigint,none:string>").alias("p"))
+    return e.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"), F.count_distinct("p.k").alias("kinds"), F.sum("p.k").alias("total"), F.count("p.none").alias("none"))
 
 
 @query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'unapproved' END AS status, count(*) AS n FROM orders GROUP BY 1")
@@ -287,32 +295,30 @@ def order_match_best(spark, sf_dir):
 
 
 def _split_items(spark, sf_dir):
-    it = bridge.order_items(spark, sf_dir)
-    totals = it.groupBy("order_id").agg((F.sum("cents") * -10).alias("tx_mu"))
-    return it.join(totals, "order_id").withColumnRenamed("order_id", "tx_id")
+    return bridge.priced_items(spark, sf_dir)
 
 
-SPLITS = f"""{ORDERS}, s AS (SELECT i.order_id AS tx_id, -o.total_cents * 10 AS tx_mu, i.idx, -i.cents * 10 AS amount_mu, CASE WHEN quantity > 1 THEN name || ' (qty: ' || CAST(quantity AS VARCHAR) || ')' ELSE name END AS memo
+SPLITS = f"""{ORDERS}, s AS (SELECT i.order_id AS tx_id, -o.total_cents * 10 - CASE WHEN i.order_id % 5 = 0 THEN 10 ELSE 0 END AS tx_mu, i.idx, -i.cents * 10 AS amount_mu, CASE WHEN quantity > 1 THEN name || ' (qty: ' || CAST(quantity AS VARCHAR) || ')' ELSE name END AS memo
  FROM items i JOIN orders_g o USING (order_id))"""
 
 
-@query(f"WITH {SPLITS} SELECT tx_id, tx_mu, CAST(idx AS INTEGER) AS idx, amount_mu, memo, true AS ok FROM s")
+@query(f"WITH {SPLITS} SELECT tx_id, tx_mu, CAST(idx AS INTEGER) AS idx, amount_mu, memo, sum(amount_mu) OVER (PARTITION BY tx_id) = -abs(tx_mu) AS ok FROM s")
 def order_splits(spark, sf_dir):
     return splits.order_splits(_split_items(spark, sf_dir))
 
 
 @query(f"""WITH {ORDERS}, b AS (SELECT i.order_id AS tx_id, i.idx, i.name AS memo, i.cents, o.total_cents AS base, o.total_cents * 8 // 100 AS tax, o.n_items FROM items i JOIN orders_g o USING (order_id)),
 h AS (SELECT *, CAST((CAST(cents AS HUGEINT) * tax) // base AS BIGINT) AS share FROM b)
-SELECT tx_id, -(base + tax) * 10 AS tx_mu, CAST(idx AS INTEGER) AS idx, memo, cents, CAST(CASE WHEN idx = n_items THEN tax - sum(share) OVER (PARTITION BY tx_id) + share ELSE share END AS BIGINT) AS tax_cents,
-CAST(-(cents + CASE WHEN idx = n_items THEN tax - sum(share) OVER (PARTITION BY tx_id) + share ELSE share END) * 10 AS BIGINT) AS amount_mu, true AS ok FROM h""")
+SELECT tx_id, -(base + tax) * 10 - CASE WHEN tx_id % 4 = 0 THEN 10 ELSE 0 END AS tx_mu, CAST(idx AS INTEGER) AS idx, memo, cents, CAST(CASE WHEN idx = n_items THEN tax - sum(share) OVER (PARTITION BY tx_id) + share ELSE share END AS BIGINT) AS tax_cents,
+CAST(-(cents + CASE WHEN idx = n_items THEN tax - sum(share) OVER (PARTITION BY tx_id) + share ELSE share END) * 10 AS BIGINT) AS amount_mu, tx_id % 4 <> 0 AS ok FROM h""")
 def receipt_tax_splits(spark, sf_dir):
     it = bridge.order_items(spark, sf_dir)
     sums = it.groupBy("order_id").agg(F.sum("cents").alias("subtotal_cents")).withColumn("tax_cents", F.floor(F.col("subtotal_cents") * 8 / 100))
-    joined = it.join(sums, "order_id").withColumn("tx_mu", -(F.col("subtotal_cents") + F.col("tax_cents")) * 10).withColumnRenamed("order_id", "tx_id")
+    joined = it.join(sums, "order_id").withColumn("tx_mu", -(F.col("subtotal_cents") + F.col("tax_cents")) * 10 - F.when(F.col("order_id") % 4 == 0, 10).otherwise(0)).withColumnRenamed("order_id", "tx_id")
     return splits.receipt_splits(joined)
 
 
-@query(f"WITH {SPLITS} SELECT tx_id, count(*) AS n_splits, CAST(sum(amount_mu) + abs(any_value(tx_mu)) AS BIGINT) AS gap, true AS valid FROM s GROUP BY 1")
+@query(f"WITH {SPLITS} SELECT tx_id, count(*) AS n_splits, CAST(sum(amount_mu) + abs(any_value(tx_mu)) AS BIGINT) AS gap, sum(amount_mu) + abs(any_value(tx_mu)) = 0 AS valid FROM s GROUP BY 1")
 def split_validate(spark, sf_dir):
     return splits.validate(splits.order_splits(_split_items(spark, sf_dir)))
 

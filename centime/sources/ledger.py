@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money
-from ..operators.accounts import categories, clean_name
+from ..operators.accounts import categories, clean_name, mail_file_name
 
 TRANSACTION = (
     "struct<id:string,date:string,amount:bigint,account_id:string,account_name:string,payee_id:string,payee_name:string,category_id:string,category_name:string,"
@@ -73,7 +73,10 @@ def read_order_items(spark: SparkSession, root: str, accounts: tuple[str, ...] =
 
 
 def read_receipts(spark: SparkSession, folder: str) -> DataFrame:
-    r = spark.read.schema(RECEIPT).json(folder, multiLine=True, pathGlobFilter="*.json")
+    return _receipts(spark.read.schema(RECEIPT).json(folder, multiLine=True, pathGlobFilter="*.json"))
+
+
+def _receipts(r: DataFrame) -> DataFrame:
     return r.withColumns({"receipt_date": dates.receipt_date(F.col("receipt_date")), "total_cents": F.col("total"), "item_count": F.size("items"), "currency": F.coalesce("currency", F.lit("USD"))})
 
 
@@ -111,6 +114,53 @@ def read_latest(spark: SparkSession, folder: str) -> DataFrame:
     return every.join(F.broadcast(every.agg(F.max("run_ts").alias("run_ts"))), "run_ts", "left_semi")
 
 
+def write_match_file(results: DataFrame, folder: str, run: str, accounts: tuple[str, ...] = ()) -> None:
+    """A run's matches as JSON lines, and beside them one line with its metadata and summary.
+
+    results: transaction fields (tx_id, date, tx_mu, payee, memo, account_name), matches (an array of structs), best_match (a
+    struct with a confidence) and message. Lines keep the nesting that later steps read back; nothing is gathered on the driver.
+    """
+    transaction = F.struct(F.col("tx_id").alias("id"), "date", F.col("tx_mu").alias("amount"), F.col("payee").alias("payee_name"), "memo", "account_name")
+    write_results(results.select(transaction.alias("transaction"), "matches", "best_match", "message"), f"{folder}/matches", run)
+    matched = F.col("best_match").isNotNull()
+    summary = results.agg(
+        F.count("*").alias("total_transactions"), F.count_if(matched).alias("matched_transactions"), F.coalesce(F.try_divide(F.count_if(matched), F.count("*")), F.lit(0.0)).alias("match_rate"),
+        F.coalesce(F.round(F.avg(F.when(matched, F.col("best_match.confidence"))), 3), F.lit(0.0)).alias("average_confidence"),
+    )
+    meta = F.struct(F.lit(run).alias("timestamp"), F.array(*map(F.lit, accounts)).cast("array<string>").alias("accounts"))
+    write_results(summary.select(meta.alias("metadata"), F.struct("*").alias("summary")), f"{folder}/summary", run)
+
+
+def write_receipts(receipts: DataFrame, folder: str) -> None:
+    """Receipts as JSON, a folder for each page's name; a page parsed again takes the place of what was there."""
+    receipts.withColumn("name", F.col("base_name")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("name").json(folder)
+
+
+def read_edits(spark: SparkSession, folder: str, latest_only: bool = False) -> DataFrame:
+    """Edits that ``write_results`` wrote, of all runs or of the latest."""
+    return read_latest(spark, folder) if latest_only else spark.read.json(folder)
+
+
+def newest_folder(names: DataFrame) -> DataFrame:
+    """The latest of the export folders in ``names`` (folder): names begin with their date, so the greatest is the newest."""
+    return names.where(F.col("folder").rlike(r"^\d{4}-\d{2}-\d{2}_")).agg(F.max("folder").alias("folder"))
+
+
+def read_newest_receipts(spark: SparkSession, root: str) -> DataFrame:
+    """Receipts of the newest export under ``root`` (``YYYY-MM-DD_.../*.json``)."""
+    r = spark.read.schema(RECEIPT).option("recursiveFileLookup", True).json(root, multiLine=True, pathGlobFilter="*.json")
+    r = r.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}-\d{2}-\d{2}_[^/]+)/[^/]+$", 1))
+    return _receipts(r.join(F.broadcast(newest_folder(r.select("folder").distinct())), "folder", "left_semi").drop("folder"))
+
+
+def write_mail(mail: DataFrame, folder: str) -> None:
+    """Messages (sent_on, subject, message_id, html, text) as text files, in a folder for each name that ``accounts.mail_file_name`` makes and each kind."""
+    name = mail_file_name(F.col("sent_on"), F.coalesce("subject", F.lit("")), F.coalesce("message_id", F.lit("")))
+    kinds = F.array(F.struct(F.lit("html").alias("kind"), F.col("html").alias("value")), F.struct(F.lit("text").alias("kind"), F.col("text").alias("value")))
+    rows = mail.select(name.alias("name"), F.inline(kinds)).where("value is not null")
+    rows.write.mode("append").partitionBy("name", "kind").text(folder)
+
+
 def file_summary(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """One row: how many files match, their bytes, the latest modification time and its age in days."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("length", "modificationTime")

@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-import __spark_entry__
+import __spark_entry__  # registers all queries
 from centime.plans.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

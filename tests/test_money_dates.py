@@ -48,3 +48,12 @@ def test_dates(spark):
     rows = [("2024-01-02T03:04",), ("Jan 2, 2024",), ("January 2, 2024",), ("bad",), (None,)]
     assert [str(d) for d in values(spark, rows, "s string", dates.receipt_date(F.col("s")))] == ["2024-01-02"] * 3 + ["None", "None"]
     assert [str(d) for d in values(spark, [("Not Available",), ("",), ("2024-05-06",)], "s string", dates.ship_date(F.col("s")))] == ["None", "None", "2024-05-06"]
+
+
+def test_exact_beyond_doubles_and_contexts(spark):
+    big = (1 << 60) + 7
+    assert values(spark, [(big,), (-big,), (-30,), (-25,)], "c long", money.floor_div(F.col("c"), 30)) == [big // 30, -big // 30, -1, -1]
+    assert values(spark, [(big,)], "c long", money.plain(F.col("c"))) == [f"{big // 100:,}.{big % 100:02}"]
+    assert values(spark, [(-45_990, "tax"), (45_990, ""), (5, None)], "c long, t string", money.with_context(F.col("c"), F.col("t"))) == ["-$45.99 (tax)", "$45.99", "$0.00"]
+    assert values(spark, [(19.99,), (0.005,)], "d double", money.dollars_to_milliunits(F.col("d"))) == [19990, 10]
+    assert values(spark, [(19.99,)], "d double", money.truncated_cents(F.col("d"))) == [1998]

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from centime.operators import cashflow, order_matching, orders, receipt_html, receipt_matching, splits
+from centime.operators import cashflow, edits, order_matching, orders, receipt_html, receipt_matching, splits
 from centime.operators.graph import components
 from centime.operators.subset_sum import can_reach, first_subset, subset_sums
 from centime.plans import queries
@@ -206,3 +206,35 @@ def test_order_matching_agrees_with_a_replay(spark, name):
     assert {r["tx_id"]: (r["order_id"], r["method"], r["score"]) for r in rows if r["matched"]} == {t: w[:3] for t, w in want.items()}
     assert {r["tx_id"] for r in rows} == {p[0] for p in pay} and {m for _, m, _, _ in want.values()} == {"split", "complete"}
     assert all((r["message"] is not None) == (r["tx_id"] % 7 == 0) for r in rows)
+
+
+def test_configured_cash_flow(spark):
+    """Deleted transactions, closed accounts and what is before the start don't count; accounts off budget do."""
+    accounts = spark.createDataFrame([("check", False, True, 10_000_000), ("card", False, False, 5_000_000), ("old", True, True, 7_000_000), ("other", False, True, 1)], "name string, closed boolean, on_budget boolean, balance_mu long")
+    rows = [("check", DAY, -500, False), ("check", DAY, -50000, True), ("card", DAY, -1000, False), ("old", DAY, -9, False), ("check", day(-9), -7, False), ("other", DAY, -1, None)]
+    tx = spark.createDataFrame(rows, "account string, date date, cents long, deleted boolean")
+    live, balances = cashflow.configured(tx, accounts, ["check", "card", "old"], str(DAY))
+    got = {(r["account"], r["date"]): r["balance"] for r in cashflow.account_balances(live, balances).collect()}
+    assert got == {("check", DAY): 1_000_500, ("card", DAY): 501_000}
+
+
+def test_p_value_and_line_beside_the_trend(spark):
+    totals = spark.createDataFrame([(day(i), v) for i, v in enumerate((5, 7, 6, 9, 12))], "date date, total long")
+    t = cashflow.with_p_value(cashflow.trend(totals)).first()
+    assert abs(t["p"] - cashflow.p_value(t["r"], 5)) < 1e-12 and 0 < t["p"] < 0.05
+    fitted = [r["fitted"] for r in cashflow.trend_line(totals).orderBy("date").collect()]
+    assert abs(sum(fitted) - 39) < 1e-9 and abs(fitted[1] - fitted[0] - t["slope"]) < 1e-9
+    health = cashflow.health(totals).first()
+    assert (health["up_pct"], health["down_pct"]) == (60.0, 20.0) and health["mean_monthly_range"] == 7
+
+
+def test_generic_splits_edits_and_streams(spark):
+    rows = [("t", i, n, c, "cat") for i, (n, c) in enumerate((("a", 6000), ("b", 2500), ("c", 1500)))]
+    out = splits.generic_splits(spark.createDataFrame(rows, "tx_id string, idx int, name string, cents long, category_id string")).orderBy("idx").collect()
+    assert [(r["amount_mu"], r["memo"], r["category_id"]) for r in out] == [(-60000, "a", "cat"), (-25000, "b", "cat"), (-15000, "c", "cat")]
+    items = spark.createDataFrame([(0, "o", 1, "x", 2, 100), (0, "o", 2, "y", 1, 250)], "account int, order_id string, idx int, name string, quantity int, cents long")
+    best = spark.createDataFrame([("p", -1000, 0, "o", [1]), ("q", -3500, 0, "o", None), ("r", -3000, 0, "o", None), ("s", -1, None, None, None)], "tx_id string, tx_mu long, account int, order_id string, item_idx array<int>")
+    rows = edits.order_edit_rows(best, items)
+    got = {r["transaction_id"]: [(x["amount"], x["memo"]) for x in r["splits"]] for r in edits.edit_batch(rows).collect()}
+    assert got == {"p": [(-1000, "x (qty: 2)")], "q": [(-1000, "x (qty: 2)"), (-2500, "y")]}
+    assert [(r["tx_id"], r["n_splits"]) for r in edits.rejected(rows).collect()] == [("r", 2)]
