@@ -14,7 +14,6 @@ Both work on distinct fingerprints or sets, one representative each, so copies n
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -216,7 +215,8 @@ def _keys(nodes: DataFrame) -> DataFrame:
 
 
 def _bits_apart(p: str, q: str) -> Column:
-    return reduce(lambda a, b: a + b, [_distance(F.col(f"{p}.fp")[i], F.col(f"{q}.fp")[i]) for i in range(LANES)])
+    """One small expression: a term for each lane, in every join and stage, would fill the driver with plans and generated code."""
+    return F.aggregate(F.zip_with(f"{p}.fp", f"{q}.fp", _distance), F.lit(0), lambda a, x: a + x)
 
 
 def _near(p: str, q: str, most: int = SHORT_RADIUS) -> Column:
