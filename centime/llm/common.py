@@ -14,11 +14,14 @@ __all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt to all cores if its files make fewer partitions than there are: small tables come as one row group."""
+    """``df``, dealt to all cores if its files make fewer partitions than there are: small tables come as one row group.
+
+    For operators whose work per row is in Python; those of DataFrame functions alone take the table as it is.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

@@ -6,20 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio, bpe, decontaminate, language, linededup, quality, secret_scan, simhash, token_counts, warc
-from .common import table
+from .common import spread, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    found = simhash.near_groups(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = audio.store_texts(table(spark, sf_dir, "documents"))
+    stored = audio.store_texts(spread(table(spark, sf_dir, "documents")))
     return audio.inspect(stored, "doc_id", "n_bytes").select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         F.concat_ws(
@@ -36,7 +36,7 @@ def op3_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.classify(table(spark, sf_dir, "documents"))
+    return language.classify(spread(table(spark, sf_dir, "documents")))
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,11 +49,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"))
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = linededup.dedup_lines(table(spark, sf_dir, "documents"))
+    found = linededup.dedup_lines(spread(table(spark, sf_dir, "documents")))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -62,7 +62,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_sections(table(spark, sf_dir, "documents"))
+    return token_counts.count_sections(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_mpeg_audio, op4_language, op5_decontaminate, op6_warc, op7_bpe, op8_line_dedup, op9_secrets, op10_token_counts)}
