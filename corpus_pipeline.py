@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from centime.llm import bpe, decontaminate, language, linededup, simhash
-from centime.llm.common import checkpoint_dir, remove_folder, table
+from centime.llm.common import checkpoint_dir, remove_folder, spread, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's files are taken away once the next one has written its own; the last stage's stay for the caller to read.
     """
-    docs, folder = table(spark, sf_dir, "documents"), f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, folder = spread(table(spark, sf_dir, "documents")), f"{checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
