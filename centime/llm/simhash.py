@@ -134,7 +134,8 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 LANES, BLOCK_BITS = 24, 24
 #: Differing bits up to which a pair's sets are looked up, three deviations over what a similarity of 0.8 gives; more for texts of
 #: under SHORT shingles. Pairs within FIRST_RADIUS (most of those similar by 0.81) are linked first.
-WIDE_RADIUS, SHORT_RADIUS, SHORT, FIRST_RADIUS = 274, 310, 64, 225
+#: That pass only saves comparisons; without a bucket of LARGE members there are none to save.
+WIDE_RADIUS, SHORT_RADIUS, SHORT, FIRST_RADIUS, LARGE = 274, 310, 64, 225, 256
 #: Sets of up to so many shingles are also found by what is left without any two or fewer of their shingles: two that have at
 #: most so many in all and a similarity of 0.8 differ in two at most.
 SMALL = 14
@@ -247,7 +248,7 @@ def _similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int)
 
         return row
 
-    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    met = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b")
     return map_rows(met.select("a", "b", "x", "y"), make, "a long, b long")
 
 
@@ -263,17 +264,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     of other groups, within the join and on the fingerprints that they bring along: only what is near comes out. Every link is
     verified on the whole shingle sets, so no two texts are linked that are not similar: first the nearest pair of each two
     groups, then what is still between two groups. As most groups grow together by their nearest pairs, a pass with a small
-    radius goes before that of the full one, which then finds few members in different groups.
+    radius goes before that of the full one, which then finds few members in different groups. Joins are merges, so that no
+    side passes through the driver; only the rows whose texts are read again are broadcast, if they are few.
     """
     rows = checkpointed(_fingerprinted(docs, shingle))
     nodes = checkpointed(rows.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "small")]))
     keys = _keys(nodes)
-    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1").select("key", "pivot"))
-    members, prints = checkpointed(keys.join(shared, "key")), nodes.select("node", "n", "fp")
+    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1"))
+    members, prints = checkpointed(keys.join(shared.select("key", "pivot").hint("merge"), "key")), nodes.select("node", "n", "fp")
 
     def near(pairs: DataFrame) -> DataFrame:
         p, q = prints.withColumnRenamed("node", "a").alias("p"), prints.withColumnRenamed("node", "b").alias("q")
-        return pairs.join(p, "a").join(q, "b").where(_like_size("p", "q") & _near("p", "q"))
+        return pairs.hint("merge").join(p, "a").hint("merge").join(q, "b").where(_like_size("p", "q") & _near("p", "q"))
 
     def linked(pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
         pairs = checkpointed(pairs.select("a", "b"))
@@ -284,17 +286,18 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def between_groups(links: DataFrame, radius: int) -> DataFrame:
         of = _unsettled(members.select("key", "node").join(links, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group")))
-        of = checkpointed(of.join(prints, "node"))
+        of = checkpointed(of.join(prints.hint("merge"), "node"))
         apart = F.expr("p.group <> q.group and (not q.minor or p.node < q.node)") & _like_size("p", "q") & _near("p", "q", radius)
         ends = (F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"), F.least("p.group", "q.group").alias("x"), F.greatest("p.group", "q.group").alias("y"))
-        met = of.where("minor").alias("p").join(of.alias("q"), "key").where(apart).select(*ends, _bits_apart("p", "q").alias("bits"))
+        met = of.where("minor").alias("p").hint("merge").join(of.alias("q"), "key").where(apart).select(*ends, _bits_apart("p", "q").alias("bits"))
         return checkpointed(met.distinct())
 
     def nearest(open_: DataFrame) -> DataFrame:
         return open_.groupBy("x", "y").agg(F.min_by(F.struct("a", "b"), F.struct("bits", "a", "b")).alias("p")).select("p.*")
 
     links = linked(near(_most_shared(members.where("node <> pivot"))))
-    links = linked(nearest(between_groups(links, FIRST_RADIUS)), links)
+    if not shared.where(F.col("m") >= LARGE).isEmpty():
+        links = linked(nearest(between_groups(links, FIRST_RADIUS)), links)
     open_ = between_groups(links, SHORT_RADIUS)
     if not open_.isEmpty():
         links = linked(nearest(open_), links)
@@ -314,7 +317,7 @@ def _unsettled(held: DataFrame) -> DataFrame:
     """The rows (key, node, group, minor) of buckets whose members are in several groups; those of the largest group are not minor."""
     sizes = held.groupBy("key", "group").agg(F.count("*").alias("m")).groupBy("key")
     mixed = sizes.agg(F.max_by("group", F.struct("m", "group")).alias("major"), F.count("*").alias("groups")).where("groups > 1")
-    return held.join(mixed.select("key", "major"), "key").select("key", "node", "group", (F.col("group") != F.col("major")).alias("minor"))
+    return held.join(mixed.select("key", "major").hint("merge"), "key").select("key", "node", "group", (F.col("group") != F.col("major")).alias("minor"))
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
