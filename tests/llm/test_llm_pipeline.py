@@ -57,8 +57,8 @@ def test_near_dedup_gives_the_groups_of_brute_force_on_shingles(spark, monkeypat
     texts += ["", None, "one", "one"]
     group = brute_groups(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for radius in (225, 0):
-        monkeypatch.setattr(simhash, "FIRST_RADIUS", radius)
+    for rounds in (8, 0):
+        monkeypatch.setattr(simhash, "PIVOT_ROUNDS", rounds)
         kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
         assert kept == set(group)
 
