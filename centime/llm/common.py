@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint_dir, checkpointed, remove_folder
 
-__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name", "hashed_sample", "map_rows", "remove_folder", "spread", "table", "texts_of"]
+__all__ = ["as_bytes", "checkpoint_dir", "checkpointed", "crc_mod", "free_name", "hashed_sample", "map_rows", "quoted", "remove_folder", "spread", "table", "texts_of"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]],
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    """A column name as an expression that means that column, whatever its characters."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever the case."""
     taken = {c.lower() for c in df.columns}

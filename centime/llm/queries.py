@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, decontaminate, language, linededup, quality, secret_scan, simhash, token_counts, warc
-from .common import spread, table
+from . import audio, bpe, decontaminate, language, linededup, merkle, oracle, quality, rules, secret_scan, simhash, spelling, token_counts, warc
+from .common import crc_mod, spread, table
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +65,39 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(spread(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_mpeg_audio, op4_language, op5_decontaminate, op6_warc, op7_bpe, op8_line_dedup, op9_secrets, op10_token_counts)}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", spelling.UPPER, spelling.LOWER)
+    other = merkle.leaf([lowered if c == "text" else F.col(c) for c in merkle.COLUMNS])
+    tampered = F.when(crc_mod(F.col("doc_id"), 3) == 0, other)
+    made = merkle.manifest(table(spark, sf_dir, "documents"), carry={"tampered": tampered})
+    found = merkle.verified(made.withColumn("claimed", F.coalesce("tampered", "leaf")), "claimed")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", "verified", "rank")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary"))
+    at = (h % F.char_length("run")).cast("int")
+    slipped = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    return spelling.variants(spelling.vocabulary(runs.select(F.when(h % 31 == 0, slipped).otherwise(F.col("run")).alias("word"))))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_quality, op3_mpeg_audio, op4_language, op5_decontaminate, op6_warc, op7_bpe, op8_line_dedup, op9_secrets, op10_token_counts, op11_merkle, op12_spelling, op13_quality_rules,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-ORACLE = {
+ORACLE = oracle.ORACLE | {
     "op5_decontaminate": rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
