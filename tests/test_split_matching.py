@@ -1,0 +1,134 @@
+import random
+from datetime import date, timedelta
+from itertools import combinations
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from centime.operators import order_matching, orders
+from centime.operators.subset_sum import AmountFilter, first_subset, half_sums, reached, subset_sums
+
+DAY = date(2024, 5, 1)
+ITEM = "account int, order_id long, idx int, cents long, order_date date, ship_date date"
+
+
+def all_sums(cents):
+    return {sum(c) for k in range(1, len(cents) + 1) for c in combinations(cents, k)}
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(-50, 400), min_size=1, max_size=11), st.sets(st.integers(-100, 900)))
+def test_sums_of_halves_are_the_subset_sums(cents, wanted):
+    admits = lambda x: np.isin(x, list(wanted))
+    assert set(subset_sums(cents).tolist()) == all_sums(cents)
+    assert set(subset_sums(cents, admits).tolist()) == all_sums(cents) & wanted
+    assert sum(map(len, half_sums(cents))) <= 2 * 1023
+
+
+def test_twenty_items_need_two_tables_of_a_thousand():
+    cents = [1_000_003 * 3**k % 7_654_321 for k in range(20)]
+    assert [len(x) for x in half_sums(cents)] == [1023, 1023]
+    total, part = sum(cents), sum(cents[3:9])
+    assert subset_sums(cents, lambda x: (x == total) | (x == part) | (x == 5)).tolist() == sorted([part, total])
+
+
+def test_the_filter_passes_what_it_was_made_of_and_little_else(spark):
+    rnd = random.Random(4)
+    amounts = rnd.sample(range(10**9), 3000)
+    power, bits = order_matching._amount_filter(spark.createDataFrame([(a,) for a in amounts], "amount long")).value
+    admits = AmountFilter(power, bits)
+    assert admits(np.array(amounts)).all()
+    others = np.array(sorted(set(rnd.sample(range(10**9), 50_000)) - set(amounts)))
+    assert admits(others).mean() < 0.02
+    assert not AmountFilter(16, np.zeros(1 << 13, dtype=np.uint8))(np.array([0, 1, -1, 1 << 40])).any()
+
+
+def test_reached_amounts_of_many_items():
+    rnd = random.Random(6)
+    cents = [rnd.randrange(1, 60) for _ in range(15)]
+    amounts = np.array(range(-3, 900))
+    assert amounts[reached(cents, amounts)].tolist() == sorted(all_sums(cents))
+    assert reached([], amounts).sum() == 0 and reached([3, 0], amounts).all()
+
+
+def order_table(spark, by_order):
+    rows = [(k % 2, k, i, c, DAY, DAY) for k, cents in by_order.items() for i, c in enumerate(cents)]
+    return orders.group_orders(spark.createDataFrame(rows, ITEM))
+
+
+def test_orders_of_any_size_meet_amounts_without_a_nested_loop(spark):
+    rnd, by_order = random.Random(2), {}
+    for k in range(60):
+        n = rnd.choice([1, 2, 5, 12, 20, 21, 26, 40])
+        by_order[k] = [rnd.choice([rnd.randrange(1, 300), rnd.randrange(1, 900_000)]) for _ in range(n)]
+    reach = {}
+    for k, cents in by_order.items():
+        bits = 1
+        for c in cents:
+            bits |= bits << c
+        reach[k] = bits
+    amounts = sorted({rnd.choice([rnd.randrange(1, 20_000), rnd.randrange(1, 4_000_000), sum(rnd.sample(c, min(len(c), 3)))]) for c in by_order.values() for _ in range(40)})
+    table = order_matching._orders_in_account_order(order_table(spark, by_order)).select("account", "order_id", "item_cents")
+    found = order_matching.order_sums(spark.createDataFrame([(a,) for a in amounts] + [(None,)], "amount long"), table)
+    assert {(r["order_id"], r["amount"]) for r in found.collect()} == {(k, a) for k, bits in reach.items() for a in amounts if bits >> a & 1}
+    assert found.count() == len({(r["order_id"], r["amount"]) for r in found.collect()})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def plain_replay(by_order, payments):
+    """payments (tx, amount) in order against orders of one ship date: the split of the first account and order that is paid."""
+    left, out = {k: list(enumerate(c)) for k, c in by_order.items()}, {}
+    by_sum = {}
+    for k, c in by_order.items():
+        for s in all_sums(c):
+            by_sum.setdefault(s, []).append(k)
+    for tx, amount in payments:
+        for k in sorted(by_sum.get(amount, ()), key=lambda k: (k % 2, k)):
+            if found := first_subset(left[k], amount):
+                out[tx] = (k, sorted(found))
+                left[k] = [x for x in left[k] if x[0] not in found]
+                break
+    return out
+
+
+def matched(spark, by_order, payments, piece_rows, **how):
+    pay = spark.createDataFrame([(t, s, DAY + timedelta(days=40), -a) for s, (t, a) in enumerate(payments)], "tx_id long, seq int, date date, cents long")
+    return {r["tx_id"]: (r["order_id"], sorted(r["items"])) for r in order_matching.match_splits(pay, order_table(spark, by_order), piece_rows=piece_rows, **how).collect()}
+
+
+@pytest.mark.parametrize("piece_rows", [60, 1000])
+def test_waves_equal_a_plain_replay(spark, piece_rows):
+    rnd = random.Random(piece_rows)
+    by_order = {k: [rnd.randrange(1, 40) for _ in range(rnd.randrange(1, 5))] for k in range(40)}
+    payments = [((1 << 60) + i, rnd.choice([rnd.randrange(1, 80), sum(rnd.sample(c := by_order[rnd.randrange(40)], rnd.randint(1, len(c))))])) for i in range(70)]
+    want = plain_replay(by_order, payments)
+    assert matched(spark, by_order, payments, piece_rows) == want and len(want) > 20
+
+
+def chain(n):
+    """Payment i may use the last item of order i or the first of order i + 1: whether it finds the former decides what is left for the next."""
+    by_order = {i: [10 + 3 * i, 10 + 3 * (i + 1)] for i in range(n + 1)}
+    return by_order, [(i, 10 + 3 * (i + 1)) for i in range(n)]
+
+
+def test_a_long_chain_is_replayed_over_tasks(spark):
+    by_order, payments = chain(3000)
+    payments = [p for k, p in enumerate(payments) if k % 97]
+    assert matched(spark, by_order, payments, 700) == plain_replay(by_order, payments)
+
+
+def test_a_window_joins_on_days_and_keeps_the_same_pairs(spark):
+    rnd = random.Random(8)
+    rows = [(k % 2, k, i, rnd.randrange(1, 12), DAY, DAY + timedelta(days=rnd.randrange(40)) if rnd.random() < 0.9 else None) for k in range(50) for i in range(3)]
+    table = orders.group_orders(spark.createDataFrame(rows, ITEM))
+    pay = spark.createDataFrame([(i, i, DAY + timedelta(days=rnd.randrange(45)), -rnd.randrange(1, 30)) for i in range(80)], "tx_id long, seq long, date date, cents long")
+    ships = {r["order_id"]: r["ship_dates"] for r in table.collect()}
+    when = {r["tx_id"]: r["date"] for r in pay.collect()}
+    near = lambda t, o, d: min((abs((when[t] - s).days) for s in ships[o]), default=3) <= d
+    every = {(r["tx_id"], r["order_id"]) for r in order_matching.split_candidates(pay, table).collect()}
+    for days in (0, 3, 10):
+        got = {(r["tx_id"], r["order_id"]) for r in order_matching.split_candidates(pay, table, days).collect()}
+        assert got == {p for p in every if near(*p, days)} and len(got) < len(every)
