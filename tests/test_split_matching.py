@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from centime.operators import order_matching, orders
-from centime.operators.subset_sum import AmountFilter, first_subset, half_sums, reached, subset_sums
+from centime.operators.subset_sum import AmountFilter, first_subset, half_sums, reached, subset_sums, sums_of_orders
 
 DAY = date(2024, 5, 1)
 ITEM = "account int, order_id long, idx int, cents long, order_date date, ship_date date"
@@ -27,6 +27,32 @@ def test_sums_of_halves_are_the_subset_sums(cents, wanted):
     assert sum(map(len, half_sums(cents))) <= 2 * 1023
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(-50, 400), min_size=0, max_size=12), max_size=6), st.sets(st.integers(-100, 900)))
+def test_orders_added_up_together_have_the_same_sums(by_order, wanted):
+    for admits, kept in ((None, lambda x: x), (lambda x: np.isin(x, list(wanted)), lambda x: x & wanted)):
+        at, found = sums_of_orders([np.array(c, dtype=np.int64) for c in by_order], admits)
+        assert list(zip(at.tolist(), found.tolist())) == [(k, x) for k, c in enumerate(by_order) for x in sorted(kept(all_sums(c)))]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=10), st.integers(1, 300))
+def test_the_subset_found_is_the_first_in_order(cents, target):
+    """Largest first, each item taken before it is left out; single items and the whole by the same order."""
+    ranked = sorted(range(len(cents)), key=lambda i: -cents[i])
+    want = next(([i] for i in ranked if cents[i] == target), None)
+    if want is None:
+        subsets = [[i for k, i in enumerate(ranked) if m >> len(ranked) - 1 - k & 1] for m in range(1 << len(ranked), 0, -1)]
+        want = next((x for x in subsets if sum(cents[i] for i in x) == target), None)
+    assert first_subset(list(enumerate(cents)), target) == want
+
+
+def test_twenty_items_are_searched_by_halves():
+    cents = [1_000_003 * 3**k % 7_654_321 + 1 for k in range(20)]
+    assert sum(cents[i] for i in first_subset(list(enumerate(cents)), sum(cents[4:17:2]))) == sum(cents[4:17:2])
+    assert first_subset(list(enumerate(cents)), sum(cents) - 1) is None
+
+
 def test_twenty_items_need_two_tables_of_a_thousand():
     cents = [1_000_003 * 3**k % 7_654_321 for k in range(20)]
     assert [len(x) for x in half_sums(cents)] == [1023, 1023]
