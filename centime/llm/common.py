@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..checkpoints import checkpoint_dir, checkpointed, remove_folder
 
@@ -26,7 +27,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]], schema: str | StructType) -> DataFrame:
     """Map each row to a row of ``schema`` in Arrow batches; ``make`` runs once a task.
 
     Strings reach the function as UTF-8 bytes, other values as Python values.
@@ -34,7 +35,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]],
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    fields = to_arrow_schema(_parse_datatype_string(schema))
+    fields = to_arrow_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()

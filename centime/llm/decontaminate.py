@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name
+from .common import checkpointed, free_name, quoted
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same separators in a text whose case is kept.
@@ -162,4 +162,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     gap = lambda i: F.coalesce(F.get(gaps, i), F.lit(""))
     body = F.array_join(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.concat(word(i), gap(i - 1 + F.col(lead).cast("int")))), "")
     cut = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.when(F.col(lead), gap(F.lit(0))).otherwise(F.lit("")), body))
-    return parts.withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return parts.withColumn("text", cut).select(*[F.col(quoted(c)) for c in docs.columns])

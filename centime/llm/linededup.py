@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, free_name, map_rows
+from .common import checkpointed, free_name, map_rows, quoted
 from .cuckoo import CuckooFilter, Full
 
 _BLANK = b" \t\n\x0b\x0c\r"
@@ -96,20 +96,25 @@ class LineIndex:
     adding and removing the same rows leads back to the same counts, and to filters that tell the same keys.
     """
 
-    def __init__(self, counts: DataFrame, filters: DataFrame, threshold: int, shards: int):
-        self.counts, self.filters, self.threshold, self.shards = counts, filters, threshold, shards
+    def __init__(self, counts: DataFrame, filters: DataFrame, threshold: int, shards: int, shard_keys: int = SHARD_KEYS):
+        self.counts, self.filters, self.threshold, self.shards, self.shard_keys = counts, filters, threshold, shards, shard_keys
 
     @classmethod
     def of(cls, docs: DataFrame, threshold: int = 10, shard_keys: int = SHARD_KEYS) -> LineIndex:
         counts = checkpointed(reference_counts(docs))
         frequent = counts.where(F.col("refs") >= threshold).select("key")
         shards = frequent.count() // shard_keys + 1
-        return cls(counts, checkpointed(shard_filters(frequent, shards)), threshold, shards)
+        return cls(counts, checkpointed(shard_filters(frequent, shards)), threshold, shards, shard_keys)
 
     def _changed(self, counts: DataFrame) -> LineIndex:
         now, frequent = checkpointed(counts), F.col("refs") >= self.threshold
-        filters = updated_filters(self.filters, self.counts.where(frequent), now.where(frequent), self.shards)
-        return LineIndex(now, checkpointed(filters), self.threshold, self.shards)
+        n, shards = now.where(frequent).count(), self.shards
+        if n > 2 * shards * self.shard_keys:  # else a shard would grow with the corpus
+            shards = n // self.shard_keys + 1
+            filters = shard_filters(now.where(frequent).select("key"), shards)
+        else:
+            filters = updated_filters(self.filters, self.counts.where(frequent), now.where(frequent), shards)
+        return LineIndex(now, checkpointed(filters), self.threshold, shards, self.shard_keys)
 
     def added(self, docs: DataFrame) -> LineIndex:
         return self._changed(updated_counts(self.counts, added=docs))
@@ -117,10 +122,11 @@ class LineIndex:
     def removed(self, docs: DataFrame) -> LineIndex:
         return self._changed(updated_counts(self.counts, removed=docs))
 
-    def exceptions(self, most_bytes: int = FILTER_BYTES) -> DataFrame:
-        """(shard, key): the keys of fewer documents that the filters pass, from the exact table's keys."""
-        shards, found = self.shards, None
-        rare = self.counts.where(F.col("refs") < self.threshold).select(_shard(shards).alias("shard"), "key")
+    def exceptions(self, most_bytes: int = FILTER_BYTES, docs: DataFrame | None = None) -> DataFrame:
+        """(shard, key): the keys that the filters pass by mistake, of the index's documents or of ``docs``, as the exact table tells."""
+        shards, found, frequent = self.shards, None, F.col("refs") >= self.threshold
+        rare = self.counts.where(~frequent) if docs is None else reference_counts(docs).join(self.counts.where(frequent).select("key"), "key", "left_anti")
+        rare = rare.select(_shard(shards).alias("shard"), "key")
         for wave in _waves({r[0]: r[1] for r in self.filters.select("shard", F.octet_length("cells")).collect()}, most_bytes):
             shared = self._broadcast(wave)
 
@@ -136,9 +142,9 @@ class LineIndex:
         cells = {r["shard"]: bytes(r["cells"]) for r in self.filters.where(F.col("shard").isin(wave)).collect()}
         return self.counts.sparkSession.sparkContext.broadcast((cells, *more) if more else cells)
 
-    def screens(self, most_bytes: int = FILTER_BYTES) -> list:
+    def screens(self, most_bytes: int = FILTER_BYTES, docs: DataFrame | None = None) -> list:
         """Broadcast filters and exceptions of some shards each, which take up to ``most_bytes`` (one shard at least)."""
-        exceptions = checkpointed(self.exceptions(most_bytes))
+        exceptions = checkpointed(self.exceptions(most_bytes, docs))
         n = {r[0]: r[1] for r in exceptions.groupBy("shard").count().collect()}
         sizes = {r[0]: r[1] + EXCEPTION_BYTES * n.get(r[0], 0) for r in self.filters.select("shard", F.octet_length("cells")).collect()}
         keys = lambda wave: frozenset(bytes(r["key"]) for r in exceptions.where(F.col("shard").isin(wave)).collect())
@@ -168,18 +174,19 @@ def _passing(cells: dict[int, bytes], shards: int):
     return passes
 
 
-def drop_lines(docs: DataFrame, index: LineIndex, *keep: str, most_bytes: int = FILTER_BYTES) -> DataFrame:
+def drop_lines(docs: DataFrame, index: LineIndex, *keep: str, most_bytes: int = FILTER_BYTES, held: bool = False) -> DataFrame:
     """``keep`` columns of ``docs`` with n_lines, n_dropped and kept (the other lines, joined): one row for each row.
 
     Null and empty texts are one empty line; blank lines stay. Repeated rows stay. Very long texts are one row of a batch. A
     line goes if its shard's filter passes its key and the key is no exception. Shards that don't fit at once take turns.
+    Documents that the index does not hold have keys that its table says nothing of, so their own keys are looked up in it;
+    ``held`` says that it holds all of ``docs``, which saves that.
     """
-    shards, at = index.shards, [free_name(docs.select(*keep), c) for c in ("n_lines", "n_dropped", "kept")]
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
-    schema = kinds + f"{at[0]} long, {at[1]} long, {at[2]} string"
+    shards, at = index.shards, [free_name(docs.select(*map(quoted, keep)), c) for c in ("n_lines", "n_dropped", "kept")]
     zero = F.lit(0).cast("long")
-    out = docs.select(*keep, zero.alias(at[0]), zero.alias(at[1]), F.col("text").alias(at[2]))
-    for i, shared in enumerate(index.screens(most_bytes)):
+    out = docs.select(*map(quoted, keep), zero.alias(at[0]), zero.alias(at[1]), F.col("text").cast("string").alias(at[2]))
+    schema = out.schema
+    for i, shared in enumerate(index.screens(most_bytes, None if held else docs)):
 
         def make(shared=shared):
             cells, exceptions = shared.value
@@ -199,17 +206,20 @@ def drop_lines(docs: DataFrame, index: LineIndex, *keep: str, most_bytes: int =
 
 def dedup_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept) for every row, dropping lines whose key is in at least ``threshold`` rows."""
-    return drop_lines(docs, LineIndex.of(docs, threshold), "doc_id")
+    return drop_lines(docs, LineIndex.of(docs, threshold), "doc_id", held=True)
 
 
 def without_frequent_lines(docs: DataFrame, threshold: int = 10) -> DataFrame:
-    """``docs`` with the frequent lines cut from ``text``; all columns and rows stay, n_chars (if there) follows, null texts stay null."""
+    """``docs`` with the frequent lines cut from ``text``; all columns and rows stay, n_chars (if there) follows, null texts stay null.
+
+    The other columns travel under numbers, so their names may hold any characters.
+    """
     index, row, empty = LineIndex.of(docs, threshold), "row", "text_is_null"
-    others = [c for c in docs.columns if c != "text"]
-    packed = F.struct(F.col("text").isNull().alias(empty), F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("of")).alias(row)
-    out = drop_lines(docs.select(packed, "text"), index, row)
+    others = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "text"}
+    packed = F.struct(F.col("text").isNull().alias(empty), *[F.col(quoted(c)).alias(n) for c, n in others.items()]).alias(row)
+    out = drop_lines(docs.select(packed, "text"), index, row, held=True)
     full = ~F.col(row)[empty]
-    columns = {c: F.col(row)["of"][c] for c in others} | {"text": F.when(full, F.col("kept"))}
+    columns = {c: F.col(row)[n] for c, n in others.items()} | {"text": F.when(full, F.col("kept"))}
     if "n_chars" in others:
         length = F.length("kept").cast(docs.schema["n_chars"].dataType)
         columns["n_chars"] = F.when((F.col("n_dropped") > 0) & full, length).otherwise(columns["n_chars"])

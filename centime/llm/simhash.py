@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import checkpointed, free_name, map_rows
+from .common import checkpointed, free_name, map_rows, quoted
 
 SEED = 42
 #: Shingles that are hashed at once, which bounds the memory that a very long text takes.
@@ -133,13 +133,16 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 #: alike two texts are. Unlike texts share one with a chance of 0.00001; a corpus of 2**k times the rows keeps as few such pairs
 #: a text with k more bits a block, and its recall with 1.18 times the blocks a bit.
 LANES, BLOCK_BITS, WIDE_RADIUS = 24, 24, 330
-#: Sets of up to so many shingles are also found by what is left without any two or fewer of their shingles: two that have at
-#: most so many in all and a similarity of 0.8 differ in two at most.
-SMALL = 14
+#: Sets of up to so many shingles are also found by what is left without any two or fewer of their shingles, whatever the blocks say:
+#: two of which neither has more than two shingles that the other lacks share such a rest.
+SMALL = 24
 #: Least Jaccard similarity of near copies' shingle sets, as a fraction of whole numbers, so that no comparison rounds.
 SIMILAR = (4, 5)
-#: Pivot rounds go on while more pairs than so many a row are left and a round settles a fifth of them, up to so many rounds.
-PAIRS_A_ROW, PIVOT_ROUNDS = 2, 8
+#: Rounds go on while more pairs than so many a row are open. The first PIVOT_ROUNDS take one pivot a bucket, later ones twice as
+#: many as the round before, up to MOST_PIVOTS.
+PAIRS_A_ROW, PIVOT_ROUNDS, MOST_PIVOTS = 2, 4, 32
+#: Orders of the bits, each of which gives as many blocks.
+ORDERS = 3
 
 
 def _orders() -> np.ndarray:
@@ -178,7 +181,7 @@ def small_keys(h: np.ndarray) -> list[int]:
 
 
 def _row_digest(docs: DataFrame) -> Column:
-    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+    return F.md5(F.to_json(F.struct(*[F.col(quoted(c)) for c in docs.columns])))
 
 
 def _fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
@@ -252,10 +255,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     Rows are told apart by a digest of all columns, so repeated rows share one; ids may repeat or be null. Equal shingle sets
     are one node (a 64-bit digest); null texts, empty ones and others without words are one too, and link to nothing else.
 
-    Nodes that share a block of their fingerprints form a bucket. Members are compared with the bucket's pivot first; the
-    pivot then has met all and leaves, and so do buckets whose members are in one group. So a large group of near copies
-    costs rows in proportion to its members. When few pairs are left, or a round settles few, members of a bucket that are in
-    different groups are compared within the join, on the fingerprints that they bring along: only what is near comes out.
+    Nodes that share a block of their fingerprints form a bucket. A round compares a bucket's members with its pivots, which have
+    then met all and leave; buckets whose members are in one group leave too. The first rounds take the blocks of one order of
+    the bits after the other, so that a large group of near copies is linked by a third of its blocks. Pivots are those of
+    least hash, another hash each round, so buckets of the same members mostly share them. Rounds go on until so
+    few pairs are open that they are in proportion to the rows; those are compared within a join. So a large group costs rows in
+    proportion to its members, and no bucket is compared all against all unless its members are few or all in groups of their own.
     Every link is verified on the whole shingle sets, so no two texts are linked that are not similar.
     """
     rows = checkpointed(_fingerprinted(docs, shingle))
@@ -268,19 +273,23 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
         edges = _similar(docs, nodes, checkpointed(near), shingle)
         return checkpointed(components(edges if links is None else edges.union(links.toDF("a", "b"))))
 
-    links, before = None, 0
-    for left in range(PIVOT_ROUNDS, -1, -1):
-        open_, n_rows, n_pairs = _unsettled(held)
-        if n_pairs <= PAIRS_A_ROW * n_rows and before or before and n_pairs > 0.8 * before or not left or not n_pairs:
+    links, at = None, 0
+    while True:
+        later = _order() > at
+        open_, n_rows, n_pairs = _unsettled(held if at >= ORDERS - 1 else held.where(~later))
+        if at >= ORDERS - 1 and n_pairs <= PAIRS_A_ROW * n_rows:
             break
-        before = n_pairs
-        pivots = checkpointed(open_.groupBy("key").agg(F.min(F.struct("node", "group")).alias("p")).select("key", "p.*"))
-        met = open_.alias("q").join(pivots.alias("p"), "key").where("p.group <> q.group")
-        pairs = checkpointed(met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
-        p, q = prints.withColumnRenamed("node", "a").alias("p"), prints.withColumnRenamed("node", "b").alias("q")
-        links = linked(pairs.join(p, "a").join(q, "b").where(_like_size("p", "q") & _near("p", "q")).select("a", "b"), links)
-        stay = open_.join(pivots.select("key", F.col("node").alias("done")), "key").where("node <> done").select("key", "node")
-        held = stay.join(links, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))
+        if n_pairs:
+            choices = [F.min(F.struct(F.xxhash64("node", F.lit(at), F.lit(k)).alias("h"), "node", "group")) for k in range(min(2 ** max(0, at + 1 - PIVOT_ROUNDS), MOST_PIVOTS))]
+            pivots = checkpointed(open_.groupBy("key").agg(F.array(*choices).alias("p")).select("key", F.inline("p")).select("key", "node", "group").distinct())
+            met = open_.alias("q").join(pivots.alias("p"), "key").where("p.group <> q.group")
+            pairs = checkpointed(met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct())
+            p, q = prints.withColumnRenamed("node", "a").alias("p"), prints.withColumnRenamed("node", "b").alias("q")
+            links = linked(pairs.join(p, "a").join(q, "b").where(_like_size("p", "q") & _near("p", "q")).select("a", "b"), links)
+            stay = open_.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node")
+            stay = stay if at >= ORDERS - 1 else stay.unionByName(held.where(later).select("key", "node"))
+            held = stay.join(links, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))
+        at += 1
     if n_pairs:
         of = checkpointed(open_.join(prints, "node"))
         met = of.alias("p").join(of.alias("q"), "key").where(F.expr("p.node < q.node and p.group <> q.group") & _like_size("p", "q") & _near("p", "q"))
@@ -290,6 +299,12 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.select("row", "doc_id", "node").join(links, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("group"))
 
 
+def _order() -> Column:
+    """The order of the bits that a key's block is of, as block_keys numbers them; keys of small sets go with the first."""
+    blocks = LANES * 64 // BLOCK_BITS
+    return F.when(F.col("key").between(0, (ORDERS * blocks << BLOCK_BITS) - 1), F.shiftright("key", BLOCK_BITS) / blocks).otherwise(0).cast("int")
+
+
 def _unsettled(held: DataFrame) -> tuple[DataFrame, int, int]:
     """The rows of buckets whose members are in more than one group, their number, and how many pairs of members are of two groups."""
     of = held.groupBy("key", "group").agg(F.count("*").cast("double").alias("m"))
@@ -312,4 +327,4 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5) -> DataFrame:
     left = docs.withColumn(mark, _row_digest(docs)).join(dropped, mark, "left_anti")
     if not again.isEmpty():
         left = left.join(again, mark, "left_anti").unionByName(left.join(again, mark, "left_semi").dropDuplicates([mark]))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.select(*[F.col(quoted(c)) for c in docs.columns])

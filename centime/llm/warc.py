@@ -6,10 +6,10 @@ pointer jumping from the start of each file keeps those that can be reached: the
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote_plus
 
@@ -25,6 +25,8 @@ REVISIT_BYTES, RECORDS_PER_FILE, BYTES_PER_FILE = 100, 2000, 64 << 20
 BROADCAST_DIGESTS = 200_000
 #: Links that one task of a pointer-jumping round takes.
 ROWS_PER_TASK = 200_000
+#: Compressed bytes that are taken at a time.
+STEP = 1 << 16
 _MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
 _END = b"\r\n\r\n"
 
@@ -82,9 +84,26 @@ def write_archives(pages: DataFrame, folder: str, bytes_per_file: int = BYTES_PE
         low, high, part = high, high * 2, part + 1
 
 
+def inflated(data: bytes) -> tuple[bytes, bool]:
+    """An archive's bytes, compressed or not, and whether its streams end as they should. Of a cut or damaged one, what comes before the damage."""
+    parts, rest = [], memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        return data, True
+    while rest[:2] == b"\x1f\x8b":
+        stream = zlib.decompressobj(wbits=31)
+        while rest and not stream.eof:  # step by step, so that what was good before an error is kept
+            try:
+                parts.append(stream.decompress(rest[:STEP]))
+            except zlib.error:
+                return b"".join(parts), False
+            rest = rest[STEP:] if not stream.eof else memoryview(data)[len(data) - len(rest) + len(rest[:STEP]) - len(stream.unused_data) :]
+        if not stream.eof:
+            return b"".join([*parts, stream.flush()]), False
+    return b"".join(parts), True
+
+
 def plain(data: bytes) -> bytes:
-    """An archive's bytes, whether they are compressed or not."""
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    return inflated(data)[0]
 
 
 def candidates_of(data: bytes) -> Iterator[tuple]:
@@ -121,15 +140,15 @@ def _page(name: bytes | None) -> str | None:
 
 
 def scan(archives: DataFrame) -> DataFrame:
-    """Candidates of each file of archives (path, content): file, size (of its plain bytes), at, next and the record's fields."""
-    schema = "file string, size long, found array<struct<at:long,next:long,record_type:string,page_id:string,payload_bytes:long,payload_digest:string,refers_to:string,url:string,digest_ok:boolean>>"
+    """Candidates of each file of archives (path, content): file, size (of its plain bytes), whole (not cut or damaged as a stream), at, next and the record's fields."""
+    schema = "file string, size long, whole boolean, found array<struct<at:long,next:long,record_type:string,page_id:string,payload_bytes:long,payload_digest:string,refers_to:string,url:string,digest_ok:boolean>>"
     names = ("at", "next", "record_type", "page_id", "payload_bytes", "payload_digest", "refers_to", "url", "digest_ok")
 
     def one(r):
-        data = plain(r[1])
-        return r[0].decode(), len(data), [dict(zip(names, c)) for c in candidates_of(data)]
+        data, whole = inflated(r[1])
+        return r[0].decode(), len(data), whole, [dict(zip(names, c)) for c in candidates_of(data)]
 
-    return map_rows(archives.select("path", "content"), lambda: one, schema).select("file", "size", F.inline_outer("found"))
+    return map_rows(archives.select("path", "content"), lambda: one, schema).select("file", "size", "whole", F.inline_outer("found"))
 
 
 def reachable(links: DataFrame) -> DataFrame:
@@ -158,13 +177,14 @@ def read_archives(spark, folder: str) -> DataFrame:
 def broken_chains(archives: DataFrame) -> DataFrame:
     """(file, size, stops): the files of archives (path, content) whose chain of records does not reach the end, and where it stops.
 
-    What lies behind a damaged record can't be told from payload, so it is reported, not guessed. Empty files are whole.
+    What lies behind a damaged record can't be told from payload, so it is reported, not guessed. A compressed file that is cut or
+    damaged counts too, even where its plain bytes end with a record. Empty files are whole.
     """
     found = checkpointed(scan(archives))
     reached = found.where("at is not null").join(reachable(found.where("at is not null")), ["file", "at"], "left_semi")
     ends = reached.groupBy("file").agg(F.max("next").alias("stops"))
-    files = found.groupBy("file").agg(F.first("size").alias("size")).join(ends, "file", "left").withColumn("stops", F.coalesce("stops", F.lit(0)))
-    return files.where("stops < size")
+    files = found.groupBy("file").agg(F.first("size").alias("size"), F.bool_and("whole").alias("whole")).join(ends, "file", "left").withColumn("stops", F.coalesce("stops", F.lit(0)))
+    return files.where("stops < size or not whole").drop("whole")
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
