@@ -27,6 +27,10 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Bytes of a batch that are Python values at a time, about; a longer row comes alone.
+SLICE_BYTES = 4 << 20
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]], schema: str | StructType) -> DataFrame:
     """Map each row to a row of ``schema`` in Arrow batches; ``make`` runs once a task.
 
@@ -40,11 +44,13 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[tuple], tuple | None]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            columns = [as_bytes(c).to_pylist() for c in batch.columns]
-            rows = [f(r) for r in zip(*columns)]
-            rows = [r for r in rows if r is not None]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), fields)], schema=fields)
+            step = max(1, batch.num_rows * SLICE_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, step):
+                columns = [as_bytes(c).to_pylist() for c in batch.slice(at, step).columns]
+                rows = [f(r) for r in zip(*columns)]
+                rows = [r for r in rows if r is not None]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows), fields)], schema=fields)
 
     return df.mapInArrow(run, schema)
 
