@@ -52,19 +52,35 @@ def read_categories(spark: SparkSession, path: str) -> DataFrame:
     return categories(_entries(spark, path, "category_groups", GROUP).drop("deleted", "hidden").select("id", "name", F.transform("categories", lambda c: c.dropFields("category_group_id")).alias("categories")))
 
 
-def read_order_items(spark: SparkSession, root: str, accounts: tuple[str, ...] = ()) -> DataFrame:
+def with_place(rows: DataFrame, file: str, block: str, name: str) -> DataFrame:
+    """``rows`` as they were read, with the place of each in its file, from 0.
+
+    file and block say where a row comes from: the file and the offset of the block that was read at a time. Rows of a block come in
+    their order; how many rows earlier blocks of the file have is a sum over counts, one a block. So the place is the same however
+    the file was cut, and no task holds more than the rows of a block.
+    """
+    seen = rows.withColumn("_at", F.monotonically_increasing_id())
+    within = F.row_number().over(Window.partitionBy(file, block).orderBy("_at")) - 1
+    counts = rows.groupBy(file, block).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(file, block, before.alias("_before"))
+    return seen.withColumn("_within", within).join(starts, [file, block]).withColumn(name, F.col("_before") + F.col("_within")).drop("_at", "_within", "_before")
+
+
+def read_order_items(spark: SparkSession, root: str, accounts: tuple[str, ...] = (), lines: bool = False) -> DataFrame:
     """Items of the newest export of each account under ``root``: ``YYYY-MM-DD_<account>_amazon_data/**/Retail.OrderHistory.*.csv``.
 
-    Rows without a readable order date are left out. idx is the place in the file, as far as Spark reads it in order.
+    Rows without a readable order date are left out. idx is the place in the file, from 0, the same in however many parts it is
+    read. Names that hold line ends need ``lines`` False: a file is then read by one task.
     """
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "Retail.OrderHistory.*.csv").csv(root, header=True, inferSchema=False, multiLine=True, escape='"')
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "Retail.OrderHistory.*.csv").csv(root, header=True, inferSchema=False, multiLine=not lines, escape='"')
     folder = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})_([^/]+?)_amazon_data/", 1)
     owner = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})_([^/]+?)_amazon_data/", 2)
-    rows = raw.select("*", folder.alias("export"), owner.alias("account"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("idx"))
+    rows = raw.select("*", folder.alias("export"), owner.alias("account"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     if accounts:
         rows = rows.where(F.col("account").isin(*accounts))
     newest = rows.groupBy("account").agg(F.min_by("file", F.struct(-F.datediff(F.col("export").cast("date"), F.lit("1970-01-01").cast("date")), "file")).alias("file"))
-    rows = rows.join(newest, ["account", "file"], "left_semi")
+    rows = with_place(rows, "file", "block", "idx").join(newest, ["account", "file"], "left_semi")
     return rows.select(
         "account", F.col("Order ID").alias("order_id"), "idx", F.col("ASIN").alias("asin"), F.col("Product Name").alias("name"),
         F.coalesce(F.col("Quantity").try_cast("int"), F.lit(1)).alias("quantity"), money.lenient_cents(F.coalesce("Unit Price", F.lit(""))).alias("unit_cents"),
