@@ -147,7 +147,7 @@ def account_type_case(spark, sf_dir):
 def category_explode(spark, sf_dir):
     n, r = bridge.table(spark, sf_dir, "nation"), bridge.table(spark, sf_dir, "region")
     groups = n.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").alias("cid"), F.col("n_name").alias("name"))).alias("categories"))
-    joined = groups.join(F.broadcast(r), groups.n_regionkey == r.r_regionkey).select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), "categories")
+    joined = groups.join(r, groups.n_regionkey == r.r_regionkey).select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), "categories")
     return accounts.categories(joined).select("group_id", F.col("cid").alias("id"), "full_name")
 
 
