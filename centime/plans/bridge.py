@@ -28,9 +28,9 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_orders(order_items(spark, sf_dir))
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A payment for each order, 0 to 9 days after its first shipment."""
-    g = order_items(spark, sf_dir).groupBy("order_id").agg(F.sum("cents").alias("total"), F.min("ship_date").alias("first"))
+def transactions(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    """A payment for each order, 0 to 9 days after its first shipment. ``items`` are the order items where they are at hand."""
+    g = (items or order_items(spark, sf_dir)).groupBy("order_id").agg(F.sum("cents").alias("total"), F.min("ship_date").alias("first"))
     return g.select(F.col("order_id").alias("tx_id"), F.date_add("first", (F.col("order_id") % 10).cast("int")).alias("date"), (-F.col("total")).alias("cents"))
 
 
@@ -112,18 +112,18 @@ def priced_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return it.join(totals, "order_id").withColumn("tx_mu", F.col("paid") - F.when(F.col("order_id") % 5 == 0, 10).otherwise(0)).drop("paid").withColumnRenamed("order_id", "tx_id")
 
 
-def item_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def item_receipts(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """A receipt for each order (base_name, subtotal_cents, tax_cents, total_cents, items) with 7 % tax; those of every 13th order are missing."""
-    it = order_items(spark, sf_dir).where("order_id % 13 <> 0")
-    items = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("name").alias("title"), "cents"))), lambda x: F.struct(x["title"].alias("title"), x["cents"].alias("cents")))
-    r = it.groupBy(F.col("order_id").alias("base_name")).agg(F.sum("cents").alias("subtotal_cents"), items.alias("items"))
+    it = (items or order_items(spark, sf_dir)).where("order_id % 13 <> 0")
+    nested = F.transform(F.array_sort(F.collect_list(F.struct("idx", F.col("name").alias("title"), "cents"))), lambda x: F.struct(x["title"].alias("title"), x["cents"].alias("cents")))
+    r = it.groupBy(F.col("order_id").alias("base_name")).agg(F.sum("cents").alias("subtotal_cents"), nested.alias("items"))
     return r.withColumn("tax_cents", F.expr("subtotal_cents * 7 div 100")).withColumn("total_cents", F.col("subtotal_cents") + F.col("tax_cents"))
 
 
-def receipt_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def receipt_matches(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
     """A receipt match for each order: every 11th of two receipts, every 9th none, every 8th a cent off what the receipt says."""
     key = F.col("order_id")
-    s = order_items(spark, sf_dir).groupBy("order_id").agg(F.sum("cents").alias("s"))
+    s = (items or order_items(spark, sf_dir)).groupBy("order_id").agg(F.sum("cents").alias("s"))
     paid = F.expr("s + s * 7 div 100") + F.when(key % 8 == 0, 1).otherwise(0)
     ids = F.when(key % 11 == 0, F.array(key, key + 1)).otherwise(F.array(key))
     return s.select(key.alias("transaction_id"), (paid * -10).alias("transaction_mu"), (key % 9 != 0).alias("matched"), ids.alias("receipt_ids"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
 from ..functions import money
 from ..operators import cashflow, edits, order_matching, receipts, scoring
+from ..operators.orders import group_orders
 from . import bridge
-from .queries import _BALANCES, _NAME, BEST, MATCH, ORDER_TX, _cents, _daily, _results, _totals, query
+from .queries import _BALANCES, _NAME, BEST, MATCH, ORDER_TX, _cents, _daily, _totals, query
 
 # ---- edits
 
@@ -22,9 +24,12 @@ _EDITS = f"WITH {BEST}, {_ORDER_EDITS}, {_RECEIPT_EDITS}"
 
 def _edit_rows(spark, sf_dir):
     """Splits of the best complete matches (every odd transaction a cent off) and of the receipt matches."""
-    best = _results(spark, sf_dir).where("matched").withColumn("tx_mu", -(F.col("amount_cents") + F.col("tx_id") % 2) * 10).withColumn("item_idx", F.lit(None).cast("array<int>"))
-    of_orders = edits.order_edit_rows(best, bridge.order_items(spark, sf_dir))
-    return of_orders.unionByName(edits.receipt_edit_rows(bridge.receipt_matches(spark, sf_dir), bridge.item_receipts(spark, sf_dir)))
+    items = checkpointed(bridge.order_items(spark, sf_dir))  # numbered once: orders, payments, receipts and edits all start from it
+    tx = bridge.transactions(spark, sf_dir, items)
+    results = order_matching.match_result(tx, order_matching.best_match(order_matching.complete_matches(tx, group_orders(items))))
+    best = results.where("matched").withColumn("tx_mu", -(F.col("amount_cents") + F.col("tx_id") % 2) * 10).withColumn("item_idx", F.lit(None).cast("array<int>"))
+    of_orders = edits.order_edit_rows(best, items)
+    return of_orders.unionByName(edits.receipt_edit_rows(bridge.receipt_matches(spark, sf_dir, items), bridge.item_receipts(spark, sf_dir, items)))
 
 
 @query(f"""{_EDITS}, u AS (SELECT tx_id, 'orders' AS source, idx, amount_mu, memo FROM o WHERE ok UNION ALL SELECT tx_id, 'receipts', idx, amount_mu, memo FROM e WHERE ok)
