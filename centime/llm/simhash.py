@@ -256,9 +256,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     are one node (a 64-bit digest); null texts, empty ones and others without words are one too, and link to nothing else.
 
     Nodes that share a block of their fingerprints form a bucket. A round compares a bucket's members with its pivots, which have
-    then met all and leave; buckets whose members are in one group leave too. The first rounds take the blocks of one order of
-    the bits after the other, so that a large group of near copies is linked by a third of its blocks. Pivots are those of
-    least hash, another hash each round, so buckets of the same members mostly share them. Rounds go on until so
+    then met all and leave; buckets whose members are in one group leave too. The first round takes the blocks of one order of the
+    bits only, so that a large group of near copies is linked by a third of its blocks. Pivots are those of least hash, another hash each round, so buckets of the same members mostly share them. Rounds go on until so
     few pairs are open that they are in proportion to the rows; those are compared within a join. So a large group costs rows in
     proportion to its members, and no bucket is compared all against all unless its members are few or all in groups of their own.
     Every link is verified on the whole shingle sets, so no two texts are linked that are not similar.
@@ -275,9 +274,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     links, at = None, 0
     while True:
-        later = _order() > at
-        open_, n_rows, n_pairs = _unsettled(held if at >= ORDERS - 1 else held.where(~later))
-        if at >= ORDERS - 1 and n_pairs <= PAIRS_A_ROW * n_rows:
+        later = _order() > 0
+        open_, n_rows, n_pairs = _unsettled(held if at else held.where(~later))
+        if at and n_pairs <= PAIRS_A_ROW * n_rows:
             break
         if n_pairs:
             choices = [F.min(F.struct(F.xxhash64("node", F.lit(at), F.lit(k)).alias("h"), "node", "group")) for k in range(min(2 ** max(0, at + 1 - PIVOT_ROUNDS), MOST_PIVOTS))]
@@ -287,7 +286,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
             p, q = prints.withColumnRenamed("node", "a").alias("p"), prints.withColumnRenamed("node", "b").alias("q")
             links = linked(pairs.join(p, "a").join(q, "b").where(_like_size("p", "q") & _near("p", "q")).select("a", "b"), links)
             stay = open_.join(pivots.select("key", "node"), ["key", "node"], "left_anti").select("key", "node")
-            stay = stay if at >= ORDERS - 1 else stay.unionByName(held.where(later).select("key", "node"))
+            stay = stay if at else stay.unionByName(held.where(later).select("key", "node"))
             held = stay.join(links, "node", "left").select("key", "node", F.coalesce("root", "node").alias("group"))
         at += 1
     if n_pairs:
