@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import scoring
 
 
+#: Cents of a block of amounts, in which places are counted.
+BLOCK = 1 << 16
+
+
 def valid_receipts(receipts: DataFrame) -> DataFrame:
     return receipts.dropna(subset=["receipt_date", "total_cents"])
 
@@ -44,6 +48,7 @@ def near_misses(transactions: DataFrame, receipts: DataFrame, most: int = 5) ->
 
     (tx_id, base_name, off, rank), ties by base_name. A day's distinct totals and amounts stand in one order; what is closest
     to an amount is among as many totals on either side of it, so rows grow with the amounts, not with the pairs of a day.
+    Places are counted within blocks of BLOCK cents and added up over the blocks, so no task holds a whole day.
     """
     t = transactions.select("tx_id", "date", F.abs("cents").alias("amount_cents"))
     r = valid_receipts(receipts).select("base_name", F.col("receipt_date").alias("date"), "total_cents")
@@ -51,8 +56,11 @@ def near_misses(transactions: DataFrame, receipts: DataFrame, most: int = 5) ->
     totals = first.groupBy("date", F.col("total_cents").alias("at")).agg(F.collect_list("base_name").alias("names"))
     amounts = t.select("date", F.col("amount_cents").alias("at"), F.lit(True).alias("asked")).distinct()
     line = totals.unionByName(amounts, allowMissingColumns=True).groupBy("date", "at").agg(F.first("names", ignorenulls=True).alias("names"), F.first("asked", ignorenulls=True).alias("asked"))
-    upto = Window.partitionBy("date").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    line = line.withColumn("place", F.count("names").over(upto))
+    line = line.withColumn("block", F.floor(F.col("at") / BLOCK))
+    upto = Window.partitionBy("date", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("date").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = line.groupBy("date", "block").agg(F.count("names").alias("n")).select("date", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    line = line.withColumn("within", F.count("names").over(upto)).join(blocks, ["date", "block"]).withColumn("place", F.col("before") + F.col("within"))
     spots = line.where("asked").select("date", "at", F.explode(F.sequence(F.col("place") - most, F.col("place") + most)).alias("place"))
     beside = line.where("names is not null").select("date", "place", F.col("at").alias("total_cents"), "names")
     met = spots.join(beside, ["date", "place"]).where("total_cents <> at").select("date", "at", F.abs(F.col("total_cents") - F.col("at")).alias("off"), F.explode("names").alias("base_name"))
