@@ -100,8 +100,10 @@ def with_context(mu: Column, context: Column) -> Column:
 
 
 def proportional(n: Column, d: Column, total: Column) -> Column:
-    """floor(n * total / d); 0 if d is 0."""
-    return F.when(d == 0, F.lit(0)).otherwise(F.floor((n * total).cast("decimal(38,0)") / F.nullif(d, F.lit(0)).cast("decimal(20,0)"))).cast("long")
+    """floor(n * total / d); 0 if d is 0. Whole numbers throughout: a quotient with decimals is rounded, so a remainder of d - 1 could count up."""
+    product, by = n.cast("decimal(19,0)") * total.cast("decimal(19,0)"), F.nullif(d, F.lit(0)).cast("decimal(19,0)")
+    cut, rest = F.call_function("div", product, by), product % by
+    return F.when(d == 0, F.lit(0)).otherwise(F.when((rest != 0) & ((rest < 0) != (by < 0)), cut - 1).otherwise(cut)).cast("long")
 
 
 def with_remainder(amounts: Column, total: Column) -> Column:

@@ -313,7 +313,7 @@ SELECT tx_id, -(base + tax) * 10 - CASE WHEN tx_id % 4 = 0 THEN 10 ELSE 0 END AS
 CAST(-(cents + CASE WHEN idx = n_items THEN tax - sum(share) OVER (PARTITION BY tx_id) + share ELSE share END) * 10 AS BIGINT) AS amount_mu, tx_id % 4 <> 0 AS ok FROM h""")
 def receipt_tax_splits(spark, sf_dir):
     it = bridge.order_items(spark, sf_dir)
-    sums = it.groupBy("order_id").agg(F.sum("cents").alias("subtotal_cents")).withColumn("tax_cents", F.floor(F.col("subtotal_cents") * 8 / 100))
+    sums = it.groupBy("order_id").agg(F.sum("cents").alias("subtotal_cents")).withColumn("tax_cents", F.expr("subtotal_cents * 8 div 100"))
     joined = it.join(sums, "order_id").withColumn("tx_mu", -(F.col("subtotal_cents") + F.col("tax_cents")) * 10 - F.when(F.col("order_id") % 4 == 0, 10).otherwise(0)).withColumnRenamed("order_id", "tx_id")
     return splits.receipt_splits(joined)
 
