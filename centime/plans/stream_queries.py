@@ -148,11 +148,12 @@ FROM res JOIN (VALUES ('2024-01', 2), ('2024-02', 3)) AS r(run, number) ON run =
 def stored_runs(spark, sf_dir):
     """Receipt matches written as two runs, the first of them twice and once without a commit: each run counts once."""
     at = _folder(spark, "runs")
-    store, found = RunStore(spark, at), receipt_matching.match_receipts(bridge.receipt_transactions(spark, sf_dir), bridge.receipts(spark, sf_dir))
+    receipt_matching.match_receipts(bridge.receipt_transactions(spark, sf_dir), bridge.receipts(spark, sf_dir)).select("matched", "unmatched_cents").write.parquet(f"{at}/found")
+    store, found = RunStore(spark, f"{at}/store"), spark.read.parquet(f"{at}/found")  # matched once, stored four times
     store.write("2024-01", {"matches": found.where("matched")})
     store.write("2024-01", {"matches": found})
     store.write("2024-02", {"matches": found.where("matched")})
-    found.write.parquet(f"{at}/data/matches/never-committed")
+    found.write.parquet(f"{at}/store/data/matches/never-committed")
     rows = store.read("matches").groupBy("run").agg(F.count("*").alias("n"), F.sum("unmatched_cents").alias("unmatched_cents"))
     told = checkpointed(rows.join(store.runs().select("run", "number"), "run").select("run", "number", "n", "unmatched_cents"))
     remove_folder(spark, at)
