@@ -1,8 +1,9 @@
-"""Items of orders used up by a stream of payments: what is left of each order is state, kept by order, and expires."""
+"""Items of orders used up by a stream of payments: what is left of each order is state, kept by groups of orders, and expires by order."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,42 +16,70 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 RESULT = "tx_id long, order_id long, items array<int>, code string, left_cents long"
 
 
+#: Orders whose ids agree but for so many low bits share a key. Calls to the state and a group's frames cost the same for one order and for
+#: many, so orders one by one would take a multiple of the time of the search itself. A payment writes its group's state, 256 orders at most.
+TOGETHER_BITS = 8
+
+
 class _Items(StatefulProcessor):
-    """State of one order: the places and cents of the items that are left, and the event time after which it is forgotten."""
+    """State of a group of orders: of each the places and cents of the items that are left, and the event time after which it is forgotten."""
 
     def __init__(self, keep_ms: int):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("items", "idx array<int>, cents array<bigint>, until bigint")
+        self.state = handle.getValueState("orders", "order_id array<bigint>, until array<bigint>, size array<int>, idx array<int>, cents array<bigint>")
+
+    def _held(self) -> tuple[dict, dict]:
+        """By order: the items left, and the time that it is kept for."""
+        if not self.state.exists():
+            return {}, {}
+        ids, until, size, idx, cents = self.state.get()
+        items = zip(idx, cents)
+        return {k: list(islice(items, n)) for k, n in zip(ids, size)}, dict(zip(ids, until))
+
+    def _hold(self, left: dict, until: dict, timer: int | None) -> None:
+        """Keep what is left; the group's one timer (``timer`` so far) is that of the order to be forgotten first."""
+        then = min(until.values(), default=None)
+        if then != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if then is not None:
+                self.handle.registerTimer(then)
+        if not left:
+            self.state.clear()
+            return
+        items = [x for v in left.values() for x in v]
+        self.state.update((list(left), [until[k] for k in left], [len(v) for v in left.values()], [int(i) for i, _ in items], [int(c) for _, c in items]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         arrived = pd.concat(rows).sort_values(["seq", "tx_id"], kind="stable")
-        first = arrived.iloc[0]
-        if self.state.exists():
-            idx, cents, until = self.state.get()
-            left = list(zip(idx, cents))
-        else:
-            left, until = list(zip(first["idx"], first["item_cents"])), None
-        out = []
-        for r in arrived.itertuples(index=False):
-            found = first_subset(left, int(r.amount)) if left else None
-            code = None if found else "used_up" if not left else "no_subset"
-            left = [x for x in left if x[0] not in (found or ())]
-            out.append((int(r.tx_id), int(key[0]), found, code, int(sum(c for _, c in left))))
-        # a timer for the last payment known; the earlier one goes
-        then = int(max(pd.Timestamp(x).value for x in arrived["ts"]) // 10**6) + self.keep_ms
-        if until is None or then > until:
-            if until is not None:
-                self.handle.deleteTimer(until)
-            self.handle.registerTimer(then)
-            until = then
-        self.state.update(([int(i) for i, _ in left], [int(c) for _, c in left], until))
-        yield pd.DataFrame(out, columns=["tx_id", "order_id", "items", "code", "left_cents"])
+        left, until = self._held()
+        timer = min(until.values(), default=None)
+        found_of = []
+        for order_id, amount, idx, cents in zip(*(arrived[c].tolist() for c in ("order_id", "amount", "idx", "item_cents"))):
+            if order_id not in left:
+                left[order_id] = list(zip(idx.tolist(), cents.tolist()))
+            items = left[order_id]
+            found = first_subset(items, amount) if items else None
+            code = None if found else "used_up" if not items else "no_subset"
+            if found:
+                left[order_id] = items = [x for x in items if x[0] not in found]
+            found_of.append((found, code, sum(c for _, c in items)))
+        # each order is kept for a time from its last payment known
+        ms = arrived["ts"].to_numpy("datetime64[ns]").astype("int64") // 10**6
+        for order_id, last in zip(arrived["order_id"].tolist(), ms.tolist()):
+            until[order_id] = max(until.get(order_id, last + self.keep_ms), last + self.keep_ms)
+        self._hold(left, until, timer)
+        items, code, sums = zip(*found_of)
+        yield pd.DataFrame({"tx_id": arrived["tx_id"].to_numpy(), "order_id": arrived["order_id"].to_numpy(), "items": items, "code": code, "left_cents": sums})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.state.clear()
+        left, until = self._held()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        until = {k: t for k, t in until.items() if t > now}
+        self._hold({k: left[k] for k in until}, until, None)  # the timer that expired is gone
         return iter([])
 
 
@@ -65,4 +94,4 @@ def use_up(payments: DataFrame, orders: DataFrame, delay: str = "2 days", keep_d
     """
     items = orders.select("order_id", F.transform("items", lambda x: x["idx"].cast("int")).alias("idx"), F.transform("items", lambda x: x["cents"]).alias("item_cents"))
     met = payments.withWatermark("ts", delay).select("tx_id", "seq", "ts", "order_id", F.abs("cents").alias("amount")).join(items, "order_id")
-    return met.groupBy("order_id").transformWithStateInPandas(_Items(keep_days * 86_400_000), RESULT, "append", "eventTime")
+    return met.withColumn("together", F.shiftright("order_id", TOGETHER_BITS)).groupBy("together").transformWithStateInPandas(_Items(keep_days * 86_400_000), RESULT, "append", "eventTime")
