@@ -6,7 +6,7 @@ Two forms share the steps:
   ``radius + 3`` blocks; two fingerprints within the radius agree in at least 3 of them, so they share a key of 3 blocks
   (about 38 bits), which stays selective for billions of texts.
 * ``similar_groups``: long fingerprints for texts whose five-word shingles are similar by 0.8 or more, where 64 bits tell too
-  little. They are split into 24-bit blocks in three orders; pairs that share one are checked by the Hamming distance of the
+  little. They are split into blocks of 24 bits in three orders (more of both for larger corpora); pairs that share one are checked by the Hamming distance of the
   whole fingerprints, and what passes by the similarity of the whole shingle sets, which alone decides.
 
 Both work on distinct fingerprints or sets, one representative each, so copies never meet each other in pairs.
@@ -14,12 +14,13 @@ Both work on distinct fingerprints or sets, one representative each, so copies n
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -130,9 +131,10 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
 #: Wide fingerprints: LANES of 64 bits. Texts whose shingle sets have a similarity of 0.8 differ in about 0.151 of the bits (232
 #: of 1,536, give or take 14; short texts in up to 0.19), so a block of 24 bits agrees with a chance of 0.019. Three orders of
 #: the bits (as they come, every 64th, every 599th) make 192 blocks, of which one agrees with a chance of 0.98, and more the more
-#: alike two texts are. Unlike texts share one with a chance of 0.00001; a corpus of 2**k times the rows keeps as few such pairs
-#: a text with k more bits a block, and its recall with 1.18 times the blocks a bit.
-LANES, BLOCK_BITS, WIDE_RADIUS = 24, 24, 330
+#: alike two texts are. Unlike texts share one with a chance of 0.00001, so at a fixed width what shares a block by chance grows with the
+#: square of the rows. Blocks of BLOCK_BITS serve 2**BASE_POWER shingle sets; each doubling beyond takes a bit more, which keeps such pairs
+#: few a text, and 1.18 times the blocks (of more orders), which keeps the recall: keys a text grow as the fourth root of the rows.
+LANES, BLOCK_BITS, BASE_POWER, BLOCK_GROWTH, WIDE_RADIUS = 24, 24, 16, 1.18, 330
 #: Sets of up to so many shingles are also found by what is left without any two or fewer of their shingles, whatever the blocks say:
 #: two of which neither has more than two shingles that the other lacks share such a rest.
 SMALL = 24
@@ -141,13 +143,27 @@ SIMILAR = (4, 5)
 #: Rounds go on while more pairs than so many a row are open. The first PIVOT_ROUNDS take one pivot a bucket, later ones twice as
 #: many as the round before, up to MOST_PIVOTS.
 PAIRS_A_ROW, PIVOT_ROUNDS, MOST_PIVOTS = 2, 4, 32
-#: Orders of the bits, each of which gives as many blocks.
+#: Orders of the bits, each of which gives as many blocks of BLOCK_BITS.
 ORDERS = 3
 
 
-def _orders() -> np.ndarray:
-    bits = np.arange(LANES * 64)
-    return np.concatenate([o.reshape(-1, BLOCK_BITS) for o in (bits, bits.reshape(LANES, 64).T, bits * 599 % len(bits))])
+def width_for(n: int) -> int:
+    """Bits of a block for so many distinct shingle sets."""
+    return BLOCK_BITS + max(0, (max(n, 1) - 1).bit_length() - BASE_POWER)
+
+
+def _a_order(width: int) -> int:
+    """Blocks that one order of the bits gives."""
+    return LANES * 64 // width
+
+
+def _orders(width: int | None = None) -> np.ndarray:
+    """The places of the bits of each block of ``width`` (BLOCK_BITS if not given), one order's blocks after the other's; later orders are shuffled."""
+    width, bits = width or BLOCK_BITS, np.arange(LANES * 64)
+    blocks = math.ceil(ORDERS * _a_order(BLOCK_BITS) * BLOCK_GROWTH ** (width - BLOCK_BITS))
+    made = [bits, bits.reshape(LANES, 64).T.ravel(), bits * 599 % len(bits)]
+    made += [np.argsort(_mixed(bits.astype(np.uint64), k), kind="stable") for k in range(len(made), -(-blocks // _a_order(width)))]
+    return np.concatenate([o[: _a_order(width) * width].reshape(-1, width) for o in made])[:blocks]
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -170,8 +186,9 @@ def set_signature(h: np.ndarray, lanes: int = LANES) -> np.ndarray:
 
 def block_keys(bits: np.ndarray, orders: np.ndarray) -> np.ndarray:
     """The fingerprint's blocks, each a number that holds its place and its bits."""
-    weights = (1 << np.arange(BLOCK_BITS - 1, -1, -1)).astype(np.int64)
-    return bits[orders] @ weights + (np.arange(len(orders)) << BLOCK_BITS)
+    width = orders.shape[1]
+    weights = (1 << np.arange(width - 1, -1, -1)).astype(np.int64)
+    return bits[orders] @ weights + (np.arange(len(orders)) << width)
 
 
 def small_keys(h: np.ndarray) -> list[int]:
@@ -200,11 +217,11 @@ def _fingerprinted(docs: DataFrame, shingle: int) -> DataFrame:
     return map_rows(docs.select(_row_digest(docs).alias("row"), "doc_id", "text"), make, f"row string, doc_id {kind}, node long, n int, fp array<long>, small array<long>")
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def _keys(nodes: DataFrame, width: int) -> DataFrame:
     """(key, node): the blocks of each node's fingerprint and the keys of small sets. Sets of under 10 need only the latter."""
+    orders = _orders(width)
 
     def make():
-        orders = _orders()
 
         def row(r):
             if r[1] < 10:
@@ -217,6 +234,13 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return map_rows(nodes.select("node", "n", "fp", "small"), make, "node long, keys array<long>").select(F.explode("keys").alias("key"), "node")
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key another node has too; keys go through one exchange."""
+    by = Window.partitionBy("key").orderBy("node")
+    met = F.lag("node").over(by).isNotNull() | F.lead("node").over(by).isNotNull()
+    return keys.select("key", "node", met.alias("met")).where("met").drop("met")
+
+
 def _near(p: str, q: str) -> Column:
     """Whether fingerprints are within the radius, or one is that of a small set, which tells too little."""
     apart = reduce(lambda a, b: a + b, [_distance(F.col(f"{p}.fp")[i], F.col(f"{q}.fp")[i]) for i in range(LANES)])
@@ -257,16 +281,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     Nodes that share a block of their fingerprints form a bucket. A round compares a bucket's members with its pivots, which have
     then met all and leave; buckets whose members are in one group leave too. The first round takes the blocks of one order of the
-    bits only, so that a large group of near copies is linked by a third of its blocks. Pivots are those of least hash, another hash each round, so buckets of the same members mostly share them. Rounds go on until so
+    bits only, so that a large group of near copies is linked by a third of its blocks or fewer. Pivots are those of least hash, another hash each round, so buckets of the same members mostly share them. Rounds go on until so
     few pairs are open that they are in proportion to the rows; those are compared within a join. So a large group costs rows in
     proportion to its members, and no bucket is compared all against all unless its members are few or all in groups of their own.
     Every link is verified on the whole shingle sets, so no two texts are linked that are not similar.
     """
     rows = checkpointed(_fingerprinted(docs, shingle))
     nodes = checkpointed(rows.groupBy("node").agg(F.min("row").alias("row"), *[F.first(c).alias(c) for c in ("n", "fp", "small")]))
-    keys = _keys(nodes)
-    shared = checkpointed(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"))
-    held, prints = checkpointed(keys.join(shared, "key").withColumn("group", F.col("node"))), nodes.select("node", "n", "fp")
+    width = width_for(nodes.count())
+    held, prints = checkpointed(_shared(_keys(nodes, width)).withColumn("group", F.col("node"))), nodes.select("node", "n", "fp")
 
     def linked(near: DataFrame, links: DataFrame | None) -> DataFrame:
         edges = _similar(docs, nodes, checkpointed(near), shingle)
@@ -274,7 +297,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     links, at = None, 0
     while True:
-        later = _order() > 0
+        later = _order(width) > 0
         open_, n_rows, n_pairs = _unsettled(held if at else held.where(~later))
         if at and n_pairs <= PAIRS_A_ROW * n_rows:
             break
@@ -298,10 +321,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return rows.select("row", "doc_id", "node").join(links, "node", "left").select("row", "doc_id", F.coalesce("root", "node").alias("group"))
 
 
-def _order() -> Column:
+def _order(width: int) -> Column:
     """The order of the bits that a key's block is of, as block_keys numbers them; keys of small sets go with the first."""
-    blocks = LANES * 64 // BLOCK_BITS
-    return F.when(F.col("key").between(0, (ORDERS * blocks << BLOCK_BITS) - 1), F.shiftright("key", BLOCK_BITS) / blocks).otherwise(0).cast("int")
+    return F.when(F.col("key").between(0, (len(_orders(width)) << width) - 1), F.shiftright("key", width) / _a_order(width)).otherwise(0).cast("int")
 
 
 def _unsettled(held: DataFrame) -> tuple[DataFrame, int, int]:

@@ -2,6 +2,7 @@ import gzip
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -102,3 +103,17 @@ def test_recall_of_near_pairs_of_each_size(words):
             met.append(bool(keys[0] & keys[1]) and (min(map(len, sets)) <= simhash.SMALL or apart <= simhash.WIDE_RADIUS))
     print(words, len(met), sum(met) / max(len(met), 1))
     assert not met or sum(met) >= 0.95 * len(met)
+
+
+def test_blocks_grow_with_the_rows_so_that_unlike_texts_seldom_share_one(monkeypatch):
+    """pipeline: at a fixed width, rows of blocks that unlike texts share grow with the square of the texts."""
+    monkeypatch.setattr(simhash, "BLOCK_BITS", 12)
+    monkeypatch.setattr(simhash, "BASE_POWER", 6)
+    rng, rows = np.random.default_rng(3), {}
+    for n in (64, 1024):
+        orders = simhash._orders(simhash.width_for(n))
+        keys = np.concatenate([simhash.block_keys(b, orders) for b in rng.integers(0, 2, (n, simhash.LANES * 64), dtype=np.uint8)])
+        _, m = np.unique(keys, return_counts=True)
+        rows[n] = m[m > 1].sum() / n
+    assert simhash.width_for(1024) == 16 and 0 < rows[1024] < 3 * rows[64]
+    assert [simhash.width_for(n) for n in (0, 64, 65)] == [12, 12, 13]
