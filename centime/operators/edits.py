@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import with_symbol
+from ..functions.money import cents_to_milliunits, proportional, with_symbol
 from . import splits
 from .accounts import account_type, provider
 
@@ -34,6 +36,54 @@ def receipt_edit_rows(matches: DataFrame, receipts: DataFrame) -> DataFrame:
     return splits.receipt_splits(rows).select("tx_id", "idx", "amount_mu", "memo", "ok", F.lit("receipts").alias("source"))
 
 
+def _sum(amounts: Column) -> Column:
+    """The sum of an array without its nulls; null if there is nothing else."""
+    known = F.filter(amounts, lambda x: x.isNotNull())
+    return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("long"), lambda a, x: a + x))
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """With columns that are worked out once a row, by a generator: others would be put in wherever they are used, in every step over an array and in keys of joins."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _name(item: Column) -> Column:
+    return item["name"]
+
+
+def order_edits(best: DataFrame, orders: DataFrame, name: Callable[[Column], Column] = _name) -> DataFrame:
+    """(tx_id, source, splits, ok): the splits of ``order_edit_rows``, an array a match, each match of one order.
+
+    orders: account, order_id and items, an array in order of idx with idx, cents, quantity and what ``name`` makes a name of. Items stay nested,
+    so the join is the one exchange, and what it holds are orders, not a row for each item with its texts.
+    """
+    known = best.where("order_id is not null and tx_id is not null and tx_mu is not null").select("tx_id", "tx_mu", "account", "order_id", "item_idx")
+    met = known.join(orders.select("account", "order_id", "items"), ["account", "order_id"])
+    met = met.withColumn("items", F.when(F.col("item_idx").isNull(), F.col("items")).otherwise(F.filter("items", lambda x: F.array_contains("item_idx", x["idx"].cast("int"))))).where(F.size("items") > 0)
+    met = _once(met, amounts=F.transform("items", lambda x: -cents_to_milliunits(x["cents"])))
+    return _edits(met, "orders", lambda x: splits.memo(name(x), x["quantity"]))
+
+
+def receipt_edits(matches: DataFrame, receipts: DataFrame, name: Callable[[Column], Column] = lambda item: item["title"]) -> DataFrame:
+    """(tx_id, source, splits, ok): the splits of ``receipt_edit_rows``, an array a match."""
+    single = matches.where(F.col("matched") & (F.size("receipt_ids") == 1) & F.col("transaction_id").isNotNull() & F.col("transaction_mu").isNotNull())
+    named = single.select(F.col("transaction_id").alias("tx_id"), F.col("transaction_mu").alias("tx_mu"), F.col("receipt_ids")[0].alias("base_name"))
+    met = named.join(receipts.select("base_name", "subtotal_cents", "tax_cents", "items").where(F.size("items") > 0), "base_name")
+    met = _once(met, base=F.coalesce("subtotal_cents", _sum(F.transform("items", lambda x: x["cents"]))))
+    met = _once(met, tax=F.when(F.col("base") == 0, F.lit(0)).otherwise(F.coalesce("tax_cents", F.lit(0))))
+    met = _once(met, shares=F.transform("items", lambda x: proportional(x["cents"], F.col("base"), F.col("tax"))))
+    met = _once(met, rest=F.col("tax") - F.coalesce(_sum(F.col("shares")), F.lit(0)))
+    mine = lambda i: F.get("shares", i) + F.when(i == F.size("items") - 1, F.col("rest")).otherwise(0)
+    met = _once(met, amounts=F.transform("items", lambda x, i: -cents_to_milliunits(x["cents"] + mine(i))))
+    return _edits(met, "receipts", name)
+
+
+def _edits(rows: DataFrame, source: str, memo: Callable[[Column], Column]) -> DataFrame:
+    """(tx_id, source, splits, ok) of rows (tx_id, tx_mu, items, amounts)."""
+    nested = F.transform("items", lambda x, i: F.struct(F.get("amounts", i).alias("amount"), memo(x).alias("memo")))
+    return rows.select("tx_id", F.lit(source).alias("source"), nested.alias("splits"), (_sum(F.col("amounts")) == -F.abs("tx_mu")).alias("ok"))
+
+
 def edit_batch(rows: DataFrame) -> DataFrame:
     """One edit a transaction and source: (transaction_id, source, splits), splits in item order; those that don't add up are left out."""
     nested = F.transform(F.array_sort(F.collect_list(F.struct("idx", "amount_mu", "memo"))), lambda x: F.struct(x["amount_mu"].alias("amount"), x["memo"].alias("memo")))
